@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import (
     child, is_json_null, is_object, number, strict_json, string_only, truthy_text,
 )
@@ -17,20 +18,8 @@ DEFAULT_ERROR = "translation failed"
 def parse_events(events: DataFrame) -> DataFrame:
     """Add the parsed body as ``event`` and its ``type``; bodies that are not
     JSON objects are skipped."""
-    parsed = events.withColumn("event", strict_json(F.col("body"))).where(is_object(F.col("event")))
-    return parsed.withColumn("type", string_only(child(F.col("event"), "$.type")))
-
-
-def _stage(event: Column) -> Column:
-    named = [truthy_text(child(event, f"$.{k}")) for k in ("stage", "phase", "name")]
-    return F.coalesce(*named, F.lit(DEFAULT_STAGE))
-
-
-def _value(event: Column) -> Column:
-    """Numeric progress: the overall figure if its key exists, even as null."""
-    raw = F.coalesce(child(event, "$.overall_progress"), child(event, "$.progress"))
-    current, total = number(child(raw, "$.current")), number(child(raw, "$.total"))
-    return F.when(is_object(raw), current / F.nullif(total, F.lit(0.0))).otherwise(number(raw))
+    parsed = compute_once(events, {"event": strict_json(F.col("body"))}).where(is_object(F.col("event")))
+    return compute_once(parsed, {"type": string_only(child(F.col("event"), "$.type"))})
 
 
 def percent_text(value: Column) -> Column:
@@ -44,18 +33,36 @@ def percent_text(value: Column) -> Column:
 
 def progress(events: DataFrame) -> DataFrame:
     """Progress events with ``stage`` and ``label`` (``stage: 12%``, or just the
-    stage if the value is not numeric)."""
-    return _progress_columns(parse_events(events).where(F.col("type") == "progress")).select(
-        "job_id", "seq", "stage", "label"
-    )
-
+    stage if the value is not numeric).
 
-def _progress_columns(parsed: DataFrame) -> DataFrame:
-    pct = percent_text(F.col("_value"))
-    return (
-        parsed.withColumns({"stage": _stage(F.col("event")), "_value": _value(F.col("event"))})
-        .withColumn("label", F.coalesce(F.concat("stage", F.lit(": "), pct, F.lit("%")), F.col("stage")))
-        .drop("_value")
+    The overall figure counts if its key exists, even as null; an object value
+    is ``current / total`` if both are numbers and the total is not zero.
+    """
+    only = parse_events(events).where(F.col("type") == "progress")
+    # One step per level of use: a member is looked up once, however often the
+    # next step refers to it.
+    members = only.select(
+        "job_id",
+        "seq",
+        F.coalesce(
+            *[truthy_text(child(F.col("event"), f"$.{k}")) for k in ("stage", "phase", "name")],
+            F.lit(DEFAULT_STAGE),
+        ).alias("stage"),
+        F.coalesce(child(F.col("event"), "$.overall_progress"), child(F.col("event"), "$.progress")).alias("_raw"),
+    )
+    numbers = members.withColumns(
+        {
+            "_plain": number(F.col("_raw")),
+            "_current": number(child(F.col("_raw"), "$.current")),
+            "_total": number(child(F.col("_raw"), "$.total")),
+        }
+    )
+    # Members of a value that is no object are absent, so at most one is set.
+    value = F.coalesce("_plain", F.col("_current") / F.nullif(F.col("_total"), F.lit(0.0)))
+    valued = numbers.withColumn("_value", value)
+    return valued.withColumn("_pct", percent_text(F.col("_value"))).select(
+        "job_id", "seq", "stage",
+        F.coalesce(F.concat("stage", F.lit(": "), "_pct", F.lit("%")), F.col("stage")).alias("label"),
     )
 
 
@@ -82,16 +89,13 @@ def job_outcome(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     a map-side aggregate; progress is then joined to it with busy jobs salted.
     """
     jobs = events.groupBy("job_id").agg(F.count("*").alias("n_rows"))
-    parsed = terminal_columns(parse_events(events))
     first = (
-        parsed.where(F.col("outcome").isNotNull())
+        terminal_columns(parse_events(events).where(F.col("type").isin("error", "finish")))
         .groupBy("job_id")
         .agg(F.min_by(F.struct("seq", "outcome", "error"), "seq").alias("_end"))
     )
     ends = jobs.join(first, "job_id", "left")
-    steps = _progress_columns(parse_events(events).where(F.col("type") == "progress")).select(
-        "job_id", "seq", "label"
-    )
+    steps = progress(events).drop("stage")
     seen = (
         skew_join(steps, ends.select("job_id", F.col("_end.seq").alias("_end_seq"), "n_rows"),
                   ["job_id"], hot_rows=hot_rows, spread_by=["seq"])

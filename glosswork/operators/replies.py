@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import child, elements, is_object, strict_json, string_only
 from glosswork.functions.text import py_strip
 from glosswork.operators.batching import BATCH_KEY
@@ -32,7 +33,7 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     """
     if "error" not in paired.columns:
         paired = paired.withColumn("error", F.lit(None).cast("string"))
-    value = paired.withColumn("_v", strict_json(py_strip(F.col("raw"))))
+    value = compute_once(paired, {"_v": strict_json(py_strip(F.col("raw")))})
     rows = value.withColumn("_rows", elements(F.col("_v"), "$.translations"))
 
     pairs = F.transform(
@@ -54,8 +55,7 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     omitted = F.size(F.array_except("job_ids", "_ids"))
     unexpected = F.size(F.array_except("_ids", "job_ids"))
     audited = checked.withColumns({"_dup": repeated, "_omitted": omitted, "_unexpected": unexpected})
-    audited = audited.withColumn(
-        "defect",
+    defect = (
         F.when(F.col("error").isNotNull(), "backend")
         .when(F.col("raw").isNull(), F.lit(None).cast("string"))
         .when(F.col("_v").isNull(), "json")
@@ -63,8 +63,9 @@ def audit_replies(paired: DataFrame) -> DataFrame:
         .when(F.col("_dup").isNotNull(), "duplicate")
         .when(F.col("_omitted") > 0, "omitted")
         .when(F.col("_unexpected") > 0, "unexpected")
-        .when(F.size("_ids") != F.size("job_ids"), "count"),
+        .when(F.size("_ids") != F.size("job_ids"), "count")
     )
+    audited = compute_once(audited, {"defect": defect})
     detail = (
         F.when(F.col("defect") == "backend", F.col("error"))
         .when(F.col("defect") == "json", "reply is not valid JSON")
@@ -111,7 +112,7 @@ def audit_single(replies: DataFrame) -> DataFrame:
     Adds ``translation`` (stripped) and ``defect``: ``json``, ``object`` or
     ``empty``.
     """
-    value = replies.withColumn("_v", strict_json(py_strip(F.col("raw"))))
+    value = compute_once(replies, {"_v": strict_json(py_strip(F.col("raw")))})
     text = py_strip(string_only(child(F.col("_v"), "$.translation")))
     return (
         value.withColumn("_text", text)
@@ -155,17 +156,18 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
     ``pairs`` has ``seg_id, source, output``. Both sides are counted in one
     aggregation (multisets, so repeats matter) instead of being joined.
     """
-    def tokens(text: str, weight: int):
-        found = [
-            F.transform(
-                F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({pattern})"), F.lit(1)),
-                lambda t, c=cls: F.struct(F.lit(c).alias("cls"), t.alias("token"), F.lit(weight).alias("w")),
-            )
-            for cls, pattern in TOKEN_PATTERNS.items()
-        ]
-        return F.concat(*found)
-
-    spread = pairs.select("seg_id", F.inline(F.concat(tokens("source", 1), tokens("output", -1))))
+    def counted(cls: str, pattern: str, side: str, weight: int) -> Column:
+        found = F.regexp_extract_all(F.coalesce(F.col(side), F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+        return F.transform(
+            found, lambda t: F.struct(F.lit(cls).alias("cls"), t.alias("token"), F.lit(weight).alias("w"))
+        )
+
+    every = [
+        counted(cls, pattern, side, weight)
+        for cls, pattern in TOKEN_PATTERNS.items()
+        for side, weight in (("source", 1), ("output", -1))
+    ]
+    spread = pairs.select("seg_id", F.inline(F.concat(*every)))
     balance = spread.groupBy("seg_id", "cls", "token").agg(F.sum("w").alias("d"))
     return balance.groupBy("seg_id", "cls").agg(
         F.sum(F.greatest("d", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added")

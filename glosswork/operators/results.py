@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only
 from glosswork.functions.paths import relative_inside, resolve
 from glosswork.functions.text import js_strip
@@ -48,15 +49,14 @@ def salvage_results(logs: DataFrame) -> DataFrame:
         F.transform(lines, strict_json), lambda v: v.isNotNull() & contract_error(v).isNull()
     )
     found = (
-        logs.withColumn("_whole", whole)
-        .withColumn("_strict", strict_json(F.col("_whole")))
+        compute_once(logs.withColumn("_whole", whole), {"_strict": strict_json(F.col("_whole"))})
         # Only outputs that are no JSON value pay for the line search.
         .withColumn("_last", F.when(F.col("_strict").isNull(), F.try_element_at(candidates, F.lit(-1))))
     )
     problem = F.when(F.col("_strict").isNotNull(), contract_error(F.col("_strict"))).when(
         F.col("_last").isNull(), "parse"
     )
-    done = found.withColumn("problem", problem).withColumn(
+    done = compute_once(found, {"problem": problem}).withColumn(
         "_record", F.when(F.col("problem").isNull(), F.coalesce("_strict", "_last"))
     )
     return done.select(
@@ -131,12 +131,10 @@ def assemble(translated: DataFrame, mode: str = "dual") -> DataFrame:
     grouped = translated.groupBy("doc_id").agg(
         lines.alias("_lines"), F.count("*").alias("n_segments"), F.count("result").alias("n_translated")
     )
-    outputs = F.array(
-        *[
-            F.struct(F.lit(k).alias("kind"), F.array_join(F.transform("_lines", lambda x, k=k: x[k]), "\n").alias("text"))
-            for k in kinds
-        ]
-    )
+    def joined(name: str) -> Column:
+        return F.array_join(F.transform("_lines", lambda line: line.getField(name)), "\n")
+
+    outputs = F.array(*[F.struct(F.lit(k).alias("kind"), joined(k).alias("text")) for k in kinds])
     return grouped.select("doc_id", "n_segments", "n_translated", F.inline(outputs))
 
 

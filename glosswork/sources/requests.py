@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import child, elements, is_object, strict_json, truthy_text
 from glosswork.options import BACKEND_DEFAULT_MODELS, DEFAULT_REQUEST_MODEL, MAX_REQUEST_BYTES
 from glosswork.functions.text import py_strip
@@ -21,7 +22,7 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
     size = F.octet_length("body")
     # Bodies outside the limits are never parsed.
     in_limits = F.when(size.between(1, max_bytes), F.col("body"))
-    parsed = requests.withColumn("_v", strict_json(in_limits)).withColumn(
+    parsed = compute_once(requests, {"_v": strict_json(in_limits)}).withColumn(
         "_messages", elements(F.col("_v"), "$.messages")
     )
     reject = (
@@ -32,7 +33,7 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
         .when(F.exists("_messages", lambda m: ~is_object(m)), "element")
     )
     return (
-        parsed.withColumn("reject", reject)
+        compute_once(parsed, {"reject": reject})
         .withColumn("messages", F.when(F.col("reject").isNull(), F.get_json_object("body", "$.messages")))
         .withColumn(
             "requested_model",
