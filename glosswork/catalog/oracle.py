@@ -227,6 +227,12 @@ _RELATIONS = {
 
 _OFFLINE = "'[zh] ' || text"  # what the offline translator answers
 _RELATIONS["translated"] = f"SELECT *, CASE WHEN translate THEN {_OFFLINE} END AS result FROM gated"
+# The corpus run asks for the default model; memory holds texts stored under it.
+_RELATIONS["remembered"] = """
+      SELECT DISTINCT key_hash, text FROM memory WHERE part = 0 AND effective_model IS NULL"""
+_RELATIONS["corpus"] = f"""
+      SELECT g.*, CASE WHEN translate THEN coalesce(r.text, {_OFFLINE.replace('text', 'g.text')}) END AS result
+      FROM gated g LEFT JOIN remembered r ON g.translate AND r.key_hash = sha256(g.text)"""
 _RELATIONS["pairs"] = f"""
       SELECT seg_id, text || {fx.TOKENS} AS source, {_OFFLINE} || {fx.TOKENS_OUT} AS output FROM wanted"""
 _RELATIONS["tokens"] = " UNION ALL ".join(
@@ -385,6 +391,29 @@ _QUERIES = {
         FROM runs WHERE error IS NOT NULL) WHERE place <= 5""",
     "failure_report": f"""SELECT job_id, md5({_DETAIL}) AS detail_md5, md5({_quote_tail('stdout', 'stdout')}) AS stdout_md5,
         md5({_quote_tail('stderr', "coalesce(stderr, '')")}) AS stderr_md5 FROM logs""",
+    "corpus_documents": """SELECT doc_id, 'mono' AS kind, md5(string_agg(coalesce(result, text), chr(10) ORDER BY pos)) AS text_md5,
+        count(*) AS n_segments, count(result) AS n_translated
+      FROM corpus WHERE page_no IN (1, 2, 3, 5) GROUP BY doc_id
+      UNION ALL
+      SELECT doc_id, 'dual', md5(string_agg(text || coalesce(chr(10) || result, ''), chr(10) ORDER BY pos)),
+        count(*), count(result)
+      FROM corpus WHERE page_no IN (1, 2, 3, 5) GROUP BY doc_id""",
+    "direct_documents": """SELECT doc_id, 'mono' AS kind, md5(string_agg(coalesce(result, text), chr(10) ORDER BY pos)) AS text_md5,
+        count(*) AS n_segments, count(result) AS n_translated FROM corpus GROUP BY doc_id""",
+    "corpus_calls": f"""SELECT 'Model-Y' AS model, CAST(sum(calls) AS BIGINT) AS batches, CAST(0 AS BIGINT) AS failed_batches,
+        CAST(sum(n) AS BIGINT) AS translated_items, CAST(0 AS BIGINT) AS queued_items
+      FROM (SELECT count(*) AS n, (count(*) + {fx.MAX_BATCH - 1}) // {fx.MAX_BATCH} AS calls FROM (
+          SELECT min({{'d': doc_id, 'p': pos}}).d % {fx.WORKERS} AS shard FROM gated
+          WHERE translate AND sha256(text) NOT IN (
+            SELECT key_hash FROM memory WHERE part = 0 AND effective_model = 'Model-Y')
+          GROUP BY text) GROUP BY shard)""",
+    "corpus_memory": f"""SELECT effective_model, CAST(version AS INTEGER) AS version, count(*) AS n_keys,
+        CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (
+          SELECT DISTINCT key_hash, effective_model, text, version FROM memory WHERE part = 0
+          UNION ALL
+          SELECT DISTINCT sha256(text), NULL, {_OFFLINE}, 3 FROM gated
+          WHERE translate AND sha256(text) NOT IN (SELECT key_hash FROM remembered))
+      GROUP BY 1, 2""",
     "failure_counts": f"""SELECT md5({_DETAIL}) AS detail_md5, count(*) AS n_jobs FROM logs GROUP BY 1""",
 }
 

@@ -12,6 +12,7 @@ from glosswork.functions.text import py_strip
 from glosswork.operators import batching, events, library, replies, reports, results, segments
 from glosswork.operators.inference import OfflineTranslator, infer
 from glosswork.options import RunOptions
+from glosswork.plans.corpus import translate_corpus
 from glosswork.session import configure
 from glosswork.sources import files, memory, requests
 
@@ -248,3 +249,40 @@ def failure_report(spark, sf):
 def failure_counts(spark, sf):
     report = reports.failure_report(fx.logs(spark, sf))
     return reports.failure_counts(report).select(F.md5("detail").alias("detail_md5"), "n_jobs")
+
+
+def _corpus_run(spark, sf, **options):
+    stored = memory.memory_upsert(*_memory_tables(spark, sf, (0,)))
+    translator = OfflineTranslator(direct=options.get("transport") == "direct")
+    return translate_corpus(
+        spark, fx.table(spark, sf, "documents"), translator,
+        RunOptions(workers=fx.WORKERS, **options), memory=stored, memory_version=3,
+    )
+
+
+@query
+def corpus_documents(spark, sf):
+    return _corpus_run(spark, sf, mode="both", pages="1-3,5").documents.select(
+        "doc_id", "kind", F.md5("text").alias("text_md5"), "n_segments", "n_translated"
+    )
+
+
+@query
+def corpus_calls(spark, sf):
+    run = _corpus_run(spark, sf, model="Model-Y")
+    return reports.backend_status(run.audited)
+
+
+@query
+def corpus_memory(spark, sf):
+    merged = _corpus_run(spark, sf).memory
+    return merged.groupBy("effective_model", "version").agg(
+        F.count("*").alias("n_keys"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
+@query
+def direct_documents(spark, sf):
+    return _corpus_run(spark, sf, mode="mono", transport="direct").documents.select(
+        "doc_id", "kind", F.md5("text").alias("text_md5"), "n_segments", "n_translated"
+    )

@@ -1,8 +1,8 @@
 """Calling the translation backend from Spark tasks.
 
 A translator is any picklable callable ``(payload, model) -> raw reply``: it
-gets the JSON job list and the model name (None for the backend's default) and
-raises to fail the batch. Spark may repeat a call after losing a task, so a
+gets the JSON job list (direct transport: the text) and the model name (None for
+the backend's default) and raises to fail the batch. Spark may repeat a call after losing a task, so a
 translator must tolerate that; the caller writes replies once and reads them
 back from there.
 """
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.operators.batching import BATCH_KEY, DIRECT_PREAMBLE, PREAMBLE
@@ -27,13 +28,16 @@ class OfflineTranslator:
     """Stand-in for a model: marks each job's last message with the target
     language. It lets the dataflow be tested; it does not translate."""
 
-    def __init__(self, lang_out: str = "zh", broken_models: Sequence[str] = ()) -> None:
+    def __init__(self, lang_out: str = "zh", broken_models: Sequence[str] = (), direct: bool = False) -> None:
         self.lang_out = lang_out
+        self.direct = direct
         self.broken_models = frozenset(broken_models)
 
     def __call__(self, payload: str, model: str | None) -> str:
         if model in self.broken_models:
             raise RuntimeError(f"model {model} is not available")
+        if self.direct:
+            return json.dumps({"translation": f"[{self.lang_out}] {payload}"}, ensure_ascii=False)
         rows = [
             {"id": job["id"], "text": f"[{self.lang_out}] {job['messages'][-1]['content']}"}
             for job in json.loads(payload)
@@ -79,7 +83,7 @@ def infer(batches: DataFrame, translator: Translator, parallelism: int | None =
     many run at once; without it the tasks of the payload shuffle are used.
     """
     if parallelism:
-        batches = batches.repartition(parallelism, "shard", "batch_no")
+        batches = batches.repartition(parallelism, F.xxhash64("job_ids"))
     kept = [*BATCH_KEY, "job_ids"]
     schema = T.StructType(
         [f for f in batches.schema if f.name in kept]

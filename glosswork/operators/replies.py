@@ -127,6 +127,22 @@ def audit_single(replies: DataFrame) -> DataFrame:
     )
 
 
+def audit_direct(paired: DataFrame) -> DataFrame:
+    """``audit_replies`` for calls that carry one text each."""
+    single = audit_single(paired)
+    failed = F.when(F.col("error").isNotNull(), "backend").when(F.col("raw").isNotNull(), F.col("defect"))
+    pair = F.struct(F.get("job_ids", F.lit(0)).alias("id"), F.col("translation").alias("text"))
+    detail = F.when(F.col("defect") == "backend", F.col("error")).when(
+        F.col("defect").isNotNull(), F.concat(F.lit("reply is not usable: "), "defect")
+    )
+    return (
+        single.withColumn("defect", failed)
+        .withColumn("translations", F.when(F.col("translation").isNotNull(), F.array(pair)))
+        .withColumn("detail", detail)
+        .drop("translation")
+    )
+
+
 def deadline_audit(jobs: DataFrame, completions: DataFrame, limit_s: int) -> DataFrame:
     """Add ``done_at`` (first completion within ``limit_s`` of submission) and
     ``timed_out``. ``job_id`` is unique in ``jobs``."""
