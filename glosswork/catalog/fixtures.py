@@ -191,12 +191,27 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("req_id"), F.expr(REQUEST_BODY).alias("body"))
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a file stream (a stream reads folders or patterns)."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def document_requests(documents: DataFrame) -> DataFrame:
+    quoted = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+    rows = documents.select(F.col("doc_id").alias("conv_id"), quoted.alias("messages"))
+    return rows.select(F.col("conv_id").alias("req_id"), F.expr(REQUEST_BODY).alias("body"))
+
+
+def event_bodies(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(EVENT_BODY).alias("body")
     )
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_bodies(table(spark, sf_dir, "events"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("job_id"), F.expr(STDOUT).alias("stdout"), F.expr(STDERR).alias("stderr")

@@ -114,6 +114,24 @@ _RELATIONS = {
                THEN 'codex-cli' ELSE json_extract_string(body, '$.model') END AS requested_model,
              CAST(json_extract(body, '$.messages') AS VARCHAR) AS messages
       FROM triaged WHERE reject IS NULL""",
+    "document_requests": f"""
+      SELECT conv_id AS req_id, {fx.REQUEST_BODY} AS body, text FROM (
+        SELECT doc_id AS conv_id, text,
+               '[{{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}}]' AS messages FROM documents)""",
+    # Which defect a document's request carries is known from its number.
+    "document_triage": f"""
+      SELECT req_id, text, CASE req_id % 12 WHEN 0 THEN 'size' WHEN 1 THEN 'json' WHEN 2 THEN 'object'
+          WHEN 3 THEN 'messages' WHEN 4 THEN 'messages' WHEN 5 THEN 'element' WHEN 9 THEN 'messages'
+          WHEN 10 THEN 'json' END AS reject,
+        CASE req_id % 12 WHEN 6 THEN 'codex-cli' WHEN 7 THEN 'codex-cli' WHEN 8 THEN '12' WHEN 11 THEN ' model-x ' END AS requested_model,
+        CASE WHEN req_id % 12 IN (6, 7, 8, 11) THEN CAST(json_extract(body, '$.messages') AS VARCHAR) END AS messages
+      FROM document_requests""",
+    "document_jobs": f"""
+      SELECT *, (rn - 1) // {fx.MAX_BATCH} AS batch_no FROM (
+        SELECT CAST(req_id AS VARCHAR) AS job_id, CAST(req_id % {fx.WORKERS} AS INTEGER) AS shard, req_id, text, messages,
+               {_routed('requested_model')} AS effective_model,
+               row_number() OVER (PARTITION BY req_id % {fx.WORKERS} ORDER BY req_id) AS rn
+        FROM document_triage WHERE reject IS NULL)""",
     "job_events": f"SELECT user_id AS job_id, event_id AS seq, {fx.EVENT_BODY} AS body FROM events",
     "parsed": """
       SELECT *, CASE WHEN json_type(body, '$.type') = 'VARCHAR' THEN json_extract_string(body, '$.type') END AS type
@@ -414,6 +432,17 @@ _QUERIES = {
           SELECT DISTINCT sha256(text), NULL, {_OFFLINE}, 3 FROM gated
           WHERE translate AND sha256(text) NOT IN (SELECT key_hash FROM remembered))
       GROUP BY 1, 2""",
+    "stream_triage": """SELECT req_id, reject IS NULL AS accepted, reject, requested_model,
+        md5(messages) AS messages_md5 FROM document_triage""",
+    "stream_microbatch": """SELECT shard, batch_no, effective_model, count(*) AS n_jobs,
+        md5('[' || string_agg('{"id":"' || job_id || '","messages":' || messages || '}', ',' ORDER BY req_id) || ']') AS payload_md5
+      FROM document_jobs GROUP BY 1, 2, 3""",
+    "stream_translate": f"""SELECT job_id, CASE WHEN coalesce(effective_model, '') <> '12' THEN md5({_strip(_OFFLINE)}) END AS result_md5,
+        CASE WHEN effective_model = '12' THEN 'batch translation failed: model 12 is not available' END AS error
+      FROM document_jobs""",
+    "stream_outcome": f"{_OUTCOME} WHERE outcome <> 'no_result'",
+    "stream_status": f"""SELECT coalesce(effective_model, 'codex-cli-default') AS model, {_STATUS}
+      FROM audited GROUP BY 1""",
     "failure_counts": f"""SELECT md5({_DETAIL}) AS detail_md5, count(*) AS n_jobs FROM logs GROUP BY 1""",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from glosswork.operators import batching, events, library, replies, reports, res
 from glosswork.operators.inference import OfflineTranslator, infer
 from glosswork.options import RunOptions
 from glosswork.plans.corpus import translate_corpus
-from glosswork.session import configure
+from glosswork.session import configure, scratch_path
 from glosswork.sources import files, memory, requests
+from glosswork.streaming import calls as streaming_calls
+from glosswork.streaming import progress as streaming_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,3 +289,78 @@ def direct_documents(spark, sf):
     return _corpus_run(spark, sf, mode="mono", transport="direct").documents.select(
         "doc_id", "kind", F.md5("text").alias("text_md5"), "n_segments", "n_translated"
     )
+
+
+def _drained(spark, name, stream, partition_by=(), timers=False):
+    """Run the stream over all that is there and read what the sink recorded.
+
+    A query with timers keeps running triggers to look at them, so it is stopped
+    after three without input: by then every window has passed.
+    """
+    path = scratch_path(spark, name)
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").partitionBy(*partition_by)
+    writer = writer.option("checkpointLocation", f"{path}/checkpoint")
+    if timers:
+        running = writer.trigger(processingTime="0 seconds").start()
+        try:
+            while running.isActive:
+                latest = running.recentProgress[-3:]
+                if len(latest) == 3 and not any(p["numInputRows"] for p in latest):
+                    break
+                time.sleep(0.1)
+            if running.exception():
+                raise running.exception()
+        finally:
+            running.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query
+def stream_triage(spark, sf):
+    triaged = streaming_calls.triage_stream(fx.document_requests(fx.table_stream(spark, sf, "documents")))
+    return _drained(spark, "stream_triage", triaged, ["accepted"]).select(
+        "req_id", "accepted", "reject", "requested_model", F.md5("messages").alias("messages_md5")
+    )
+
+
+@query
+def stream_microbatch(spark, sf):
+    jobs = streaming_calls.request_jobs(
+        fx.document_requests(fx.table_stream(spark, sf, "documents")), RunOptions(workers=fx.WORKERS)
+    )
+    packed = streaming_calls.pack_calls(jobs, fx.MAX_BATCH, window_ms=1)
+    return _drained(spark, "stream_microbatch", packed, timers=True).select(
+        *batching.BATCH_KEY, F.size("job_ids").cast("bigint").alias("n_jobs"), F.md5("payload").alias("payload_md5")
+    )
+
+
+@query
+def stream_translate(spark, sf):
+    audited = streaming_calls.translate_stream(
+        fx.document_requests(fx.table_stream(spark, sf, "documents")), OfflineTranslator(broken_models=["12"]),
+        RunOptions(workers=fx.WORKERS, window_ms=1),
+    )
+    return replies.job_answers(_drained(spark, "stream_translate", audited, timers=True)).select(
+        "job_id", F.md5("result").alias("result_md5"), "error"
+    )
+
+
+@query
+def stream_outcome(spark, sf):
+    ended = streaming_progress.outcome_stream(fx.event_bodies(fx.table_stream(spark, sf, "events")))
+    return _drained(spark, "stream_outcome", ended)
+
+
+@query
+def stream_status(spark, sf):
+    path = scratch_path(spark, "stream_status")
+    audited = replies.audit_replies(fx.replies(spark, sf))
+    audited.write.parquet(f"{path}/audited")
+    live = spark.readStream.schema(audited.schema).parquet(f"{path}/audited")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    # One row per model, so the in-memory sink is bounded.
+    (streaming_progress.status_stream(live).writeStream.format("memory").queryName(name).outputMode("complete")
+     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.table(name)

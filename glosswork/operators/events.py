@@ -38,17 +38,24 @@ def progress(events: DataFrame) -> DataFrame:
     The overall figure counts if its key exists, even as null; an object value
     is ``current / total`` if both are numbers and the total is not zero.
     """
-    only = parse_events(events).where(F.col("type") == "progress")
+    return _labelled(parse_events(events).where(F.col("type") == "progress")).select(
+        "job_id", "seq", "stage", "label"
+    )
+
+
+def _labelled(parsed: DataFrame) -> DataFrame:
     # One step per level of use: a member is looked up once, however often the
     # next step refers to it.
-    members = only.select(
-        "job_id",
-        "seq",
-        F.coalesce(
-            *[truthy_text(child(F.col("event"), f"$.{k}")) for k in ("stage", "phase", "name")],
-            F.lit(DEFAULT_STAGE),
-        ).alias("stage"),
-        F.coalesce(child(F.col("event"), "$.overall_progress"), child(F.col("event"), "$.progress")).alias("_raw"),
+    members = parsed.withColumns(
+        {
+            "stage": F.coalesce(
+                *[truthy_text(child(F.col("event"), f"$.{k}")) for k in ("stage", "phase", "name")],
+                F.lit(DEFAULT_STAGE),
+            ),
+            "_raw": F.coalesce(
+                child(F.col("event"), "$.overall_progress"), child(F.col("event"), "$.progress")
+            ),
+        }
     )
     numbers = members.withColumns(
         {
@@ -59,11 +66,10 @@ def progress(events: DataFrame) -> DataFrame:
     )
     # Members of a value that is no object are absent, so at most one is set.
     value = F.coalesce("_plain", F.col("_current") / F.nullif(F.col("_total"), F.lit(0.0)))
-    valued = numbers.withColumn("_value", value)
-    return valued.withColumn("_pct", percent_text(F.col("_value"))).select(
-        "job_id", "seq", "stage",
-        F.coalesce(F.concat("stage", F.lit(": "), "_pct", F.lit("%")), F.col("stage")).alias("label"),
-    )
+    percent = numbers.withColumn("_value", value).withColumn("_pct", percent_text(F.col("_value")))
+    return percent.withColumn(
+        "label", F.coalesce(F.concat("stage", F.lit(": "), "_pct", F.lit("%")), F.col("stage"))
+    ).drop("_raw", "_plain", "_current", "_total", "_value", "_pct")
 
 
 def terminal_columns(parsed: DataFrame) -> DataFrame:
@@ -81,6 +87,13 @@ def terminal_columns(parsed: DataFrame) -> DataFrame:
     )
 
 
+def label_events(events: DataFrame) -> DataFrame:
+    """Progress and terminal events as ``job_id, seq, label, outcome, error``;
+    ``outcome`` is NULL for progress."""
+    known = parse_events(events).where(F.col("type").isin("progress", "error", "finish"))
+    return _labelled(terminal_columns(known)).select("job_id", "seq", "label", "outcome", "error")
+
+
 def job_outcome(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per job: ``outcome``, ``error``, ``n_progress`` and ``last_label``.
 

@@ -16,7 +16,7 @@ from glosswork.operators.results import assemble
 from glosswork.operators.segments import gate, on_pages, segment
 from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
 from glosswork.session import configure, scratch_path
-from glosswork.sources.memory import KEY, memory_misses, memory_upsert
+from glosswork.sources.memory import lookup_keys, memory_upsert
 from glosswork.sources.requests import effective_model
 
 
@@ -86,7 +86,7 @@ def translate_corpus(
         audited=audited,
         segments=segments,
         documents=assemble(segments, options.mode),
-        memory=memory_upsert(fresh.limit(0) if memory is None else memory, fresh),
+        memory=memory_upsert(fresh.where("false") if memory is None else memory, fresh),
     )
 
 
@@ -132,16 +132,12 @@ def _distinct_texts(wanted: DataFrame, options: RunOptions) -> DataFrame:
 
 
 def _lookup(texts: DataFrame, memory: DataFrame | None, options: RunOptions) -> DataFrame:
-    """Add ``memory_text`` and drop the source text of hits. Both sides have one
-    row per key."""
+    """Add ``memory_text`` and drop the source text of hits."""
     if memory is None or options.ignore_cache:
         return texts.withColumn("memory_text", F.lit(None).cast("string"))
-    stored = memory.select(*[F.col(k).alias(f"_m_{k}") for k in KEY], F.col("text").alias("memory_text"))
-    same = F.lit(True)
-    for k in KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    looked_up = texts.join(stored, same, "left").drop(*[f"_m_{k}" for k in KEY])
-    return looked_up.withColumn("text", F.when(F.col("memory_text").isNull(), F.col("text")))
+    return lookup_keys(texts, memory).withColumn(
+        "text", F.when(F.col("memory_text").isNull(), F.col("text"))
+    )
 
 
 def _audited_calls(jobs: DataFrame, translator: Translator, options: RunOptions) -> DataFrame:

@@ -6,7 +6,9 @@ version``; one row per key after ``memory_upsert``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.operators.joins import HOT_ROWS, skew_join
@@ -25,17 +27,16 @@ def memory_lookup(segments: DataFrame, memory: DataFrame, ignore_cache: bool = F
     if ignore_cache:
         return segments.withColumn("memory_text", F.lit(None).cast("string"))
     keys = segments.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    # Memory keys are unique, so no key is hot on either side of this join.
-    stored = memory.select(*KEY, F.col("text").alias("memory_text"))
-    hits = _null_safe_join(keys, stored, "inner")
+    hits = lookup_keys(keys, memory).where(F.col("memory_text").isNotNull())
     return skew_join(segments, hits, KEY, hot_rows=hot_rows)
 
 
-def memory_misses(keys: DataFrame, memory: DataFrame | None, ignore_cache: bool = False) -> DataFrame:
-    """Rows of ``keys`` (one per key) that the memory cannot answer."""
-    if ignore_cache or memory is None:
-        return keys
-    return _null_safe_join(keys, memory.select(*KEY), "left_anti")
+def lookup_keys(keys: DataFrame, memory: DataFrame) -> DataFrame:
+    """Add ``memory_text`` to rows that are unique per key, as the memory is, so
+    no key is hot on either side."""
+    stored = memory.select(*[F.col(k).alias(f"_m_{k}") for k in KEY], F.col("text").alias("memory_text"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in KEY])
+    return keys.join(stored, same, "left").drop(*[f"_m_{k}" for k in KEY])
 
 
 def memory_upsert(memory: DataFrame, replies: DataFrame) -> DataFrame:
@@ -59,14 +60,3 @@ def write_memory(memory: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/version={version}"
     memory.write.mode("errorifexists").parquet(path)
     return path
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    names = [c for c in KEY]
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in names],
-                           *[c for c in right.columns if c not in names])
-    on: Column = F.lit(True)
-    for c in names:
-        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    joined = left.join(renamed, on, how)
-    return joined.drop(*[f"_r_{c}" for c in names])
