@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,6 +112,7 @@ def batch_by_window(
     """
     if max_batch < 1 or window_us < 0:
         raise ValueError("max_batch must be at least 1 and the window not negative")
+    chunk_rows = max(chunk_rows, max_batch)  # a batch spans at most two chunks
     extra = [c for c in arrivals.columns if c not in (key, order_id)]
     timed = arrivals.withColumn("_t", _micros(arrivals, ts))
     narrow = timed.select(key, "_t", order_id)
