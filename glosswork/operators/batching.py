@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswork.operators.joins import skew_join
+from glosswork.operators.joins import is_hot
 from glosswork.operators.ranking import fifo_number
 
 BATCH_KEY = ("shard", "batch_no", "effective_model")
@@ -99,10 +99,11 @@ def batch_by_window(
 ) -> DataFrame:
     """Number batches per key: a job joins the open batch while it has fewer than
     ``max_batch`` jobs and the job arrived before the first one's time plus the
-    window; otherwise it opens the next. Adds ``batch_no`` (from 0 per key).
+    window; otherwise it opens the next. Returns ``key``, ``order_id`` and
+    ``batch_no`` (from 0 per key).
 
     Where a batch starts depends on all earlier ones, yet no key is processed in
-    one piece. A key with more than ``chunk_rows`` rows is cut into chunks. For
+    one piece. A hot key (more than ``chunk_rows`` rows) is cut into chunks. For
     each chunk all ``max_batch`` possible entry positions are followed to the
     chunk's end, in parallel, which yields a small map "entered here, leaves
     there, after n batches". Running through the maps gives each chunk's true
@@ -113,12 +114,10 @@ def batch_by_window(
     if max_batch < 1 or window_us < 0:
         raise ValueError("max_batch must be at least 1 and the window not negative")
     chunk_rows = max(chunk_rows, max_batch)  # a batch spans at most two chunks
-    extra = [c for c in arrivals.columns if c not in (key, order_id)]
-    timed = arrivals.withColumn("_t", _micros(arrivals, ts))
-    narrow = timed.select(key, "_t", order_id)
+    narrow = arrivals.select(key, _micros(arrivals, ts).alias("_t"), order_id)
 
     sizes = narrow.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > chunk_rows).select(key)
+    hot = F.broadcast(sizes.where(is_hot(sizes, "_n", chunk_rows + 1)).select(key))
 
     ranked = fifo_number(
         narrow.join(hot, key, "left_semi"),
@@ -160,7 +159,7 @@ def batch_by_window(
         F.lit(0).alias("_enter"), F.lit(0).cast("bigint").alias("_base"),
     )
     id_type = arrivals.schema[order_id].dataType.simpleString()
-    numbered = (
+    return (
         cold_rows.unionByName(hot_rows)
         .repartition(key, "_chunk")
         .sortWithinPartitions(key, "_chunk", "_t", order_id)
@@ -169,9 +168,6 @@ def batch_by_window(
             f"`{key}` {key_type}, `{order_id}` {id_type}, batch_no bigint",
         )
     )
-    if not extra:
-        return numbered
-    return arrivals.join(numbered, [key, order_id])
 
 
 def _chunk_maps(frames: Iterator[pd.DataFrame], key: str, chunk_rows: int, max_batch: int, window_us: int):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import (
     child, is_json_null, is_object, number, strict_json, string_only, truthy_text,
 )
-from glosswork.operators.joins import HOT_ROWS, skew_join
 
 DEFAULT_STAGE = "working"
 DEFAULT_ERROR = "translation failed"
@@ -94,32 +95,57 @@ def label_events(events: DataFrame) -> DataFrame:
     return _labelled(terminal_columns(known)).select("job_id", "seq", "label", "outcome", "error")
 
 
-def job_outcome(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+# Width of a block of sequence numbers, and of a block of such blocks.
+BLOCKS = (4096, 4096 * 4096)
+
+
+def job_outcome(events: DataFrame, blocks: Sequence[int] = BLOCKS) -> DataFrame:
     """One row per job: ``outcome``, ``error``, ``n_progress`` and ``last_label``.
 
     The first error or finish by ``seq`` decides; what comes later is ignored,
-    progress included. A job without one ends as ``no_result``. The decision is
-    a map-side aggregate; progress is then joined to it with busy jobs salted.
+    progress included. A job without one ends as ``no_result``.
+
+    Summaries of adjoining stretches of a job's events combine into the summary
+    of both, so events are folded by blocks of sequence numbers, then blocks by
+    larger blocks, then those by job. A block of 4096 numbers holds at most 4096
+    events, so no task ever gathers a whole busy job, events are parsed once,
+    and nothing is joined.
     """
-    jobs = events.groupBy("job_id").agg(F.count("*").alias("n_rows"))
-    first = (
-        terminal_columns(parse_events(events).where(F.col("type").isin("error", "finish")))
-        .groupBy("job_id")
-        .agg(F.min_by(F.struct("seq", "outcome", "error"), "seq").alias("_end"))
+    labelled = label_events(events)
+    ended = F.col("outcome").isNotNull()
+    leaves = labelled.select(
+        "job_id", F.col("seq").alias("at"), F.when(ended, 0).otherwise(1).cast("bigint").alias("n"),
+        F.when(~ended, F.col("label")).alias("label"), "outcome", "error",
+    )
+    for width, below in zip(blocks, (1, *blocks)):
+        leaves = _fold(leaves, ["job_id", F.floor(F.col("at") / (width // below)).alias("at")])
+    # Events that count for nothing still make their job known.
+    silent = events.groupBy("job_id").agg(F.lit(0).cast("bigint").alias("n")).select(
+        "job_id", F.lit(-1).cast("bigint").alias("at"), "n",
+        *[F.lit(None).cast("string").alias(c) for c in ("label", "outcome", "error")],
+    )
+    return _fold(leaves.unionByName(silent), ["job_id"]).select(
+        "job_id", F.coalesce("outcome", F.lit("no_result")).alias("outcome"), "error",
+        F.col("n").alias("n_progress"), F.col("label").alias("last_label"),
+    )
+
+
+def _fold(parts: DataFrame, by: list) -> DataFrame:
+    """Combine summaries in order of ``at`` up to the first that has an outcome."""
+    listed = parts.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("at", "n", "label", "outcome", "error"))).alias("_p")
     )
-    ends = jobs.join(first, "job_id", "left")
-    steps = progress(events).drop("stage")
-    seen = (
-        skew_join(steps, ends.select("job_id", F.col("_end.seq").alias("_end_seq"), "n_rows"),
-                  ["job_id"], hot_rows=hot_rows, spread_by=["seq"])
-        .where(F.col("_end_seq").isNull() | (F.col("seq") < F.col("_end_seq")))
-        .groupBy("job_id")
-        .agg(F.count("*").alias("n_progress"), F.max_by("label", "seq").alias("last_label"))
+    end = F.get(F.filter("_p", lambda p: p["outcome"].isNotNull()), F.lit(0))
+    cut = listed.withColumn("_end", end).withColumn(
+        "_p", F.when(F.col("_end").isNull(), F.col("_p")).otherwise(
+            F.filter("_p", lambda p: p["at"] <= F.col("_end.at")))
     )
-    return ends.join(seen, "job_id", "left").select(
-        "job_id",
-        F.coalesce("_end.outcome", F.lit("no_result")).alias("outcome"),
+    keys = [c for c in listed.columns if c != "_p"]
+    spoken = F.filter(F.transform("_p", lambda p: p["label"]), lambda label: label.isNotNull())
+    return cut.select(
+        *keys,
+        F.aggregate("_p", F.lit(0).cast("bigint"), lambda total, p: total + p["n"]).alias("n"),
+        F.try_element_at(spoken, F.lit(-1)).alias("label"),
+        F.col("_end.outcome").alias("outcome"),
         F.col("_end.error").alias("error"),
-        F.coalesce("n_progress", F.lit(0)).alias("n_progress"),
-        "last_label",
     )

@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows is salted. The list of hot keys then has
-# at most rows / HOT_ROWS entries, and Spark measures it before broadcasting.
+# A key is hot if it has at least this many rows and at least one in MAX_HOT_KEYS
+# of all rows. So there are never more than MAX_HOT_KEYS hot keys, whatever the
+# size of the table, and their list can be broadcast.
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
 ROWS_PER_SALT = 250_000
 
 
+def is_hot(counts: DataFrame, rows_col: str, min_rows: int) -> Column:
+    """Condition on a row of ``counts`` (one row per key)."""
+    total = counts.agg(F.sum(rows_col).alias("total")).scalar()
+    return (F.col(rows_col) >= min_rows) & (F.col(rows_col) >= F.ceil(total / F.lit(MAX_HOT_KEYS)))
+
+
 def skew_join(
     fact: DataFrame,
     answers: DataFrame,
@@ -33,20 +41,21 @@ def skew_join(
     is dropped or capped. ``rows_col`` is not part of the result.
     """
     n_salts = F.ceil(F.col(rows_col) / F.lit(rows_per_salt)).cast("int")
-    hot = answers.where(F.col(rows_col) >= hot_rows).select(
+    hot_here = is_hot(answers, rows_col, hot_rows)
+    hot = answers.where(hot_here).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys], n_salts.alias("_salts")
     )
     on_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     # The salt must not depend on evaluation order, or a retried task would send
     # rows elsewhere: it is a hash of the row's own columns.
     spread = list(spread_by or [c for c in fact.columns if c not in keys] or fact.columns)
-    salted = fact.join(hot, on_hot, "left").withColumn(
+    salted = fact.join(F.broadcast(hot), on_hot, "left").withColumn(
         "_salt",
         F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")).otherwise(0),
     ).drop("_salts", *[f"_h_{k}" for k in keys])
 
     payload = [c for c in answers.columns if c not in keys and c != rows_col]
-    copies = F.when(F.col(rows_col) >= hot_rows, F.sequence(F.lit(0), n_salts - 1)).otherwise(
+    copies = F.when(hot_here, F.sequence(F.lit(0), n_salts - 1)).otherwise(
         F.array(F.lit(0))
     )
     repeated = answers.select(

@@ -77,7 +77,7 @@ def gate(
 ) -> DataFrame:
     """Add ``translate``; a segment where it is false passes through unchanged."""
     length = F.char_length(py_strip(F.col("text")))
-    wanted = F.coalesce(F.col("lang") == lang_in, F.lit(False)) & F.coalesce(length >= max(1, min_text_length), F.lit(False))
+    wanted = F.col("lang").eqNullSafe(lang_in) & F.coalesce(length >= max(1, min_text_length), F.lit(False))
     if not translate_table_text:
         wanted = wanted & (F.col("kind") != "table")
     return segments.withColumn("translate", wanted)

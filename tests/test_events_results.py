@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def test_progress_labels(spark):
     assert got == want and want[len(LABELS) - 1].startswith("s: 1000000000000000")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_first_terminal_event_decides(spark, hot_rows):
+@pytest.mark.parametrize("blocks", [(2, 4), (1, 2), (4096, 4096 * 4096)])
+def test_first_terminal_event_decides(spark, blocks):
     step = lambda n: P + f'"stage":"s","progress":{n}}}'
     events = [
         (1, 1, step(10)), (1, 2, step(20)), (1, 3, '{"type":"finish","translate_result":{}}'), (1, 4, '{"type":"error","error":"late"}'), (1, 5, step(30)),
@@ -42,7 +43,7 @@ def test_first_terminal_event_decides(spark, hot_rows):
         (7, 1, '{"type":["error"]}'), (7, 2, '{"type":"error","error":"boom"}'),
     ]
     frame = spark.createDataFrame(events, "job_id bigint, seq bigint, body string")
-    got = {r.job_id: (r.outcome, r.error, r.n_progress, r.last_label) for r in job_outcome(frame, hot_rows).collect()}
+    got = {r.job_id: (r.outcome, r.error, r.n_progress, r.last_label) for r in job_outcome(frame, blocks).collect()}
     assert got == {
         1: ("finish", None, 2, "s: 20%"), 2: ("error", "translation failed", 0, None), 3: ("empty_result", None, 0, None),
         4: ("empty_result", None, 0, None), 5: ("no_result", None, 1, "s: 5%"), 6: ("no_result", None, 0, None),
@@ -50,6 +51,31 @@ def test_first_terminal_event_decides(spark, hot_rows):
     }
 
 
+def test_busy_job_matches_a_plain_walk(spark):
+    rng = random.Random(5)
+    events = []
+    for job, n, first_end in ((1, 700, 650), (2, 300, None), (3, 40, 0)):
+        for i, seq in enumerate(sorted(rng.sample(range(5000), n))):
+            if first_end is not None and (i == first_end or (i > first_end and rng.random() < 0.1)):
+                events.append((job, seq, '{"type":"error","error":"e%d"}' % seq))
+            else:
+                events.append((job, seq, P + '"stage":"s%d","progress":%d}' % (seq, seq)))
+    rng.shuffle(events)
+    want = {}
+    for job, seq, body in sorted(events):
+        outcome, error, count, label = want.get(job, ("no_result", None, 0, None))
+        if outcome == "no_result":
+            if "error" in body:
+                outcome, error = "error", f"e{seq}"
+            else:
+                count, label = count + 1, f"s{seq}: {100 if seq == 1 else seq}%"
+        want[job] = (outcome, error, count, label)
+    frame = spark.createDataFrame(events, "job_id bigint, seq bigint, body string")
+    for blocks in ((16, 256), (4096, 4096 * 4096)):
+        got = {r.job_id: (r.outcome, r.error, r.n_progress, r.last_label) for r in job_outcome(frame, blocks).collect()}
+        assert got == want
+
+
 def rec(**fields):
     return json.dumps(fields)
 
