@@ -358,8 +358,8 @@ _QUERIES = {
       FROM batched j JOIN audited a ON a.shard = j.shard AND a.batch_no = j.batch_no
         AND a.effective_model IS NOT DISTINCT FROM j.effective_model
       LEFT JOIN (SELECT b, id, min(text) AS text FROM kept GROUP BY b, id) k ON k.b = a.b AND k.id = j.job_id""",
-    "deadline_audit": """SELECT j.job_id, any_value(j.submitted_at) AS submitted_at, min(c.done_at) AS done_at,
-        min(c.done_at) IS NULL AS timed_out
+    "deadline_audit": """SELECT j.job_id, min(c.done_at) IS NULL AS timed_out,
+        coalesce(min(epoch_us(c.done_at) - epoch_us(j.submitted_at)), -1) AS waited_us
       FROM (SELECT event_id AS job_id, ts AS submitted_at FROM events) j
       LEFT JOIN (SELECT event_id - 1 AS job_id, ts AS done_at FROM events
                  UNION ALL SELECT event_id - 2, ts FROM events WHERE event_id % 3 = 0
@@ -376,12 +376,12 @@ _QUERIES = {
         CASE WHEN c.problem IS NULL THEN json_extract_string(rec, '$.dual_pdf') END AS dual_pdf,
         coalesce(NOT strict, false) AS recovered, CASE WHEN rec IS NULL THEN 'parse' ELSE problem END AS problem
       FROM whole w LEFT JOIN chosen c USING (job_id)""",
-    "output_manifest": """SELECT job_id, place, kind, rel_path, label, status FROM (
-        SELECT job_id, place, kind, rel_path, label,
+    "output_manifest": """SELECT job_id, kind, rel_path, label, status FROM (
+        SELECT job_id, kind, rel_path, label,
                CASE WHEN path IN (SELECT path FROM output_files) THEN 'ok' ELSE 'missing_file' END AS status
         FROM offered WHERE rel_path IS NOT NULL
         UNION ALL
-        SELECT job_id, NULL, NULL, NULL, NULL,
+        SELECT job_id, NULL, NULL, NULL,
                CASE WHEN job_id IN (SELECT job_id FROM offered) THEN 'outside_root' ELSE 'no_output' END
         FROM results WHERE job_id NOT IN (SELECT job_id FROM offered WHERE rel_path IS NOT NULL))""",
     "result_records": """SELECT job_id, '{"input_pdf":' || CAST(to_json(input_pdf) AS VARCHAR) || ',"mono_pdf":' ||
@@ -396,9 +396,9 @@ _QUERIES = {
       FROM translated GROUP BY doc_id""",
     "backend_status": f"""SELECT coalesce(effective_model, 'codex-cli-default') AS model, {_STATUS}
       FROM audited GROUP BY 1""",
-    "shard_status": f"""SELECT shard, model, {_STATUS}
-      FROM (SELECT *, coalesce(effective_model, 'codex-cli-default') AS model FROM audited)
-      GROUP BY ROLLUP (shard, model)""",
+    "shard_status": f"""SELECT coalesce(CAST(shard AS VARCHAR), 'all') AS shard, coalesce(model, 'all') AS model, {_STATUS}
+      FROM (SELECT *, coalesce(effective_model, 'codex-cli-default') AS model FROM audited) a
+      GROUP BY ROLLUP (a.shard, a.model)""",
     "run_summary": """SELECT run_id, count(*) AS n_targets,
         CAST(coalesce(sum(n_created) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS n_created,
         count(error) AS n_failed,

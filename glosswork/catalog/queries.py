@@ -174,7 +174,10 @@ def deadline_audit(spark, sf):
         return rows.where(condition).select((F.col("event_id") + shift).alias("job_id"), F.col("ts").alias("done_at"))
 
     completions = done(-1).unionByName(done(-2, "event_id % 3 = 0")).unionByName(done(1, "event_id % 4 = 0"))
-    return replies.deadline_audit(submitted, completions, RunOptions().deadline_s)
+    waited = F.expr("timestampdiff(MICROSECOND, submitted_at, done_at)")
+    return replies.deadline_audit(submitted, completions, RunOptions().deadline_s).select(
+        "job_id", "timed_out", F.coalesce(waited, F.lit(-1)).alias("waited_us")
+    )
 
 
 @query
@@ -204,7 +207,9 @@ def result_salvage(spark, sf):
 
 @query
 def output_manifest(spark, sf):
-    return results.output_manifest(fx.results(spark, sf), fx.output_files(spark, sf), fx.OUTPUT_DIR, fx.ROOT)
+    return results.output_manifest(
+        fx.results(spark, sf), fx.output_files(spark, sf), fx.OUTPUT_DIR, fx.ROOT
+    ).drop("place")
 
 
 @query
@@ -228,7 +233,9 @@ def backend_status(spark, sf):
 
 @query
 def shard_status(spark, sf):
-    return reports.shard_status(replies.audit_replies(fx.replies(spark, sf)))
+    status = reports.shard_status(replies.audit_replies(fx.replies(spark, sf)))
+    return status.withColumns({"shard": F.coalesce(F.col("shard").cast("string"), F.lit("all")),
+                               "model": F.coalesce("model", F.lit("all"))})
 
 
 @query
@@ -295,7 +302,7 @@ def _drained(spark, name, stream, partition_by=(), timers=False):
     """Run the stream over all that is there and read what the sink recorded.
 
     A query with timers keeps running triggers to look at them, so it is stopped
-    after three without input: by then every window has passed.
+    after one that found no input: it began after the last window had passed.
     """
     path = scratch_path(spark, name)
     writer = stream.writeStream.format("parquet").option("path", f"{path}/out").partitionBy(*partition_by)
@@ -304,8 +311,8 @@ def _drained(spark, name, stream, partition_by=(), timers=False):
         running = writer.trigger(processingTime="0 seconds").start()
         try:
             while running.isActive:
-                latest = running.recentProgress[-3:]
-                if len(latest) == 3 and not any(p["numInputRows"] for p in latest):
+                latest = running.lastProgress
+                if latest and not latest["numInputRows"]:
                     break
                 time.sleep(0.1)
             if running.exception():
