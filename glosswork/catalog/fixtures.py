@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from glosswork.operators.batching import batch_by_count, build_payload
 from glosswork.operators.segments import gate, segment
 from glosswork.functions.text import text_key
+from glosswork.sources.files import spread
 from glosswork.sources.requests import route_model
 
 WORKERS = 8
@@ -121,7 +122,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(table(spark, sf_dir, "documents"))
+    return segment(spread(table(spark, sf_dir, "documents")))
 
 
 def wanted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,11 +210,11 @@ def event_bodies(events: DataFrame) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_bodies(table(spark, sf_dir, "events"))
+    return event_bodies(spread(table(spark, sf_dir, "events")))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("job_id"), F.expr(STDOUT).alias("stdout"), F.expr(STDERR).alias("stderr")
     )
 

@@ -153,7 +153,7 @@ def reply_audit(spark, sf):
 @query
 def single_reply_audit(spark, sf):
     quoted = F.to_json(F.struct(F.col("text").alias("t")))
-    single = fx.table(spark, sf, "documents").select(
+    single = files.spread(fx.table(spark, sf, "documents")).select(
         "doc_id", F.substring(quoted, F.lit(6), F.length(quoted) - 6).alias("quoted")
     ).select("doc_id", F.expr(fx.SINGLE_REPLY).alias("raw"))
     return replies.audit_single(single).select("doc_id", F.md5("translation").alias("translation_md5"), "defect")

@@ -16,6 +16,7 @@ from glosswork.operators.results import assemble
 from glosswork.operators.segments import gate, on_pages, segment
 from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
 from glosswork.session import configure, scratch_path
+from glosswork.sources.files import spread
 from glosswork.sources.memory import lookup_keys, memory_upsert
 from glosswork.sources.requests import effective_model
 
@@ -51,7 +52,7 @@ def translate_corpus(
     """
     options = options or RunOptions()
     configure(spark)
-    wanted, passed = _split(documents, options)
+    wanted, passed = _split(spread(documents), options)
 
     distinct = _lookup(_distinct_texts(wanted, options), memory, options)
     work = _written(spark, "texts", distinct)

@@ -34,6 +34,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, data_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> int:
+    """Set the number of shuffle partitions for a shuffle of ``data_bytes``.
+
+    Spark merges partitions that turn out small but cannot split those of an
+    aggregation, so the number has to fit the data from the start: the default
+    of 200 would mean 500 GB each at 100 TB. Never lowers the current setting.
+    """
+    wanted = -(-data_bytes // partition_bytes)
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1_000_000))
+    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    return count
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the cluster's shared folder.
 

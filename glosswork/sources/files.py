@@ -25,6 +25,14 @@ def read_inputs(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root, "*.[pP][dD][fF]").where(has_pdf_suffix(F.col("path")))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Repartition a table that has fewer input splits than there are cores, so
+    that parsing and hashing do not run in a few tasks. Large tables have more
+    splits than that and are returned as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def gate_inputs(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Mark each candidate path with why it cannot be translated.
 

@@ -2,9 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork import RunOptions
+from glosswork import __main__ as job
 from glosswork.operators.inference import OfflineTranslator
 from glosswork.operators.segments import dedup_segments, gate, parse_pages, segment
 from glosswork.plans.corpus import translate_corpus
+from glosswork.session import size_shuffles
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +113,35 @@ def test_options():
                 {"max_batch": 65}, {"window_ms": -1}, {"window_ms": 5001}, {"workers": 0}, {"parallelism": 0}):
         with pytest.raises(ValueError):
             RunOptions(**bad)
+
+
+ECHO = ("import json,sys; t=sys.stdin.read(); jobs=json.loads(t[t.index('JOBS_JSON:')+10:]);"
+        "print(json.dumps({'translations':[{'id':j['id'],'text':j['messages'][0]['content'].upper()} for j in jobs]}))")
+ECHO_DIRECT = "import json,sys; t=sys.stdin.read(); print(json.dumps({'translation':t.split('SOURCE:\\n')[1].upper()}))"
+
+
+@pytest.mark.parametrize("extra, program", [([], ECHO), (["--transport", "direct"], ECHO_DIRECT)])
+def test_job_writes_outputs_and_memory(spark, documents, tmp_path, extra, program):
+    import shlex
+    import sys
+
+    few = documents.where("doc_id in (1, 4)")
+    few.write.parquet(str(tmp_path / "in"))
+    command = shlex.join([sys.executable, "-c", program])
+    job.run(spark, job.parse([str(tmp_path / "in"), str(tmp_path / "out"), "--command", command, "--mode", "mono", "--pages", "1", *extra]))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()}
+    assert texts[1].split("\n")[0] == "LINE 1 0 OF THE TEXT" and texts[4].split("\n")[0] == "Line 4 0 of the text"
+    assert spark.read.parquet(str(tmp_path / "out/failures")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out/status")).first().failed_batches == 0
+    again = job.run(spark, job.parse([str(tmp_path / "in"), str(tmp_path / "again"), "--memory", str(tmp_path / "out/memory/version=1"),
+                                      "--version", "2", "--pages", "1", *extra]))
+    assert again.audited.count() == 0
+
+
+def test_shuffle_sizing(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 100 * 10**12) == 372_530
+        assert size_shuffles(spark, 1) == 372_530
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
