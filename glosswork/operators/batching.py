@@ -50,7 +50,7 @@ def batch_by_count(jobs: DataFrame, max_batch: int, workers: int = 1, unit_rows:
         part=["shard"],
         unit=[F.col("doc_id"), F.floor(F.col("pos") / unit_rows)],
         order=["pos"],
-        span=F.floor(F.col("doc_id") / (unit_rows * workers)),
+        spans=[F.floor(F.col("doc_id") / width) for width in (unit_rows * workers, unit_rows * workers * 2**20)],
     )
     return numbered.withColumns(
         {
@@ -124,7 +124,7 @@ def batch_by_window(
         part=[key],
         unit=[F.floor(F.col("_t") / slice_us)],
         order=["_t", order_id],
-        span=F.floor(F.col("_t") / (slice_us * 4096)),
+        spans=[F.floor(F.col("_t") / (slice_us * 4096))],
         name="_rn",
     ).withColumn("_rn", F.col("_rn") - 1)
     chunked = ranked.withColumn("_chunk", F.floor(F.col("_rn") / chunk_rows))

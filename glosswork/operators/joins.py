@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # size of the table, and their list can be broadcast.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
-ROWS_PER_SALT = 250_000
+ROWS_PER_SALT = 1_000_000
 
 
 def is_hot(counts: DataFrame, rows_col: str, min_rows: int) -> Column:

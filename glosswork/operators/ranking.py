@@ -13,38 +13,47 @@ def fifo_number(
     part: Sequence[str],
     unit: Sequence[Column],
     order: Sequence[str],
-    span: Column,
+    spans: Sequence[Column],
     name: str = "rn",
 ) -> DataFrame:
     """``row_number() over (partition by part order by unit, order)`` without
     sorting a whole partition in one task.
 
     Rows are cut into small units (``unit``: expressions that never decrease
-    along the order). Units are counted, the counts are summed up twice (inside
-    a ``span`` of units, then over spans), and each row adds its own position
-    inside its unit. The largest sort is one unit, one span's list of units or
-    one partition's list of spans, never one partition's rows.
+    along the order), units into spans, and those into wider ones (``spans``,
+    narrow to wide, each again never decreasing). Counts are summed up from unit
+    to partition, running totals are passed down again, and each row adds its
+    place inside its unit. The largest sort is one unit's rows, the list of
+    units in a span, or of spans in the next wider one; never a partition's rows.
+    ``part`` and ``unit`` must not be NULL.
     """
     part = list(part)
     units = [f"_u{i}" for i in range(len(unit))]
-    cut = df.select("*", *[e.alias(n) for e, n in zip(unit, units)], span.alias("_span"))
-
-    counts = cut.groupBy(*part, "_span", *units).agg(F.count("*").alias("_n"))
-    in_span = Window.partitionBy(*part, "_span").orderBy(*units).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_span), F.lit(0)))
-
-    spans = counts.groupBy(*part, "_span").agg(F.sum("_n").alias("_span_n"))
-    in_part = Window.partitionBy(*part).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(
-        *part, "_span", F.coalesce(F.sum("_span_n").over(in_part), F.lit(0)).alias("_span_before")
-    )
-
-    offsets = counts.join(spans, [*part, "_span"]).select(
-        *part, "_span", *units, (F.col("_before") + F.col("_span_before")).alias("_offset")
-    )
-    in_unit = Window.partitionBy(*part, "_span", *units).orderBy(*order)
+    levels = [f"_s{i}" for i in range(len(spans))]
+    cut = df.select("*", *[e.alias(n) for e, n in zip([*unit, *spans], [*units, *levels])])
+
+    # From fine to coarse: the key of an entry, and the columns it is summed within.
+    keys = [[*levels, *units], *[levels[i:] for i in range(len(levels))]]
+    counts = cut.groupBy(*part, *keys[0]).agg(F.count("*").alias("_n"))
+    before = []
+    for own, parent in zip(keys, [*keys[1:], []]):
+        inside = [c for c in own if c not in parent]
+        running = (
+            Window.partitionBy(*part, *parent).orderBy(*inside).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        before.append(
+            counts.select(*part, *own, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+        )
+        counts = counts.groupBy(*part, *parent).agg(F.sum("_n").alias("_n"))
+
+    offsets = before[-1]
+    for own, finer in zip(reversed(keys[1:]), reversed(before[:-1])):
+        above = offsets.withColumnRenamed("_before", "_above")
+        offsets = finer.join(above, [*part, *own]).withColumn("_before", F.col("_before") + F.col("_above")).drop("_above")
+
+    in_unit = Window.partitionBy(*part, *keys[0]).orderBy(*order)
     return (
-        cut.join(offsets, [*part, "_span", *units])
-        .withColumn(name, F.col("_offset") + F.row_number().over(in_unit))
+        cut.join(offsets, [*part, *keys[0]])
+        .withColumn(name, F.col("_before") + F.row_number().over(in_unit))
         .select(*df.columns, name)
     )

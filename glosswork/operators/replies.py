@@ -25,8 +25,8 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     """Check each reply against the ids that were asked for.
 
     ``paired`` has the batch key, ``job_ids``, ``raw`` and optionally ``error``.
-    Adds ``translations`` (the usable id/text pairs), ``defect`` and ``detail``;
-    the first rule broken decides: ``backend``, ``json``,
+    Adds ``answered`` (a reply or an error is there), ``translations`` (the
+    usable id/text pairs), ``defect`` and ``detail``; the first rule broken decides: ``backend``, ``json``,
     ``missing_translations``, ``duplicate``, ``omitted``, ``unexpected``,
     ``count``. One defect fails the whole batch. A batch and its reply are one
     row, so everything here is a projection: nothing is exploded or shuffled.
@@ -76,11 +76,10 @@ def audit_replies(paired: DataFrame) -> DataFrame:
               F.concat(F.lit("reply has "), F.col("_unexpected"), F.lit(" unexpected item(s)")))
         .when(F.col("defect") == "count", "reply has another number of items than the batch")
     )
-    return audited.withColumn("detail", detail).drop("_v", "_rows", "_ids", "_dup", "_omitted", "_unexpected")
+    return audited.withColumns({"detail": detail, "answered": _answered()}).drop("_v", "_rows", "_ids", "_dup", "_omitted", "_unexpected")
 
 
-def is_answered() -> Column:
-    """True where a batch got a reply or an error, i.e. is no longer queued."""
+def _answered() -> Column:
     return F.col("raw").isNotNull() | F.col("error").isNotNull()
 
 
@@ -91,7 +90,7 @@ def job_answers(audited: DataFrame) -> DataFrame:
         j.alias("job_id"), F.try_element_at(by_id, j).alias("result"), F.lit(None).cast("string").alias("error")))
     bad = F.transform("job_ids", lambda j: F.struct(
         j.alias("job_id"), F.lit(None).cast("string").alias("result"), F.col("detail").alias("error")))
-    return audited.where(is_answered()).select(
+    return audited.where("answered").select(
         F.inline(F.when(F.col("defect").isNull(), good).otherwise(bad))
     )
 
@@ -138,7 +137,7 @@ def audit_direct(paired: DataFrame) -> DataFrame:
     return (
         single.withColumn("defect", failed)
         .withColumn("translations", F.when(F.col("translation").isNotNull(), F.array(pair)))
-        .withColumn("detail", detail)
+        .withColumns({"detail": detail, "answered": _answered()})
         .drop("translation")
     )
 
@@ -183,7 +182,8 @@ def preservation_audit(pairs: DataFrame) -> DataFrame:
         for cls, pattern in TOKEN_PATTERNS.items()
         for side, weight in (("source", 1), ("output", -1))
     ]
-    spread = pairs.select("seg_id", F.inline(F.concat(*every)))
+    # One segment's tokens come from one row; one shuffle serves both groupings.
+    spread = pairs.select("seg_id", F.inline(F.concat(*every))).repartition("seg_id", "cls")
     balance = spread.groupBy("seg_id", "cls", "token").agg(F.sum("w").alias("d"))
     return balance.groupBy("seg_id", "cls").agg(
         F.sum(F.greatest("d", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.text import first_filled, js_strip, json_quote, py_strip, tail
 from glosswork.options import DEFAULT_MODEL_LABEL
-from glosswork.operators.replies import is_answered
 
 # How much of an error text is kept, by who reports it.
 BACKEND_TAIL = 2000
@@ -17,7 +16,7 @@ DIAGNOSTIC_TAIL = 1200
 
 
 def status_columns() -> list[Column]:
-    answered, good = is_answered(), F.col("defect").isNull()
+    answered, good = F.col("answered"), F.col("defect").isNull()
     n_jobs = F.size("job_ids").cast("bigint")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return [
@@ -40,7 +39,7 @@ def backend_status(audited: DataFrame) -> DataFrame:
 def shard_status(audited: DataFrame) -> DataFrame:
     """The same counters per shard and model with subtotals per shard and a
     total; NULL marks a subtotal."""
-    labelled = audited.select("shard", model_label(), "job_ids", "raw", "error", "defect")
+    labelled = audited.select("shard", model_label(), "job_ids", "answered", "defect")
     return labelled.rollup("shard", "model").agg(*status_columns())
 
 

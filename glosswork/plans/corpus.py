@@ -57,7 +57,9 @@ def translate_corpus(
     distinct = _lookup(_distinct_texts(wanted, options), memory, options)
     work = _written(spark, "texts", distinct)
 
-    audited = _written(spark, "replies", _audited_calls(work.where(F.col("memory_text").isNull()), translator, options))
+    calls = _audited_calls(work.where(F.col("memory_text").isNull()), translator, options)
+    # The texts of a good reply are in ``translations``; only bad ones keep ``raw``.
+    audited = _written(spark, "replies", calls.withColumn("raw", F.when(F.col("defect").isNotNull(), F.col("raw"))))
 
     answers = (
         work.join(job_answers(audited), "job_id", "left")

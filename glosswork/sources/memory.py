@@ -27,8 +27,8 @@ def memory_lookup(segments: DataFrame, memory: DataFrame, ignore_cache: bool = F
     if ignore_cache:
         return segments.withColumn("memory_text", F.lit(None).cast("string"))
     keys = segments.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    hits = lookup_keys(keys, memory).where(F.col("memory_text").isNotNull())
-    return skew_join(segments, hits, KEY, hot_rows=hot_rows)
+    # Misses stay in the list: a hot text has to be spread whether or not it is known.
+    return skew_join(segments, lookup_keys(keys, memory), KEY, hot_rows=hot_rows)
 
 
 def lookup_keys(keys: DataFrame, memory: DataFrame) -> DataFrame:

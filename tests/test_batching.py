@@ -33,7 +33,7 @@ def test_count_batches_match_a_plain_queue(spark, workers, unit_rows, max_batch)
 
 def test_fifo_number_sorts_units_only(spark):
     frame = spark.range(100).select(F.lit("k").alias("k"), "id", F.lit("text").alias("text"))
-    ranked = fifo_number(frame, ["k"], [F.floor(F.col("id") / 10)], ["id"], F.floor(F.col("id") / 50))
+    ranked = fifo_number(frame, ["k"], [F.floor(F.col("id") / 10)], ["id"], [F.floor(F.col("id") / 30), F.floor(F.col("id") / 60)])
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert [r.rn for r in ranked.orderBy("id").collect()] == list(range(1, 101))
     # No window runs over a whole partition's rows: those by k alone see span totals.

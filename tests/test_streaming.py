@@ -106,9 +106,9 @@ def test_outcomes_across_files(spark, tmp_path):
 
 
 def test_status_streams(spark, tmp_path):
-    schema = "effective_model string, job_ids array<string>, raw string, error string, defect string, at timestamp"
-    rows = [(None, ["a", "b"], "r", None, None, "2024-01-01T00:00:10"), ("m", ["c"], None, "down", "backend", "2024-01-01T00:00:20"),
-            ("m", ["d"], None, None, None, "2024-01-01T00:05:00"), (None, ["e"], "r", None, None, "2024-01-01T01:00:00")]
+    schema = "effective_model string, job_ids array<string>, answered boolean, defect string, at timestamp"
+    rows = [(None, ["a", "b"], True, None, "2024-01-01T00:00:10"), ("m", ["c"], True, "backend", "2024-01-01T00:00:20"),
+            ("m", ["d"], False, None, "2024-01-01T00:05:00"), (None, ["e"], True, None, "2024-01-01T01:00:00")]
     put(spark, tmp_path / "in", rows, schema.replace("at timestamp", "at string"))
     live = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     status = status_stream(live).writeStream.format("memory").queryName("live_status").outputMode("complete")
