@@ -1,6 +1,7 @@
-"""Spark job: translate a table of documents with a command.
+r"""Spark job: translate a table of documents with a command.
 
-    spark-submit -m glosswork DOCUMENTS OUTPUT --command "my-model --json" [options]
+    spark-submit --py-files glosswork.zip glosswork/__main__.py DOCUMENTS OUTPUT \
+        --command "my-model --json" [options]
 
 ``DOCUMENTS`` is parquet with ``doc_id, text, lang``. Below ``OUTPUT`` the job
 writes ``documents`` (by kind), ``failures`` (segments whose call failed),
