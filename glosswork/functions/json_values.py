@@ -7,9 +7,20 @@ whole record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.frames import compute_once
+
+
+def _boxed(text: Column, mark: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+
+
+def _unboxed(boxed: Column, mark: Column) -> Column:
+    complete = F.try_variant_get(boxed, "$[1]", "bigint") == mark
+    return F.when(complete, F.try_variant_get(boxed, "$[0]", "variant"))
+
 
 def strict_json(text: Column) -> Column:
     """Parse a complete JSON document, NULL if it is not one.
@@ -20,9 +31,16 @@ def strict_json(text: Column) -> Column:
     hash as second element was the text exactly one JSON value.
     """
     mark = F.xxhash64(text)
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    complete = F.try_variant_get(boxed, "$[1]", "bigint") == mark
-    return F.when(complete, F.try_variant_get(boxed, "$[0]", "variant"))
+    return _unboxed(_boxed(text, mark), mark)
+
+
+def with_json(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the parsed ``text`` as a column. Same as ``strict_json``, but each
+    step is its own projection, so a long text is stripped, hashed and parsed
+    once however often its value is used."""
+    steps = df.withColumn("_text", text).withColumn("_mark", F.xxhash64("_text"))
+    steps = steps.withColumn("_boxed", _boxed(F.col("_text"), F.col("_mark")))
+    return compute_once(steps, {name: _unboxed(F.col("_boxed"), F.col("_mark"))}).drop("_text", "_mark", "_boxed")
 
 
 def child(value: Column, path: str) -> Column:

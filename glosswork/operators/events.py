@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
 from glosswork.functions.json_values import (
-    child, is_json_null, is_object, number, strict_json, string_only, truthy_text,
+    child, is_json_null, is_object, number, string_only, truthy_text, with_json,
 )
 
 DEFAULT_STAGE = "working"
@@ -19,7 +19,7 @@ DEFAULT_ERROR = "translation failed"
 def parse_events(events: DataFrame) -> DataFrame:
     """Add the parsed body as ``event`` and its ``type``; bodies that are not
     JSON objects are skipped."""
-    parsed = compute_once(events, {"event": strict_json(F.col("body"))}).where(is_object(F.col("event")))
+    parsed = with_json(events, F.col("body"), "event").where(is_object(F.col("event")))
     return compute_once(parsed, {"type": string_only(child(F.col("event"), "$.type"))})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, elements, is_object, strict_json, string_only
+from glosswork.functions.json_values import child, is_object, string_only, with_json
 from glosswork.functions.text import py_strip
 from glosswork.operators.batching import BATCH_KEY
 
@@ -33,15 +33,16 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     """
     if "error" not in paired.columns:
         paired = paired.withColumn("error", F.lit(None).cast("string"))
-    value = compute_once(paired, {"_v": strict_json(py_strip(F.col("raw")))})
-    rows = value.withColumn("_rows", elements(F.col("_v"), "$.translations"))
-
+    value = with_json(paired, py_strip(F.col("raw")), "_v")
+    # One cast opens all rows; a row that is no object becomes NULL, a member that
+    # is no string keeps its own type and is sorted out below.
+    rows = value.withColumn(
+        "_rows",
+        F.try_variant_get(F.col("_v"), "$.translations", "array<struct<id: variant, text: variant>>"),
+    )
     pairs = F.transform(
         "_rows",
-        lambda r: F.struct(
-            string_only(child(r, "$.id")).alias("id"),
-            py_strip(string_only(child(r, "$.text"))).alias("text"),
-        ),
+        lambda r: F.struct(string_only(r["id"]).alias("id"), py_strip(string_only(r["text"])).alias("text")),
     )
     usable = F.filter(pairs, lambda p: p["id"].isNotNull() & (p["text"] != ""))
     checked = rows.withColumn("translations", usable).withColumn(
@@ -111,7 +112,7 @@ def audit_single(replies: DataFrame) -> DataFrame:
     Adds ``translation`` (stripped) and ``defect``: ``json``, ``object`` or
     ``empty``.
     """
-    value = compute_once(replies, {"_v": strict_json(py_strip(F.col("raw")))})
+    value = with_json(replies, py_strip(F.col("raw")), "_v")
     text = py_strip(string_only(child(F.col("_v"), "$.translation")))
     return (
         value.withColumn("_text", text)

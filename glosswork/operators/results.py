@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only
+from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only, with_json
 from glosswork.functions.paths import relative_inside, resolve
 from glosswork.functions.text import js_strip
 from glosswork.options import MODES
@@ -49,7 +49,7 @@ def salvage_results(logs: DataFrame) -> DataFrame:
         F.transform(lines, strict_json), lambda v: v.isNotNull() & contract_error(v).isNull()
     )
     found = (
-        compute_once(logs.withColumn("_whole", whole), {"_strict": strict_json(F.col("_whole"))})
+        with_json(logs.withColumn("_whole", whole), F.col("_whole"), "_strict")
         # Only outputs that are no JSON value pay for the line search.
         .withColumn("_last", F.when(F.col("_strict").isNull(), F.try_element_at(candidates, F.lit(-1))))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, elements, is_object, strict_json, truthy_text
+from glosswork.functions.json_values import child, elements, is_object, truthy_text, with_json
 from glosswork.options import BACKEND_DEFAULT_MODELS, DEFAULT_REQUEST_MODEL, MAX_REQUEST_BYTES
 from glosswork.functions.text import py_strip
 
@@ -22,7 +22,7 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
     size = F.octet_length("body")
     # Bodies outside the limits are never parsed.
     in_limits = F.when(size.between(1, max_bytes), F.col("body"))
-    parsed = compute_once(requests, {"_v": strict_json(in_limits)}).withColumn(
+    parsed = with_json(requests, in_limits, "_v").withColumn(
         "_messages", elements(F.col("_v"), "$.messages")
     )
     reject = (
