@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,6 +298,19 @@ def direct_documents(spark, sf):
     )
 
 
+@contextmanager
+def _state_partitions(spark):
+    """A stateful stream keeps the number of partitions it starts with; one per
+    core is enough for these keys, whatever the session uses for batch shuffles."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _drained(spark, name, stream, partition_by=(), timers=False):
     """Run the stream over all that is there and read what the sink recorded.
 
@@ -307,20 +320,17 @@ def _drained(spark, name, stream, partition_by=(), timers=False):
     path = scratch_path(spark, name)
     writer = stream.writeStream.format("parquet").option("path", f"{path}/out").partitionBy(*partition_by)
     writer = writer.option("checkpointLocation", f"{path}/checkpoint")
-    if timers:
-        running = writer.trigger(processingTime="0 seconds").start()
+    with _state_partitions(spark):
+        trigger = {"processingTime": "0 seconds"} if timers else {"availableNow": True}
+        running = writer.trigger(**trigger).start()
         try:
             while running.isActive:
                 latest = running.lastProgress
-                if latest and not latest["numInputRows"]:
+                if timers and latest and not latest["numInputRows"]:
                     break
-                time.sleep(0.1)
-            if running.exception():
-                raise running.exception()
+                running.awaitTermination(0.1)  # raises if the query has failed
         finally:
             running.stop()
-    else:
-        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -368,6 +378,7 @@ def stream_status(spark, sf):
     live = spark.readStream.schema(audited.schema).parquet(f"{path}/audited")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     # One row per model, so the in-memory sink is bounded.
-    (streaming_progress.status_stream(live).writeStream.format("memory").queryName(name).outputMode("complete")
-     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    with _state_partitions(spark):
+        (streaming_progress.status_stream(live).writeStream.format("memory").queryName(name).outputMode("complete")
+         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     return spark.table(name)
