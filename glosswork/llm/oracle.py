@@ -9,3 +9,19 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
 """
+
+# The template, written anew: `<turn>` role, newline, text, `</turn>`, newline, where
+# `&` and `<` of texts are replaced.
+ORACLE["op8_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS n,
+                  length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(6 + r + 1 + n + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
