@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import chat_format, exact_dedup
+from glosswork.llm import chat_format, exact_dedup, secret_scan
 from glosswork.llm.common import table
-from glosswork.session import configure
+from glosswork.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,3 +38,17 @@ def op8_chat_format(spark, sf):
     )
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.digests(chat_format.render(chat_format.fold_events(chat_format.log_of(turns))))
+
+
+@query
+def op2_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger = secret_scan.update_ledger(docs, scratch_path(spark, "secret-ledger"))
+    found = secret_scan.findings(docs, ledger)
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.joined(of(*[r.kind for r in secret_scan.BASE_RULES])).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
