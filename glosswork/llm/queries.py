@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import chat_format, exact_dedup, secret_scan
+from glosswork.llm import bpe, chat_format, exact_dedup, secret_scan
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
 
@@ -52,3 +52,8 @@ def op2_secret_scan(spark, sf):
         F.sha2(secret_scan.joined(of(*[r.kind for r in secret_scan.BASE_RULES])).cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op3_bpe_tree(spark, sf):
+    return bpe.round_trip(table(spark, sf, "documents"), bpe.public_vocabulary())
