@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import bpe, chat_format, exact_dedup, secret_scan
+from glosswork.llm import bpe, chat_format, exact_dedup, quality, secret_scan
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
 
@@ -24,7 +24,7 @@ def query(function):
 
 @query
 def op10_exact_dedup(spark, sf):
-    return exact_dedup.mark_copies(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    return exact_dedup.mark_copies(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -57,3 +57,13 @@ def op2_secret_scan(spark, sf):
 @query
 def op3_bpe_tree(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), bpe.public_vocabulary())
+
+
+@query
+def op5_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    return quality.with_scores(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
