@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import bpe, chat_format, exact_dedup, quality, secret_scan
+from glosswork.llm import bpe, chat_format, decontaminate, exact_dedup, quality, secret_scan
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
 
@@ -67,3 +67,8 @@ def op5_quality(spark, sf):
         "doc_id", quality.held_out().alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_decontaminate(spark, sf):
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
