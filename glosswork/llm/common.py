@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.session import scratch_path
 
 # The largest side that is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import bpe, chat_format, decontaminate, exact_dedup, quality, secret_scan
+from glosswork.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, secret_scan
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
 
@@ -72,3 +72,9 @@ def op5_quality(spark, sf):
 @query
 def op9_decontaminate(spark, sf):
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op1_jaccard_join(spark, sf):
+    rule = jaccard_join.Threshold(words=4, num=85, den=100)
+    return jaccard_join.classify(table(spark, sf, "documents"), rule)
