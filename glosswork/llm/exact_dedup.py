@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import written
+from glosswork.llm.common import text_of, written
 
 HOT_SHARE = 1000
 SALTS = 256
@@ -26,41 +26,47 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(text, ASCII_SPACE, "")
+    for space in ASCII_SPACE:
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return text
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (the whole input row), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    ident = F.col("row").getField(id_col)
-    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
-    norm = normalised(text)
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """``row`` (the columns ``keep``), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    The normalised text travels with the row, so it is made once before the shuffle and
+    not again for each comparison.
+    """
+    text = text_of(text_col)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.length(text).alias("points"), normalised(text).alias("norm"),
+    )
     total = docs.count()
     hot = written(
-        rows.groupBy(F.xxhash64(norm).alias("hot")).count()
+        rows.groupBy(F.xxhash64("norm").alias("hot")).count()
         .where(F.col("count") * HOT_SHARE >= total)
         .select("hot"),
         "hot-texts",
     )
-    hashed = rows.withColumn("hash", F.xxhash64(norm))
-    salt = 1 + F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")
+    hashed = rows.withColumn("hash", F.xxhash64("norm"))
+    salt = 1 + F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     salted = hashed.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left").select(
-        "row", F.when(F.col("hot").isNull(), 0).otherwise(salt).alias("salt"))
+        "row", "id", "points", "norm", F.when(F.col("hot").isNull(), 0).otherwise(salt).alias("salt"))
+    sha = F.sha2(F.col("norm").cast("binary"), 256)
     same = W.partitionBy("norm", "salt")
     best_first = same.orderBy(F.desc("points"), F.asc_nulls_last("id"))
-    placed = (
-        salted.repartitionByRange(norm, F.col("salt"))
-        .select("row", "salt", norm.alias("norm"), F.length(text).alias("points"), ident.alias("id"))
-        .select("row", "salt", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-                F.row_number().over(best_first).alias("rank"),
-                F.first("id").over(best_first).alias("best"),
-                F.count(F.lit(1)).over(same).alias("size"))
+    placed = salted.repartitionByRange("norm", "salt").select(
+        "row", "salt", sha.alias("text_sha256"),
+        F.row_number().over(best_first).alias("rank"),
+        F.first("id").over(best_first).alias("best"),
+        F.count(F.lit(1)).over(same).alias("size"),
     )
     # At most HOT_SHARE texts times SALTS rows reach this merge.
     order = F.struct(-F.col("points"), F.col("id").isNull(), F.col("id"))
     hot_groups = (
         hashed.join(F.broadcast(hot), F.col("hash") == F.col("hot"))
-        .select(salt.alias("salt"), F.sha2(norm.cast("binary"), 256).alias("sha"), F.length(text).alias("points"), ident.alias("id"))
+        .select(salt.alias("salt"), sha.alias("sha"), "points", "id")
         .groupBy("sha", "salt").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
         .groupBy("sha").agg(F.min(F.struct("first", "salt")).alias("first"), F.sum("n").alias("hot_size"))
         .select("sha", F.col("first.first.id").alias("hot_best"), F.col("first.salt").alias("hot_salt"), "hot_size")
@@ -76,8 +82,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``
-    (input columns of these names are left out).
+    """Every row of ``docs`` without its text, with ``keep_id``, ``group_size``, ``kept``
+    and ``text_sha256`` (input columns of these names are left out).
 
     Texts are equal when they are the same after ASCII white space is deleted; null
     counts as empty, and all empty texts are one group. Of a group the row with the
@@ -85,10 +91,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated rows exactly one. An empty table gives an empty table.
     """
     made = ["keep_id", "group_size", "kept", "text_sha256"]
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
-    return _marked(docs, id_col, text_col).select(*kept, *made)
+    keep = [c for c in docs.columns if c not in (*made, text_col)]
+    return _marked(docs, id_col, text_col, keep).select("row.*", *made)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with the columns of ``docs`` and no others."""
-    return _marked(docs, id_col, text_col).where("kept").select("row.*")
+    return _marked(docs, id_col, text_col, docs.columns).where("kept").select("row.*")
