@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, secret_scan
+from glosswork.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    packing,
+    quality,
+    repeat_removal,
+    secret_scan,
+)
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
 
@@ -78,3 +88,13 @@ def op9_decontaminate(spark, sf):
 def op1_jaccard_join(spark, sf):
     rule = jaccard_join.Threshold(words=4, num=85, den=100)
     return jaccard_join.classify(table(spark, sf, "documents"), rule)
+
+
+@query
+def op4_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), bpe.public_vocabulary())
+
+
+@query
+def op7_repeat_removal(spark, sf):
+    return repeat_removal.find_repeats(table(spark, sf, "documents"))
