@@ -14,6 +14,7 @@ from glosswork.llm import (
     exact_dedup,
     jaccard_join,
     packing,
+    pseudonyms,
     quality,
     repeat_removal,
     secret_scan,
@@ -98,3 +99,19 @@ def op4_packing(spark, sf):
 @query
 def op7_repeat_removal(spark, sf):
     return repeat_removal.find_repeats(table(spark, sf, "documents"))
+
+
+# A real run gets its key from a secret store.
+EXAMPLE_KEY = "example key"
+
+
+@query
+def op6_pseudonyms(spark, sf):
+    """Documents that hold values; the others are unchanged and left out."""
+    replaced = pseudonyms.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+    return replaced.where(F.size("pii") > 0).select(
+        "doc_id", F.size("pii").alias("n_values"),
+        F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"])).alias("spans"),
+        F.transform("pii", lambda p: p["pseudonym"]).alias("pseudonyms"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
