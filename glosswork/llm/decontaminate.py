@@ -137,7 +137,7 @@ def align(item: np.ndarray, points: np.ndarray, diagonal: int, width: int) -> tu
         inside = (at >= 0) & (at < len(points))
         differs = np.where(inside, padded[np.clip(at, 0, len(points))] != point, True)
         step = state + np.where(inside, differs * base, base << 20)  # both advance
-        skip = np.append(state[1:], base << 40) + base  # the item's character is missing
+        skip = np.append(state[1:], base << 20) + base  # the item's character is missing
         best = np.minimum(step, skip)
         # Extra characters of the document: a running minimum along the row.
         best = np.minimum.accumulate(best - lane * base) + lane * base
@@ -155,7 +155,9 @@ def occurrences(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     for at in range(0, max(1, len(points) - overlap), SEGMENT):
         part = points[at: at + SEGMENT + overlap]
         for i, diagonal, width in bands(index, part):
-            edits, start, end = align(index.items[i], part, diagonal, width)
+            # The ends of a path may hold no q-gram and leave the band by the budget.
+            margin = int(index.budget[i])
+            edits, start, end = align(index.items[i], part, diagonal - margin, width + 2 * margin)
             if edits <= index.budget[i] and end > start:
                 found.setdefault(i, []).append((edits, at + start, at + end))
     out = []
