@@ -1,77 +1,68 @@
-r"""Spark job: translate a table of documents with a command.
+r"""Spark job: translate a table of documents.
 
-    spark-submit --py-files glosswork.zip glosswork/__main__.py DOCUMENTS OUTPUT \
-        --command "my-model --json" [options]
+    spark-submit --py-files glosswork.zip,backend.py glosswork/__main__.py DOCUMENTS OUTPUT \
+        --translator backend:translate [options]
 
-``DOCUMENTS`` is parquet with ``doc_id, text, lang``. Below ``OUTPUT`` the job
-writes ``documents`` (by kind), ``failures`` (segments whose call failed),
-``status`` (counters per model) and ``memory`` (pass it to the next run with
-``--memory`` to skip what is done).
+``DOCUMENTS`` is parquet with ``doc_id, text, lang``; ``backend:translate`` names a
+callable ``(payload, model) -> reply``. Every field of ``RunOptions`` is an option.
+Below ``OUTPUT`` the job writes ``documents`` (by kind), ``failures`` (segments whose
+call failed), ``status`` (counters per model) and ``memory`` (pass it to the next run
+with ``--memory`` to skip what is done).
 """
 
 from __future__ import annotations
 
 import argparse
-import shlex
+import dataclasses
+import importlib
+import typing
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from glosswork.operators.inference import CommandTranslator, OfflineTranslator, Translator, direct_prompt
+from glosswork.operators.inference import OfflineTranslator, Translator
 from glosswork.operators.reports import backend_status
 from glosswork.operators.results import write_outputs
-from glosswork.options import MODES, TRANSPORTS, RunOptions
+from glosswork.options import RunOptions
 from glosswork.plans.corpus import CorpusRun, translate_corpus
 from glosswork.session import configure, size_shuffles
 from glosswork.sources.memory import write_memory
 
-LANGUAGES = {"en": "English", "zh": "Simplified Chinese"}
-
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="glosswork")
     p.add_argument("documents")
     p.add_argument("output")
-    p.add_argument("--command", help="translation backend; without it texts are only marked")
+    p.add_argument("--translator", help="module:callable; without it texts are only marked")
     p.add_argument("--memory", help="translation memory of an earlier run")
     p.add_argument("--version", type=int, default=1, help="version of the memory written")
-    p.add_argument("--mode", choices=MODES, default="dual")
-    p.add_argument("--pages", help="for example 1,2,4-6")
-    p.add_argument("--transport", choices=TRANSPORTS, default="bridge")
-    p.add_argument("--model")
-    p.add_argument("--timeout", type=int, default=240)
-    p.add_argument("--batch-size", type=int, default=4)
-    p.add_argument("--workers", type=int, default=1)
-    p.add_argument("--parallelism", type=int)
-    p.add_argument("--ignore-cache", action="store_true")
-    p.add_argument("--no-table-text", action="store_true")
     p.add_argument("--data-bytes", type=int, help="size of the texts, to size shuffles")
+    kinds = typing.get_type_hints(RunOptions)
+    for field in dataclasses.fields(RunOptions):
+        flag = "--" + field.name.replace("_", "-")
+        if kinds[field.name] is bool:
+            p.add_argument(flag, action=argparse.BooleanOptionalAction, default=field.default)
+        else:
+            kind = int if int in (kinds[field.name], *typing.get_args(kinds[field.name])) else str
+            p.add_argument(flag, type=kind, default=field.default)
     return p.parse_args(argv)
 
 
-def _translator(args: argparse.Namespace, options: RunOptions) -> Translator:
-    direct = options.transport == "direct"
-    if not args.command:
-        return OfflineTranslator(options.lang_out, direct=direct)
-    preamble = {}
-    if direct:
-        languages = [LANGUAGES.get(c, c) for c in (options.lang_in, options.lang_out)]
-        preamble = {"preamble": direct_prompt("", *languages).rstrip("\n") + "\n"}
-    return CommandTranslator(shlex.split(args.command), options.timeout_s, **preamble)
+def load_translator(name: str | None, options: RunOptions) -> Translator:
+    if not name:
+        return OfflineTranslator(options.lang_out, direct=options.transport == "direct")
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> CorpusRun:
-    options = RunOptions(
-        mode=args.mode, pages=args.pages, transport=args.transport, model=args.model, timeout_s=args.timeout,
-        max_batch=args.batch_size, workers=args.workers, parallelism=args.parallelism,
-        ignore_cache=args.ignore_cache, translate_table_text=not args.no_table_text,
-    )
+    options = RunOptions(**{f.name: getattr(args, f.name) for f in dataclasses.fields(RunOptions)})
     configure(spark)
     if args.data_bytes:
         size_shuffles(spark, args.data_bytes)
     memory = spark.read.parquet(args.memory) if args.memory else None
     done = translate_corpus(
-        spark, spark.read.parquet(args.documents), _translator(args, options), options, memory, args.version
+        spark, spark.read.parquet(args.documents), load_translator(args.translator, options), options, memory, args.version
     )
     output = args.output.rstrip("/")
     write_outputs(done.documents, f"{output}/documents")

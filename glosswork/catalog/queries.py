@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,45 +298,49 @@ def direct_documents(spark, sf):
     )
 
 
-@contextmanager
-def _state_partitions(spark):
-    """A stateful stream keeps the number of partitions it starts with; one per
-    core is enough for these keys, whatever the session uses for batch shuffles."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+# A stateful stream keeps the number of partitions it starts with for life.
+STATE_PARTITIONS = 8
+
+
+def _stream_session(spark, state_partitions=STATE_PARTITIONS):
+    """A session of its own, so that the caller's settings stay as they are."""
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return own
 
 
-def _drained(spark, name, stream, partition_by=(), timers=False):
+def _drained(spark, name, stream, partition_by=(), window_ms=None):
     """Run the stream over all that is there and read what the sink recorded.
 
-    A query with timers keeps running triggers to look at them, so it is stopped
-    after one that found no input: it began after the last window had passed.
+    A query with timers keeps running triggers to look at them. No batch is open any
+    more after a trigger without input that began when the window of the last one
+    with input had passed.
     """
     path = scratch_path(spark, name)
     writer = stream.writeStream.format("parquet").option("path", f"{path}/out").partitionBy(*partition_by)
     writer = writer.option("checkpointLocation", f"{path}/checkpoint")
-    with _state_partitions(spark):
-        trigger = {"processingTime": "0 seconds"} if timers else {"availableNow": True}
-        running = writer.trigger(**trigger).start()
-        try:
-            while running.isActive:
-                latest = running.lastProgress
-                if timers and latest and not latest["numInputRows"]:
-                    break
-                running.awaitTermination(0.1)  # raises if the query has failed
-        finally:
-            running.stop()
+    trigger = {"availableNow": True} if window_ms is None else {"processingTime": "0 seconds"}
+    running = writer.trigger(**trigger).start()
+    try:
+        while running.isActive and not (window_ms is not None and _windows_passed(running.recentProgress, window_ms)):
+            running.awaitTermination(0.1)  # raises if the query has failed
+    finally:
+        running.stop()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _windows_passed(triggers, window_ms):
+    if not triggers or triggers[-1]["numInputRows"]:
+        return False
+    began = [datetime.fromisoformat(t["timestamp"].replace("Z", "+00:00")) for t in triggers]
+    ends = [b + timedelta(milliseconds=t["batchDuration"] + window_ms) for b, t in zip(began, triggers) if t["numInputRows"]]
+    return not ends or began[-1] >= ends[-1]
+
+
 @query
 def stream_triage(spark, sf):
-    triaged = streaming_calls.triage_stream(fx.document_requests(fx.table_stream(spark, sf, "documents")))
+    own = _stream_session(spark)
+    triaged = streaming_calls.triage_stream(fx.document_requests(fx.table_stream(own, sf, "documents")))
     return _drained(spark, "stream_triage", triaged, ["accepted"]).select(
         "req_id", "accepted", "reject", "requested_model", F.md5("messages").alias("messages_md5")
     )
@@ -344,29 +348,32 @@ def stream_triage(spark, sf):
 
 @query
 def stream_microbatch(spark, sf):
+    options = RunOptions(workers=fx.WORKERS, max_batch=fx.MAX_BATCH)
     jobs = streaming_calls.request_jobs(
-        fx.document_requests(fx.table_stream(spark, sf, "documents")), RunOptions(workers=fx.WORKERS)
+        fx.document_requests(fx.table_stream(_stream_session(spark), sf, "documents")), options
     )
-    packed = streaming_calls.pack_calls(jobs, fx.MAX_BATCH, window_ms=1)
-    return _drained(spark, "stream_microbatch", packed, timers=True).select(
+    packed = streaming_calls.pack_calls(jobs, options.max_batch, options.window_ms)
+    return _drained(spark, "stream_microbatch", packed, window_ms=options.window_ms).select(
         *batching.BATCH_KEY, F.size("job_ids").cast("bigint").alias("n_jobs"), F.md5("payload").alias("payload_md5")
     )
 
 
 @query
 def stream_translate(spark, sf):
+    options = RunOptions(workers=fx.WORKERS)
     audited = streaming_calls.translate_stream(
-        fx.document_requests(fx.table_stream(spark, sf, "documents")), OfflineTranslator(broken_models=["12"]),
-        RunOptions(workers=fx.WORKERS, window_ms=1),
+        fx.document_requests(fx.table_stream(_stream_session(spark), sf, "documents")),
+        OfflineTranslator(broken_models=["12"]), options,
     )
-    return replies.job_answers(_drained(spark, "stream_translate", audited, timers=True)).select(
+    return replies.job_answers(_drained(spark, "stream_translate", audited, window_ms=options.window_ms)).select(
         "job_id", F.md5("result").alias("result_md5"), "error"
     )
 
 
 @query
 def stream_outcome(spark, sf):
-    ended = streaming_progress.outcome_stream(fx.event_bodies(fx.table_stream(spark, sf, "events")))
+    own = _stream_session(spark)
+    ended = streaming_progress.outcome_stream(fx.event_bodies(fx.table_stream(own, sf, "events")))
     return _drained(spark, "stream_outcome", ended)
 
 
@@ -375,10 +382,15 @@ def stream_status(spark, sf):
     path = scratch_path(spark, "stream_status")
     audited = replies.audit_replies(fx.replies(spark, sf))
     audited.write.parquet(f"{path}/audited")
-    live = spark.readStream.schema(audited.schema).parquet(f"{path}/audited")
-    name = path.rsplit("/", 1)[-1].replace("-", "_")
-    # One row per model, so the in-memory sink is bounded.
-    with _state_partitions(spark):
-        (streaming_progress.status_stream(live).writeStream.format("memory").queryName(name).outputMode("complete")
-         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return spark.table(name)
+    live = _stream_session(spark).readStream.schema(audited.schema).parquet(f"{path}/audited")
+    status = streaming_progress.status_stream(live)
+    recorded = [-1]
+
+    def record(frame, batch):
+        # Complete mode: each trigger's table holds all counters, the newest counts.
+        frame.write.mode("overwrite").parquet(f"{path}/status/{batch}")
+        recorded[0] = max(recorded[0], batch)
+
+    (status.writeStream.foreachBatch(record).outputMode("complete")
+     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(status.schema).parquet(f"{path}/status/{recorded[0]}")

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from glosswork.functions.frames import compute_once
 
 
+# Fixed value: Spark's limit for one VARIANT. Longer texts are not parsed.
+VARIANT_BYTES = 128 * 1024 * 1024
+
+
+def too_large(text: Column) -> Column:
+    """Whether a text is over what can be parsed, whatever it says."""
+    return F.octet_length(text) > VARIANT_BYTES
+
+
 def _boxed(text: Column, mark: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
 
@@ -88,7 +97,9 @@ def truthy_text(value: Column) -> Column:
     return (
         F.when(k == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), F.lit("True")))
         .when(k == "STRING", F.when(text != "", text))
-        .when(k.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.when(number(value) != 0, text))
+        .when(k == "BIGINT", F.when(number(value) != 0, text))
+        # A number with a point or an exponent prints as a float.
+        .when(k.rlike("^(DOUBLE|DECIMAL)"), F.when(number(value) != 0, number(value).cast("string")))
         .when(k.isin("OBJECT<>", "ARRAY<VOID>"), F.when(~F.to_json(value).isin("{}", "[]"), F.to_json(value)))
         .when(k.rlike("^(OBJECT|ARRAY)"), F.to_json(value))
     )

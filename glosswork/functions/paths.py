@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def has_pdf_suffix(path: Column) -> Column:
     """Suffix ``.pdf`` in any case on a name that has something before the dot."""
-    return F.coalesce(path.rlike(r"(?i)[^/]\.pdf$"), F.lit(False))
+    return F.coalesce(path.rlike(r"(?i)[^/]\.pdf\z"), F.lit(False))
 
 
 def resolve(path: Column, root: Column) -> Column:

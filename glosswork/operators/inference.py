@@ -2,15 +2,16 @@
 
 A translator is any picklable callable ``(payload, model) -> raw reply``: it
 gets the JSON job list (direct transport: the text) and the model name (None for
-the backend's default) and raises to fail the batch. Spark may repeat a call after losing a task, so a
-translator must tolerate that; the caller writes replies once and reads them
-back from there.
+the backend's default) and raises to fail the batch. Its instructions to the model
+are its own; what it has to return is ``{"translations": [{"id": …, "text": …}]}``
+with one entry per job, or ``{"translation": …}`` for the direct transport. Spark
+may repeat a call after losing a task, so a translator must tolerate that; the
+caller writes replies once and reads them back from there.
 """
 
 from __future__ import annotations
 
 import json
-import subprocess
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswork.operators.batching import BATCH_KEY, DIRECT_PREAMBLE, PREAMBLE
-from glosswork.options import DEFAULT_TIMEOUT_S
+from glosswork.operators.batching import BATCH_KEY
+
+TASKS_PER_CORE = 4
 
 Translator = Callable[[str, "str | None"], str]
 
@@ -45,45 +47,16 @@ class OfflineTranslator:
         return json.dumps({"translations": rows}, ensure_ascii=False, separators=(",", ":"))
 
 
-class CommandTranslator:
-    """Runs a command per backend call: prompt on standard input, reply on
-    standard output. ``model_flag`` is added with the model if one is routed."""
-
-    def __init__(self, command: Sequence[str], timeout_s: int = DEFAULT_TIMEOUT_S,
-                 model_flag: str | None = "--model", preamble: str = PREAMBLE) -> None:
-        self.command = list(command)
-        self.timeout_s = timeout_s
-        self.model_flag = model_flag
-        self.preamble = preamble
-
-    def __call__(self, payload: str, model: str | None) -> str:
-        command = self.command + ([self.model_flag, model] if model and self.model_flag else [])
-        try:
-            done = subprocess.run(command, input=self.preamble + payload, capture_output=True,
-                                  encoding="utf-8", errors="replace", timeout=self.timeout_s)
-        except subprocess.TimeoutExpired:
-            raise RuntimeError(f"no reply within {self.timeout_s}s") from None
-        except OSError as problem:
-            raise RuntimeError(f"backend did not start: {problem}") from problem
-        if done.returncode:
-            detail = (done.stderr or done.stdout).strip()[-2000:]
-            raise RuntimeError(f"exit code {done.returncode}: {detail}")
-        return done.stdout
-
-
-def direct_prompt(text: str, source_language: str, target_language: str) -> str:
-    """Prompt for one text without an id (direct transport)."""
-    return DIRECT_PREAMBLE.format(source_language=source_language, target_language=target_language) + text + "\n"
-
-
 def infer(batches: DataFrame, translator: Translator, parallelism: int | None = None) -> DataFrame:
     """One backend call per row; adds ``raw`` (reply) or ``error``.
 
-    ``parallelism`` spreads the calls over that many tasks, which bounds how
-    many run at once; without it the tasks of the payload shuffle are used.
+    The calls are always dealt out over ``parallelism`` tasks, which bounds how many
+    run at once: payloads are small, so the tasks of their own shuffle would be
+    merged into a few that make all calls one after the other. Without it there are
+    TASKS_PER_CORE tasks for each core, so that a lost task repeats few calls.
     """
-    if parallelism:
-        batches = batches.repartition(parallelism, F.xxhash64("job_ids"))
+    tasks = parallelism or TASKS_PER_CORE * batches.sparkSession.sparkContext.defaultParallelism
+    batches = batches.repartition(tasks, F.xxhash64("job_ids"))
     kept = [*BATCH_KEY, "job_ids"]
     schema = T.StructType(
         [f for f in batches.schema if f.name in kept]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, is_object, string_only, with_json
+from glosswork.functions.json_values import child, is_object, string_only, too_large, with_json
 from glosswork.functions.text import py_strip
 from glosswork.operators.batching import BATCH_KEY
 
@@ -26,8 +26,8 @@ def audit_replies(paired: DataFrame) -> DataFrame:
 
     ``paired`` has the batch key, ``job_ids``, ``raw`` and optionally ``error``.
     Adds ``answered`` (a reply or an error is there), ``translations`` (the
-    usable id/text pairs), ``defect`` and ``detail``; the first rule broken decides: ``backend``, ``json``,
-    ``missing_translations``, ``duplicate``, ``omitted``, ``unexpected``,
+    usable id/text pairs), ``defect`` and ``detail``; the first rule broken decides:
+    ``backend``, ``too_large`` (over what can be parsed), ``json``, ``missing_translations``, ``duplicate``, ``omitted``, ``unexpected``,
     ``count``. One defect fails the whole batch. A batch and its reply are one
     row, so everything here is a projection: nothing is exploded or shuffled.
     """
@@ -59,6 +59,7 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     defect = (
         F.when(F.col("error").isNotNull(), "backend")
         .when(F.col("raw").isNull(), F.lit(None).cast("string"))
+        .when(F.col("_v").isNull() & too_large(F.col("raw")), "too_large")
         .when(F.col("_v").isNull(), "json")
         .when(F.col("_rows").isNull(), "missing_translations")
         .when(F.col("_dup").isNotNull(), "duplicate")
@@ -69,6 +70,7 @@ def audit_replies(paired: DataFrame) -> DataFrame:
     audited = compute_once(audited, {"defect": defect})
     detail = (
         F.when(F.col("defect") == "backend", F.col("error"))
+        .when(F.col("defect") == "too_large", "reply is too large to be read")
         .when(F.col("defect") == "json", "reply is not valid JSON")
         .when(F.col("defect") == "missing_translations", "reply has no translations array")
         .when(F.col("defect") == "duplicate", F.concat(F.lit("reply repeats id "), "_dup"))
@@ -109,8 +111,8 @@ def scatter(jobs: DataFrame, audited: DataFrame) -> DataFrame:
 def audit_single(replies: DataFrame) -> DataFrame:
     """Check replies of the direct transport: ``{"translation": string}``.
 
-    Adds ``translation`` (stripped) and ``defect``: ``json``, ``object`` or
-    ``empty``.
+    Adds ``translation`` (stripped) and ``defect``: ``too_large``, ``json``,
+    ``object`` or ``empty``.
     """
     value = with_json(replies, py_strip(F.col("raw")), "_v")
     text = py_strip(string_only(child(F.col("_v"), "$.translation")))
@@ -118,7 +120,8 @@ def audit_single(replies: DataFrame) -> DataFrame:
         value.withColumn("_text", text)
         .withColumn(
             "defect",
-            F.when(F.col("_v").isNull(), "json")
+            F.when(F.col("_v").isNull() & too_large(F.col("raw")), "too_large")
+            .when(F.col("_v").isNull(), "json")
             .when(~is_object(F.col("_v")), "object")
             .when(F.coalesce(F.col("_text"), F.lit("")) == "", "empty"),
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only, with_json
+from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only, too_large, with_json
 from glosswork.functions.paths import relative_inside, resolve
 from glosswork.functions.text import js_strip
 from glosswork.options import MODES
@@ -38,7 +38,8 @@ def salvage_results(logs: DataFrame) -> DataFrame:
     Output that is one JSON value is checked as it is. Otherwise its lines are
     searched from the end for the last complete object that keeps the contract.
     Adds ``input_pdf, mono_pdf, dual_pdf``, ``recovered`` (found amid noise) and
-    ``problem`` (``parse`` or the broken rule). All of it is row-local.
+    ``problem`` (``parse``, ``too_large`` where the output is over what can be parsed
+    and no line holds a record, or the broken rule). All of it is row-local.
     """
     whole = js_strip(F.col("stdout"))
     lines = F.filter(
@@ -54,7 +55,7 @@ def salvage_results(logs: DataFrame) -> DataFrame:
         .withColumn("_last", F.when(F.col("_strict").isNull(), F.try_element_at(candidates, F.lit(-1))))
     )
     problem = F.when(F.col("_strict").isNotNull(), contract_error(F.col("_strict"))).when(
-        F.col("_last").isNull(), "parse"
+        F.col("_last").isNull(), F.when(too_large(F.col("stdout")), "too_large").otherwise("parse")
     )
     done = compute_once(found, {"problem": problem}).withColumn(
         "_record", F.when(F.col("problem").isNull(), F.coalesce("_strict", "_last"))

@@ -16,9 +16,12 @@ LINES_PER_PAGE = 10
 def segment(documents: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """One row per line of a document; paragraph boundaries are kept.
 
-    A line that contains ``' | '`` counts as table text. Narrow: no shuffle.
+    A line that contains ``' | '`` counts as table text. A document whose text is
+    NULL is one segment with NULL text, which passes through. Narrow: no shuffle.
     """
-    lines = documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = documents.select(
+        "doc_id", "lang", F.posexplode_outer(F.split("text", "\n")).alias("pos", "text")
+    ).withColumn("pos", F.coalesce("pos", F.lit(0)))
     return lines.select(
         F.concat_ws(":", "doc_id", "pos").alias("seg_id"),
         "doc_id",
@@ -87,7 +90,16 @@ def dedup_segments(segments: DataFrame) -> DataFrame:
     """One row per distinct text and model: the first place it occurs and how
     often. Only fixed-width columns and the hash are shuffled, after a partial
     aggregation in each task, so a text that fills a third of the table is
-    cheap."""
-    return segments.groupBy(text_key(F.col("text")).alias("key_hash"), "effective_model").agg(
-        F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n_rows")
+    cheap. The place is one decimal number, which a hash aggregation can update;
+    a struct would have to be sorted."""
+    width = F.lit(2**32).cast("decimal(11,0)")
+    place = (F.col("doc_id").cast("decimal(20,0)") * width + F.col("pos")).cast("decimal(38,0)")
+    firsts = segments.groupBy(text_key(F.col("text")).alias("key_hash"), "effective_model").agg(
+        F.min(place).alias("_place"), F.count("*").alias("n_rows")
+    )
+    pos = F.pmod(F.col("_place"), width)
+    doc_id = F.floor((F.col("_place") - pos).cast("decimal(38,0)") / width)
+    return firsts.select(
+        "key_hash", "effective_model",
+        F.struct(doc_id.cast("bigint").alias("doc_id"), pos.cast("int").alias("pos")).alias("first"), "n_rows",
     )

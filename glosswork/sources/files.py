@@ -26,11 +26,11 @@ def read_inputs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Repartition a table that has fewer input splits than there are cores, so
-    that parsing and hashing do not run in a few tasks. Large tables have more
-    splits than that and are returned as they are."""
+    """Repartition a table that is read from fewer files than there are cores, so
+    that parsing and hashing do not run in a few tasks. Larger tables, and those that
+    come from no files, are returned as they are. Only the plan is looked at."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return table.repartition(cores) if 0 < len(table.inputFiles()) < cores else table
 
 
 def gate_inputs(candidates: DataFrame, files: DataFrame) -> DataFrame:

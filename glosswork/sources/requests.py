@@ -16,8 +16,9 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
 
     Adds ``reject`` (NULL for valid requests, else the first rule broken:
     ``size``, ``json``, ``object``, ``messages``, ``element``), ``messages``
-    (the array as JSON text, keys and their order untouched) and
-    ``requested_model``. A stateless projection, so it runs on streams too.
+    (the array as JSON text, as it was sent unless a key is repeated) and
+    ``requested_model``. Of repeated keys the last counts, for the check and for
+    what is passed on. A stateless projection, so it runs on streams too.
     """
     size = F.octet_length("body")
     # Bodies outside the limits are never parsed.
@@ -34,7 +35,7 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
     )
     return (
         compute_once(parsed, {"reject": reject})
-        .withColumn("messages", F.when(F.col("reject").isNull(), F.get_json_object("body", "$.messages")))
+        .withColumn("messages", F.when(F.col("reject").isNull(), _checked_text("$.messages")))
         .withColumn(
             "requested_model",
             F.when(
@@ -46,6 +47,14 @@ def triage_requests(requests: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) ->
     )
 
 
+def _checked_text(path: str) -> Column:
+    """The member's own text if it says the same as the value that was checked, which
+    it does unless a key is repeated; else that value's text."""
+    own = F.get_json_object("body", path)
+    checked = F.to_json(child(F.col("_v"), path))
+    return F.when(F.to_json(F.try_parse_json(own)) == checked, own).otherwise(checked)
+
+
 def effective_model(requested: Column, override: str | None = None) -> Column:
     """Model a request is routed to; NULL stands for the backend's own default.
 

@@ -23,8 +23,9 @@ class CallPacker(StatefulProcessor):
     """Keeps one open batch per shard.
 
     A batch leaves when it is full or when its window, which starts with its
-    first job, has passed; Spark checks the window once per trigger. State is at
-    most ``max_batch - 1`` jobs and a counter. No job is ever late: only
+    first job, has passed; Spark checks the window once per trigger. Jobs that arrive
+    in one trigger are taken in the order of ``queue_pos``. State is at most
+    ``max_batch - 1`` jobs and a counter. No job is ever late: only
     processing time is used.
     """
 
@@ -48,12 +49,15 @@ class CallPacker(StatefulProcessor):
             number, waiting = number + 1, []
         # With a window of zero nobody waits for company.
         limit = self.max_batch if self.window_ms else 1
-        for frame in rows:
-            arrived = frame.sort_values("queue_pos")[["job_id", "effective_model", "messages"]]
-            waiting += list(arrived.itertuples(index=False, name=None))
-            while len(waiting) >= limit:
-                yield self._calls(key[0], number, waiting[:limit])
-                number, waiting = number + 1, waiting[limit:]
+        # Rows come in frames of any size and order: batches are cut once all of the
+        # trigger's jobs of this shard are in order. The source's rate limit bounds them.
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values("queue_pos", kind="stable")
+        waiting += list(arrived[["job_id", "effective_model", "messages"]].itertuples(index=False, name=None))
+        full = len(waiting) - len(waiting) % limit
+        for first in range(0, full, limit):
+            yield self._calls(key[0], number, waiting[first: first + limit])
+            number += 1
+        waiting = waiting[full:]
         self.counter.update((number,))
         if number != started_with:
             for t in due:
@@ -139,4 +143,4 @@ def translate_stream(requests: DataFrame, translator: Translator, options: RunOp
     """
     options = options or RunOptions()
     calls = pack_calls(request_jobs(requests, options), options.batch_limit, options.window_ms)
-    return audit_replies(infer(calls, translator))
+    return audit_replies(infer(calls, translator, options.parallelism))

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.operators.batching import BATCH_KEY, batch_by_count, batch_by_window, build_payload
-from glosswork.operators.inference import direct_prompt
 from glosswork.operators.ranking import fifo_number
 
 
@@ -100,8 +99,3 @@ def test_batches_are_cut_before_models_split_them(spark):
     calls = build_payload(batch_by_count(frame, 4)).select(*BATCH_KEY, F.size("job_ids").alias("n")).collect()
     assert sorted((r.batch_no, r.effective_model or "", r.n) for r in calls) == [
         (0, "", 2), (0, "m", 2), (1, "", 2), (1, "m", 2), (2, "", 1), (2, "m", 1)]
-
-
-def test_direct_prompt_keeps_tokens():
-    prompt = direct_prompt("TP53 {v1} PMID:12345", "English", "Simplified Chinese")
-    assert "TP53 {v1} PMID:12345" in prompt and "{v1} as they are" in prompt and '{"translation"' in prompt

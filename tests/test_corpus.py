@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,20 +117,20 @@ def test_options():
             RunOptions(**bad)
 
 
-ECHO = ("import json,sys; t=sys.stdin.read(); jobs=json.loads(t[t.index('JOBS_JSON:')+10:]);"
-        "print(json.dumps({'translations':[{'id':j['id'],'text':j['messages'][0]['content'].upper()} for j in jobs]}))")
-ECHO_DIRECT = "import json,sys; t=sys.stdin.read(); print(json.dumps({'translation':t.split('SOURCE:\\n')[1].upper()}))"
+def upper(payload, model):
+    jobs = json.loads(payload)
+    return json.dumps({"translations": [{"id": j["id"], "text": j["messages"][0]["content"].upper()} for j in jobs]})
+
 
+def upper_direct(payload, model):
+    return json.dumps({"translation": payload.upper()})
 
-@pytest.mark.parametrize("extra, program", [([], ECHO), (["--transport", "direct"], ECHO_DIRECT)])
-def test_job_writes_outputs_and_memory(spark, documents, tmp_path, extra, program):
-    import shlex
-    import sys
 
+@pytest.mark.parametrize("extra, name", [([], "upper"), (["--transport", "direct"], "upper_direct")])
+def test_job_writes_outputs_and_memory(spark, documents, tmp_path, extra, name):
     few = documents.where("doc_id in (1, 4)")
     few.write.parquet(str(tmp_path / "in"))
-    command = shlex.join([sys.executable, "-c", program])
-    job.run(spark, job.parse([str(tmp_path / "in"), str(tmp_path / "out"), "--command", command, "--mode", "mono", "--pages", "1", *extra]))
+    job.run(spark, job.parse([str(tmp_path / "in"), str(tmp_path / "out"), "--translator", f"tests.test_corpus:{name}", "--mode", "mono", "--pages", "1", *extra]))
     texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()}
     assert texts[1].split("\n")[0] == "LINE 1 0 OF THE TEXT" and texts[4].split("\n")[0] == "Line 4 0 of the text"
     assert spark.read.parquet(str(tmp_path / "out/failures")).count() == 0
@@ -138,6 +140,22 @@ def test_job_writes_outputs_and_memory(spark, documents, tmp_path, extra, progra
     assert again.audited.count() == 0
 
 
+def test_null_texts_pass_through(spark):
+    documents = spark.createDataFrame([(1, None, "en"), (2, "some text", "en")], "doc_id long, text string, lang string")
+    run = translate_corpus(spark, documents, OfflineTranslator(), RunOptions(mode="mono"))
+    assert {(r.doc_id, r.text) for r in run.documents.collect()} == {(1, ""), (2, "[zh] some text")}
+    assert run.segments.where("doc_id = 1").first().text is None
+
+
+def test_planning_runs_no_job(spark):
+    from glosswork.sources.files import spread
+
+    shuffled = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert spread(shuffled) is shuffled
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
 def test_shuffle_sizing(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:

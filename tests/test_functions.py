@@ -64,3 +64,11 @@ def test_pdf_suffix(spark):
     names = {"a.pdf": True, "a.PDF": True, "x/.pdf": False, ".pdf": False, "a.pdf.bak": False, "a": False, "a.b.Pdf": True}
     frame = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n: r.ok for r in frame.select("n", paths.has_pdf_suffix(F.col("n")).alias("ok")).collect()} == names
+
+
+def test_suffix_is_at_the_very_end(spark):
+    rows = spark.createDataFrame([("/a/x.pdf",), ("/a/x.pdf\n",), ("/a/x.PDF",), ("/a/.pdf",)], "path string")
+    from glosswork.functions.paths import has_pdf_suffix
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(has_pdf_suffix(F.col("path"))).collect()] == [True, False, True, False]

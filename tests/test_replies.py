@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from glosswork.operators.inference import CommandTranslator, OfflineTranslator, infer
+from glosswork.operators.inference import TASKS_PER_CORE, OfflineTranslator, infer
 from glosswork.operators.replies import (
     audit_direct, audit_replies, audit_single, deadline_audit, pair_replies, preservation_audit, scatter,
 )
@@ -70,9 +70,6 @@ def test_single_replies(spark):
 
 
 CALLS = BATCH + ", payload string"
-ECHO = ("import json,sys; t=sys.stdin.read(); jobs=json.loads(t[t.index('JOBS_JSON:')+10:]);"
-        "print(json.dumps({'translations':[{'id':j['id'],'text':j['messages'][0]['content'].upper()} for j in jobs]}))")
-
 
 @pytest.fixture
 def calls(spark):
@@ -87,16 +84,22 @@ def test_offline_translator_and_failure_isolation(calls, parallelism):
                    "m": (None, "batch translation failed: model m is not available")}
 
 
-def test_command_translator(calls, python=__import__("sys").executable):
-    good = audit_replies(infer(calls, CommandTranslator([python, "-c", ECHO], model_flag=None))).collect()
-    assert {r.defect for r in good} == {None} and good[0].translations[0].text == "X"
-    failing = "import sys; sys.stderr.write('bad ' * 2000); sys.exit(3)"
-    errors = [r.error for r in infer(calls, CommandTranslator([python, "-c", failing], model_flag=None)).collect()]
-    assert all(e.startswith("batch translation failed: exit code 3:") and 1990 < len(e) < 2060 for e in errors)
-    slow = infer(calls.where("effective_model is null"), CommandTranslator([python, "-c", "import time; time.sleep(30)"], timeout_s=1))
-    assert slow.first().error == "batch translation failed: no reply within 1s"
-    absent = infer(calls.where("effective_model is null"), CommandTranslator(["/no/such/program"]))
-    assert absent.first().error.startswith("batch translation failed: backend did not start")
+@pytest.mark.parametrize("parallelism", [None, 6])
+def test_calls_are_spread_over_tasks(spark, parallelism):
+    """12 500 small payloads in a thousand shuffle partitions, which would be merged."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        jobs = spark.range(12_500).select(
+            F.lit(0).alias("shard"), F.col("id").alias("batch_no"), F.lit(None).cast("string").alias("effective_model"),
+            F.array(F.col("id").cast("string")).alias("job_ids"), F.lit("[]").alias("payload"))
+        grouped = jobs.groupBy("shard", "batch_no", "effective_model", "payload").agg(F.first("job_ids").alias("job_ids"))
+        answered = infer(grouped, lambda payload, model: "{}", parallelism)
+        sizes = [r["count"] for r in answered.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == 12_500
+    assert len(sizes) == (parallelism or TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
 
 
 def test_direct_audit(spark):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from glosswork.sources.requests import route_model, triage_requests
 
 GOOD = '{"role":"user","content":"é {v1}","name":"n"}'
@@ -44,3 +46,21 @@ def test_routing(spark):
     assert {r.requested_model: r.effective_model for r in route_model(frame).collect()} == wanted
     assert {r.effective_model for r in route_model(frame, " forced").collect()} == {" forced"}
     assert {r.requested_model: r.effective_model for r in route_model(frame, "").collect()} == wanted
+
+
+@pytest.mark.parametrize("body", [
+    '{"messages":[7],"messages":[{"role":"user","content":"x"}]}',
+    '{"messages":[{"role":"user"}],"messages":[7]}',
+    '{"model":"a","messages":[{"role":"user","role":"system","n":1.50}],"model":"b"}',
+    '{"model":3.0,"messages":[{"z":1,"a":[2,{"k":1,"k":2}]}]}',
+    '{"model":1.50,"messages":[{}]}', '{"model":3,"messages":[{}]}', '{"model":0.0,"messages":[{}]}',
+])
+def test_what_was_checked_is_what_is_passed_on(spark, body):
+    """As a parser that keeps the last of repeated keys."""
+    got = triage_requests(spark.createDataFrame([(1, body)], "req_id long, body string")).first()
+    want = json.loads(body)
+    good = all(isinstance(m, dict) for m in want["messages"])
+    assert (got.reject is None) == good
+    if good:
+        assert json.loads(got.messages) == want["messages"]
+        assert got.requested_model == (str(want["model"]) if want.get("model") else "codex-cli")

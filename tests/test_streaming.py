@@ -124,3 +124,22 @@ def test_stream_and_batch_outcomes_agree(spark):
     sf = "/root/testdata/sf0.001"
     batch = QUERIES["job_outcome"](spark, sf).where("outcome <> 'no_result'")
     assert sorted(map(tuple, QUERIES["stream_outcome"](spark, sf).collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+
+
+def test_jobs_of_a_trigger_are_batched_in_queue_order(spark, tmp_path):
+    """6000 jobs in one file, in descending order, in frames of any size."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        put(spark, tmp_path / "in", [(i, BODY % ("", i)) for i in range(5999, -1, -1)], REQUESTS)
+        calls = pack_calls(request_jobs(source(spark, tmp_path / "in", REQUESTS), RunOptions()), 4, 5000)
+        query = start(calls, tmp_path, processingTime="0 seconds")
+        try:
+            done = lambda: (tmp_path / "out" / "_spark_metadata").exists() and recorded(spark, calls, tmp_path).count() >= 1500
+            wait_until(done, query)
+        finally:
+            query.stop()
+        got = {r.batch_no: r.job_ids for r in recorded(spark, calls, tmp_path).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {n: [str(4 * n + k) for k in range(4)] for n in range(1500)}
