@@ -75,7 +75,9 @@ EVENT_BODY = """CASE event_type
     ELSE '{"type":"progress","stage":false,"name":"load","progress":0.025}' END
   ELSE CASE WHEN user_id % 4 = 3 THEN '{"type":"log"}' ELSE CASE event_id % 10
     WHEN 0 THEN '{"type":"error","error":"failed at ' || event_id || '"}'
-    WHEN 1 THEN '{"type":"error","error":""}' WHEN 2 THEN '{"type":"finish","translate_result":{"mono":1}}'
+    WHEN 1 THEN '{"type":"error","error":""}' WHEN 2 THEN
+         '{"type":"finish","translate_result":{"mono_pdf_path":"m/../' || event_id || '.pdf","dual_pdf_path":' ||
+         CASE event_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '""' ELSE '"/vault/out/d' || event_id || '.pdf"' END || '}}'
     WHEN 3 THEN '{"type":"finish"}' WHEN 4 THEN '{"type":"finish","translate_result":null}'
     ELSE '{"type":"log"}' END END END"""
 

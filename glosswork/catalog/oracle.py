@@ -296,6 +296,13 @@ _TRIAGE = """SELECT t.req_id, t.reject, j.requested_model, md5(j.messages) AS me
   FROM triaged t LEFT JOIN request_jobs j USING (req_id)"""
 _OUTCOME = "SELECT job_id, outcome, error, n_progress, last_label FROM outcomes"
 
+def _reported(limit: int, if_blank: str, if_empty: str) -> str:
+    """Error text of the two reporters that trim as JavaScript does."""
+    picked = f"coalesce(nullif(stderr, ''), nullif(stdout, ''), {if_empty or chr(39) * 2})"
+    shown = f"right({_strip(picked, JS_SPACE)}, {limit})"
+    return f"coalesce(nullif({shown}, ''), {if_blank})" if if_blank else shown
+
+
 _QUERIES = {
     "input_gate": f"""SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN 'missing'
         WHEN NOT regexp_matches(path, '[^/][.][pP][dD][fF]$') THEN 'not_pdf' END AS reason
@@ -407,7 +414,20 @@ _QUERIES = {
     "first_failures": """SELECT run_id, CAST(place AS INTEGER) AS place, display_title || ': ' || error AS message FROM (
         SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY target_pos) AS place
         FROM runs WHERE error IS NOT NULL) WHERE place <= 5""",
-    "failure_report": f"""SELECT job_id, md5({_DETAIL}) AS detail_md5, md5({_quote_tail('stdout', 'stdout')}) AS stdout_md5,
+    "outcome_results": f"""
+      SELECT o.job_id, o.outcome, o.error,
+        CASE WHEN o.outcome = 'finish' THEN replace(nullif(json_extract_string(b.body, '$.translate_result.mono_pdf_path'), ''),
+                                                    'm/../', '{fx.OUTPUT_DIR}/') END AS mono_pdf,
+        CASE WHEN o.outcome = 'finish' THEN nullif(json_extract_string(b.body, '$.translate_result.dual_pdf_path'), '') END AS dual_pdf
+      FROM outcomes o LEFT JOIN ends e USING (job_id) LEFT JOIN parsed b ON b.job_id = o.job_id AND b.seq = e.end_seq""",
+    "job_verdicts": """
+      SELECT r.job_id, count(f.path) AS n_ok,
+        CASE WHEN count(i.path) > count(f.path) THEN 'missing_file' WHEN count(i.path) > 0 THEN 'ok'
+             WHEN any_value(r.job_id) IN (SELECT job_id FROM offered) THEN 'outside_root' ELSE 'no_output' END AS verdict
+      FROM results r LEFT JOIN (SELECT * FROM offered WHERE rel_path IS NOT NULL) i USING (job_id)
+      LEFT JOIN output_files f ON f.path = i.path GROUP BY r.job_id""",
+    "failure_report": f"""SELECT job_id, md5({_DETAIL}) AS detail_md5, md5({_reported(2500, "'exit code unknown'", '')}) AS library_md5,
+        md5({_reported(3000, '', "'exit code unknown'")}) AS notes_md5, md5({_quote_tail('stdout', 'stdout')}) AS stdout_md5,
         md5({_quote_tail('stderr', "coalesce(stderr, '')")}) AS stderr_md5 FROM logs""",
     "corpus_documents": """SELECT doc_id, 'mono' AS kind, md5(string_agg(coalesce(result, text), chr(10) ORDER BY pos)) AS text_md5,
         count(*) AS n_segments, count(result) AS n_translated

@@ -212,6 +212,18 @@ def output_manifest(spark, sf):
     ).drop("place")
 
 
+@query
+def outcome_results(spark, sf):
+    return events.outcome_results(fx.job_events(spark, sf), fx.OUTPUT_DIR)
+
+
+@query
+def job_verdicts(spark, sf):
+    return results.job_verdicts(results.output_manifest(
+        fx.results(spark, sf), fx.output_files(spark, sf), fx.OUTPUT_DIR, fx.ROOT
+    ))
+
+
 @query
 def result_records(spark, sf):
     return results.result_records(fx.results(spark, sf))
@@ -251,7 +263,8 @@ def first_failures(spark, sf):
 @query
 def failure_report(spark, sf):
     report = reports.failure_report(fx.logs(spark, sf))
-    return report.select("job_id", F.md5("detail").alias("detail_md5"), F.md5("stdout_note").alias("stdout_md5"),
+    return report.select("job_id", F.md5("detail").alias("detail_md5"), F.md5("library_detail").alias("library_md5"),
+                         F.md5("notes_detail").alias("notes_md5"), F.md5("stdout_note").alias("stdout_md5"),
                          F.md5("stderr_note").alias("stderr_md5"))
 
 

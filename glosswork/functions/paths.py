@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glosswork.functions.text import js_strip
+
 
 def has_pdf_suffix(path: Column) -> Column:
     """Suffix ``.pdf`` in any case on a name that has something before the dot."""
@@ -25,6 +27,14 @@ def resolve(path: Column, root: Column) -> Column:
     return F.when(path != "", F.concat(F.lit("/"), F.array_join(kept, "/")))
 
 
+def confined_folder(folder: Column, root: Column, default: str) -> Column:
+    """Absolute form of an output folder that has to be relative and lie inside
+    ``root``; NULL where it does not. A blank folder is ``default``."""
+    named = F.coalesce(F.nullif(js_strip(folder), F.lit("")), F.lit(default))
+    path = resolve(named, root)
+    return F.when(~named.startswith("/") & relative_inside(path, root).isNotNull(), path)
+
+
 def relative_inside(path: Column, root: Column) -> Column:
     """Path below ``root`` relative to it, NULL if it is outside. Whole segments
     are compared, so ``/out`` does not contain ``/outside``. ``/`` contains all."""

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
+from glosswork.functions.paths import resolve
 from glosswork.functions.json_values import (
     child, is_json_null, is_object, number, string_only, truthy_text, with_json,
 )
 
 DEFAULT_STAGE = "working"
 DEFAULT_ERROR = "translation failed"
+OUTPUTS = ("mono_pdf", "dual_pdf")
 
 
 def parse_events(events: DataFrame) -> DataFrame:
@@ -74,7 +76,8 @@ def _labelled(parsed: DataFrame) -> DataFrame:
 
 
 def terminal_columns(parsed: DataFrame) -> DataFrame:
-    """``outcome`` and ``error`` an event would give its job if it came first."""
+    """``outcome``, ``error`` and the two output paths an event would give its job if
+    it came first."""
     result = child(F.col("event"), "$.translate_result")
     empty = result.isNull() | is_json_null(result)
     message = F.coalesce(truthy_text(child(F.col("event"), "$.error")), F.lit(DEFAULT_ERROR))
@@ -84,19 +87,24 @@ def terminal_columns(parsed: DataFrame) -> DataFrame:
             .when((F.col("type") == "finish") & empty, "empty_result")
             .when(F.col("type") == "finish", "finish"),
             "error": F.when(F.col("type") == "error", message),
+            **{
+                name: F.when(F.col("type") == "finish", truthy_text(child(result, f"$.{name}_path")))
+                for name in OUTPUTS
+            },
         }
     )
 
 
 def label_events(events: DataFrame) -> DataFrame:
-    """Progress and terminal events as ``job_id, seq, label, outcome, error``;
-    ``outcome`` is NULL for progress."""
+    """Progress and terminal events as ``job_id, seq, label, outcome, error`` and the
+    output paths; ``outcome`` is NULL for progress."""
     known = parse_events(events).where(F.col("type").isin("progress", "error", "finish"))
-    return _labelled(terminal_columns(known)).select("job_id", "seq", "label", "outcome", "error")
+    return _labelled(terminal_columns(known)).select("job_id", "seq", "label", "outcome", "error", *OUTPUTS)
 
 
 # Width of a block of sequence numbers, and of a block of such blocks.
 BLOCKS = (4096, 4096 * 4096)
+_ENDING = ("outcome", "error", *OUTPUTS)
 
 
 def job_outcome(events: DataFrame, blocks: Sequence[int] = BLOCKS) -> DataFrame:
@@ -111,29 +119,42 @@ def job_outcome(events: DataFrame, blocks: Sequence[int] = BLOCKS) -> DataFrame:
     events, so no task ever gathers a whole busy job, events are parsed once,
     and nothing is joined.
     """
+    return _outcomes(events, blocks).select("job_id", "outcome", "error", "n_progress", "last_label")
+
+
+def outcome_results(events: DataFrame, output_dir: str, blocks: Sequence[int] = BLOCKS) -> DataFrame:
+    """``job_id, outcome, error, mono_pdf, dual_pdf`` of every job: the outputs that its
+    terminal event names, as absolute paths (relative ones start at ``output_dir``).
+    NULL where the event names none or the job did not finish. This is what
+    ``output_manifest`` and ``result_records`` take."""
+    ended = _outcomes(events, blocks)
+    return ended.select("job_id", "outcome", "error", *[resolve(F.col(c), F.lit(output_dir)).alias(c) for c in OUTPUTS])
+
+
+def _outcomes(events: DataFrame, blocks: Sequence[int]) -> DataFrame:
     labelled = label_events(events)
     ended = F.col("outcome").isNotNull()
     leaves = labelled.select(
         "job_id", F.col("seq").alias("at"), F.when(ended, 0).otherwise(1).cast("bigint").alias("n"),
-        F.when(~ended, F.col("label")).alias("label"), "outcome", "error",
+        F.when(~ended, F.col("label")).alias("label"), *_ENDING,
     )
     for width, below in zip(blocks, (1, *blocks)):
         leaves = _fold(leaves, ["job_id", F.floor(F.col("at") / (width // below)).alias("at")])
     # Events that count for nothing still make their job known.
     silent = events.groupBy("job_id").agg(F.lit(0).cast("bigint").alias("n")).select(
         "job_id", F.lit(-1).cast("bigint").alias("at"), "n",
-        *[F.lit(None).cast("string").alias(c) for c in ("label", "outcome", "error")],
+        *[F.lit(None).cast("string").alias(c) for c in ("label", *_ENDING)],
     )
     return _fold(leaves.unionByName(silent), ["job_id"]).select(
         "job_id", F.coalesce("outcome", F.lit("no_result")).alias("outcome"), "error",
-        F.col("n").alias("n_progress"), F.col("label").alias("last_label"),
+        F.col("n").alias("n_progress"), F.col("label").alias("last_label"), *OUTPUTS,
     )
 
 
 def _fold(parts: DataFrame, by: list) -> DataFrame:
     """Combine summaries in order of ``at`` up to the first that has an outcome."""
     listed = parts.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "label", "outcome", "error"))).alias("_p")
+        F.sort_array(F.collect_list(F.struct("at", "n", "label", *_ENDING))).alias("_p")
     )
     end = F.get(F.filter("_p", lambda p: p["outcome"].isNotNull()), F.lit(0))
     cut = listed.withColumn("_end", end).withColumn(
@@ -146,6 +167,5 @@ def _fold(parts: DataFrame, by: list) -> DataFrame:
         *keys,
         F.aggregate("_p", F.lit(0).cast("bigint"), lambda total, p: total + p["n"]).alias("n"),
         F.try_element_at(spoken, F.lit(-1)).alias("label"),
-        F.col("_end.outcome").alias("outcome"),
-        F.col("_end.error").alias("error"),
+        *[F.col(f"_end.{c}").alias(c) for c in _ENDING],
     )

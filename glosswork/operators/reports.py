@@ -10,8 +10,7 @@ from glosswork.options import DEFAULT_MODEL_LABEL
 
 # How much of an error text is kept, by who reports it.
 BACKEND_TAIL = 2000
-LIBRARY_TAIL = 2500
-NOTES_TAIL = 3000
+REPORTER_TAILS = {"library": 2500, "notes": 3000}
 DIAGNOSTIC_TAIL = 1200
 
 
@@ -78,6 +77,16 @@ def error_text(stderr: Column, stdout: Column, limit: int) -> Column:
     return tail(py_strip(F.coalesce(first_filled(stderr, stdout), F.lit(""))), limit)
 
 
+def reported_text(stderr: Column, stdout: Column, reporter: str, fallback: Column) -> Column:
+    """Error text as a reporter shows it: the first stream that holds anything, trimmed
+    as JavaScript does, its last characters. The library shows ``fallback`` where
+    nothing is left; notes take it only where both streams are empty."""
+    limit = REPORTER_TAILS[reporter]
+    streams = (stderr, stdout) if reporter == "library" else (stderr, stdout, fallback)
+    text = tail(js_strip(F.coalesce(first_filled(*streams), F.lit(""))), limit)
+    return F.when(text == "", fallback).otherwise(text) if reporter == "library" else text
+
+
 def diagnostic(label: str, value: Column) -> Column:
     """``label (n bytes): "…tail"`` for logs."""
     trimmed = js_strip(value)
@@ -89,12 +98,16 @@ def diagnostic(label: str, value: Column) -> Column:
 
 
 def failure_report(logs: DataFrame, limit: int = BACKEND_TAIL) -> DataFrame:
-    """Detail and stream diagnostics per failed job."""
+    """Detail, the texts of the two other reporters and stream diagnostics per failed
+    job. Where ``logs`` has ``exit_code``, it is named if there is no other text."""
+    code = F.col("exit_code").cast("string") if "exit_code" in logs.columns else F.lit("unknown")
+    fallback = F.concat(F.lit("exit code "), F.coalesce(code, F.lit("unknown")))
     out = F.coalesce("stdout", F.lit(""))
     err = F.coalesce("stderr", F.lit(""))
     return logs.select(
         "job_id",
         error_text(F.col("stderr"), F.col("stdout"), limit).alias("detail"),
+        *[reported_text(F.col("stderr"), F.col("stdout"), r, fallback).alias(f"{r}_detail") for r in REPORTER_TAILS],
         diagnostic("stdout", out).alias("stdout_note"),
         diagnostic("stderr", err).alias("stderr_note"),
     )

@@ -113,6 +113,16 @@ def output_manifest(results: DataFrame, files: DataFrame, output_dir: str, root:
     )
 
 
+def job_verdicts(manifest: DataFrame) -> DataFrame:
+    """``job_id``, ``n_ok`` and ``verdict`` of every job in an ``output_manifest``: a
+    job fails as a whole where any file it declares is missing (``missing_file``) or
+    it has nothing to offer (``no_output``, ``outside_root``); else ``ok``."""
+    fault = F.when(F.col("status") != "ok", F.col("status"))
+    return manifest.groupBy("job_id").agg(
+        F.count_if(F.col("status") == "ok").alias("n_ok"), F.coalesce(F.max(fault), F.lit("ok")).alias("verdict")
+    )
+
+
 def assemble(translated: DataFrame, mode: str = "dual") -> DataFrame:
     """Documents from segments: one row per document and kind.
 

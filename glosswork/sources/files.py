@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions.paths import has_pdf_suffix
+from glosswork.functions.paths import has_pdf_suffix, relative_inside, resolve
 from glosswork.functions.text import py_strip
 
 
@@ -33,16 +33,20 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if 0 < len(table.inputFiles()) < cores else table
 
 
-def gate_inputs(candidates: DataFrame, files: DataFrame) -> DataFrame:
+def gate_inputs(candidates: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
     """Mark each candidate path with why it cannot be translated.
 
-    ``reason`` is ``missing`` if the path is not an existing file, ``not_pdf``
-    if its suffix is another one, NULL if the input is accepted.
+    ``reason`` is ``outside_root`` if a ``root`` is given and the path leads out of
+    it, ``missing`` if the path is not an existing file, ``not_pdf`` if its suffix is
+    another one, NULL if the input is accepted.
     """
+    outside = F.lit(False)
+    if root is not None:
+        outside = relative_inside(resolve(F.col("path"), F.lit(root)), F.lit(root)).isNull()
     existing = files.select("path").distinct().withColumn("_exists", F.lit(True))
     return candidates.join(existing, "path", "left").withColumn(
         "reason",
-        F.when(F.col("_exists").isNull(), "missing").when(~has_pdf_suffix(F.col("path")), "not_pdf"),
+        F.when(outside, "outside_root").when(F.col("_exists").isNull(), "missing").when(~has_pdf_suffix(F.col("path")), "not_pdf"),
     ).drop("_exists")
 
 

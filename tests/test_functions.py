@@ -72,3 +72,25 @@ def test_suffix_is_at_the_very_end(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in rows.select(has_pdf_suffix(F.col("path"))).collect()] == [True, False, True, False]
+
+
+def test_folders_and_inputs_are_confined(spark):
+    from glosswork.functions.paths import confined_folder
+    from glosswork.sources.files import gate_inputs
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("out",), (" ",), ("/etc",), ("a/../../x",), ("a/../b",), (None,)], "f string")
+    got = [r[0] for r in rows.select(confined_folder(F.col("f"), F.lit("/vault"), "Default")).collect()]
+    assert got == ["/vault/out", "/vault/Default", None, None, "/vault/b", "/vault/Default"]
+    paths = spark.createDataFrame([("/vault/a.pdf",), ("/other/a.pdf",), ("/vault/../x.pdf",)], "path string")
+    reasons = {r.path: r.reason for r in gate_inputs(paths, paths, "/vault").collect()}
+    assert reasons == {"/vault/a.pdf": None, "/other/a.pdf": "outside_root", "/vault/../x.pdf": "outside_root"}
+
+
+def test_reporters_pick_and_trim_in_their_own_order(spark):
+    from glosswork.operators.reports import failure_report
+
+    logs = spark.createDataFrame([(1, "out", "\ufeff  "), (2, "", None), (3, "x" * 4000, ""), (4, " ", None)], "job_id long, stdout string, stderr string")
+    got = {r.job_id: (r.library_detail, r.notes_detail) for r in failure_report(logs).collect()}
+    assert got == {1: ("exit code unknown", ""), 2: ("exit code unknown", "exit code unknown"),
+                   3: ("x" * 2500, "x" * 3000), 4: ("exit code unknown", "")}
