@@ -27,6 +27,11 @@ PATTERN = "|".join((_EMAIL, _DATE, _SSN, _PHONE, _IPV4, _CARD))
 KINDS = ("email", "date", "ssn", "phone", "ipv4", "card")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _number(key: str, *message: Column) -> Column:
     """56 bits of a keyed hash."""
     text = F.concat_ws("|", F.lit(key), *message)
@@ -37,7 +42,7 @@ def _number(key: str, *message: Column) -> Column:
 def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column, back: bool = False) -> Column:
     """A keyed permutation of 0 .. a*b-1. The two parts, of a and of b values, change in
     turn, each by a hash of the other."""
-    start = F.struct(((value - F.pmod(value, b)) / b).cast("bigint").alias("u"), F.pmod(value, b).alias("v"))
+    start = let(value, lambda x: F.struct(((x - F.pmod(x, b)) / b).cast("bigint").alias("u"), F.pmod(x, b).alias("v")))
     sign = -1 if back else 1
 
     def turn(s: Column, r: Column) -> Column:
@@ -65,10 +70,11 @@ def _padded(number: Column, width) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum, from the right, the last digit counted once."""
-    def term(i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")
+    def term(text: Column, i: Column) -> Column:
+        d = F.substring(text, F.length(text) - i, F.lit(1)).cast("int")
         return F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda s, i: s + term(i))
+    return let(digits, lambda text: F.aggregate(
+        F.sequence(F.lit(0), F.length(text) - 1), F.lit(0), lambda s, i: s + term(text, i)))
 
 
 def _card(digits: Column, key: str, back: bool) -> Column:
@@ -79,7 +85,7 @@ def _card(digits: Column, key: str, back: bool) -> Column:
     body = F.concat(F.substring(digits, 1, 1), _padded(feistel(
         _long(F.substring(digits, F.lit(2), middle)), _power(half), _power(middle - half), key,
         F.concat(F.lit("card"), F.substring(digits, 1, 1), middle.cast("string")), back), middle))
-    return F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    return let(body, lambda d: F.concat(d, F.pmod(10 - _luhn(F.concat(d, F.lit("0"))), F.lit(10)).cast("string")))
 
 
 def _phone(digits: Column, key: str, back: bool) -> Column:
@@ -93,12 +99,16 @@ def _phone(digits: Column, key: str, back: bool) -> Column:
     index = ((area - low(area)) * exchanges + exchange - low(exchange)) * 10_000 + line
     new = feistel(index, (size(area) * exchanges / 100).cast("bigint"), F.lit(1_000_000).cast("bigint"), key,
                   F.concat_ws(" ", F.lit("phone"), low(area).cast("string"), low(exchange).cast("string")), back)
-    end = F.pmod(new, F.lit(10_000))
-    rest = ((new - end) / 10_000).cast("bigint")
-    near = F.pmod(rest, exchanges)
-    return F.concat(
-        F.substring(digits, F.lit(1), F.length(digits) - 10),
-        _padded(((rest - near) / exchanges).cast("bigint") + low(area), 3), _padded(near + low(exchange), 3), _padded(end, 4))
+
+    def written(number: Column) -> Column:
+        end = F.pmod(number, F.lit(10_000))
+        rest = ((number - end) / 10_000).cast("bigint")
+        near = F.pmod(rest, exchanges)
+        return F.concat(
+            F.substring(digits, F.lit(1), F.length(digits) - 10),
+            _padded(((rest - near) / exchanges).cast("bigint") + low(area), 3), _padded(near + low(exchange), 3), _padded(end, 4))
+
+    return let(new, written)
 
 
 def _ssn(digits: Column, key: str, back: bool) -> Column:
@@ -107,18 +117,23 @@ def _ssn(digits: Column, key: str, back: bool) -> Column:
     place = area - F.when(area > 666, 2).otherwise(1)
     index = (place * 99 + group - 1) * 9_999 + serial - 1
     new = feistel(index, F.lit(898 * 99).cast("bigint"), F.lit(9_999).cast("bigint"), key, F.lit("ssn"), back)
-    low = F.pmod(new, F.lit(9_999))
-    rest = ((new - low) / 9_999).cast("bigint")
-    middle = F.pmod(rest, F.lit(99))
-    top = ((rest - middle) / 99).cast("bigint")
-    return F.concat(_padded(top + F.when(top >= 665, 2).otherwise(1), 3), _padded(middle + 1, 2), _padded(low + 1, 4))
+
+    def written(number: Column) -> Column:
+        low = F.pmod(number, F.lit(9_999))
+        rest = ((number - low) / 9_999).cast("bigint")
+        middle = F.pmod(rest, F.lit(99))
+        top = ((rest - middle) / 99).cast("bigint")
+        return F.concat(_padded(top + F.when(top >= 665, 2).otherwise(1), 3), _padded(middle + 1, 2), _padded(low + 1, 4))
+
+    return let(new, written)
 
 
 def _ipv4(value: Column, key: str, back: bool) -> Column:
     number = F.aggregate(F.split(value, r"\."), F.lit(0).cast("bigint"), lambda s, o: s * 256 + _long(o))
     side = F.lit(65_536).cast("bigint")
     new = feistel(number, side, side, key, F.lit("ipv4"), back)
-    return F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: (F.call_function("shiftright", new, k).bitwiseAND(255)).cast("string")), ".")
+    octet = lambda n, k: F.call_function("shiftright", n, k).bitwiseAND(255).cast("string")
+    return let(new, lambda n: F.concat_ws(".", *[octet(n, F.lit(k)) for k in (24, 16, 8, 0)]))
 
 
 _FORMS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
@@ -134,28 +149,34 @@ def _day(value: Column) -> Column:
 
 def _date(value: Column, key: str, back: bool) -> Column:
     """Permuted within its window of DAYS_ROOT squared days."""
-    days = F.datediff(_day(value), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     size = F.lit(DAYS_ROOT**2).cast("bigint")
-    window = F.floor(days / size)
     side = F.lit(DAYS_ROOT).cast("bigint")
-    new = feistel(F.pmod(days, size), side, side, key, F.concat(F.lit("date"), window.cast("string")), back)
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (new + window * size).cast("int"))
-    out = F.lit(None).cast("string")
-    for mark, form in _FORMS:
-        out = F.when(F.contains(value, F.lit(mark)), F.date_format(day, form)).otherwise(out)
-    return out
+
+    def moved(days: Column) -> Column:
+        window = F.floor(days / size)
+        new = feistel(F.pmod(days, size), side, side, key, F.concat(F.lit("date"), window.cast("string")), back)
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), (new + window * size).cast("int"))
+
+    def written(day: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for mark, form in _FORMS:
+            out = F.when(F.contains(value, F.lit(mark)), F.date_format(day, form)).otherwise(out)
+        return out
+
+    return let(let(F.datediff(_day(value), F.lit(FIRST_DAY).cast("date")).cast("bigint"), moved), written)
 
 
 def _shifted(text: Column, hashed: Column, sign: int) -> Column:
     """Letters and digits moved on within their class by the bytes of a hash."""
-    def moved(i: Column) -> Column:
+    def moved(text: Column, hashed: Column, i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
         by = F.lit(sign) * F.conv(F.substring(hashed, 1 + 2 * F.pmod(i, F.lit(32)), F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         within = lambda first, n: F.char(first + F.pmod(code - first + by, F.lit(n)))
         return (F.when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26))
                 .when(c.between("0", "9"), within(48, 10)).otherwise(c))
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), moved), ""))
+    return F.when(F.length(text) == 0, text).otherwise(let(text, lambda t: let(hashed, lambda h: F.array_join(
+        F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: moved(t, h, i)), ""))))
 
 
 def _email(value: Column, key: str, back: bool) -> Column:
@@ -178,10 +199,10 @@ def _email(value: Column, key: str, back: bool) -> Column:
 
 def _formed(value: Column, digits: Column) -> Column:
     """``digits`` in the places of the value's digits."""
-    def char(c: Column, i: Column) -> Column:
+    def char(new: Column, c: Column, i: Column) -> Column:
         place = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), F.lit("[^0-9]"), F.lit("")))
-        return F.when(c.between("0", "9"), F.substring(digits, place, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.split(value, ""), char), "")
+        return F.when(c.between("0", "9"), F.substring(new, place, F.lit(1))).otherwise(c)
+    return let(digits, lambda new: F.array_join(F.transform(F.split(value, ""), lambda c, i: char(new, c, i)), ""))
 
 
 def kind_of(value: Column) -> Column:
@@ -200,22 +221,26 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The value's pseudonym, or with ``back`` the value of a pseudonym; other values
     stay as they are."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    def with_digits(new) -> Column:
+        return let(F.regexp_replace(value, "[^0-9]", ""), lambda digits: _formed(value, new(digits, key, back)))
+
     return (
         F.when(kind == "email", _email(value, key, back)).when(kind == "date", _date(value, key, back))
-        .when(kind == "ssn", _formed(value, _ssn(digits, key, back))).when(kind == "phone", _formed(value, _phone(digits, key, back)))
-        .when(kind == "ipv4", _ipv4(value, key, back)).when(kind == "card", _formed(value, _card(digits, key, back)))
+        .when(kind == "ssn", with_digits(_ssn)).when(kind == "phone", with_digits(_phone))
+        .when(kind == "ipv4", _ipv4(value, key, back)).when(kind == "card", with_digits(_card))
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii", back: bool = False,
+                 only_found: bool = False) -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced and, in ``found_col`` (replaced
     where it exists), ``kind, start, end, pseudonym`` of each, by place in the original
     text (code points).
 
     Null texts stay null and have no values; invalid numbers and dates stay as they
-    are. ``back`` undoes it, with the same key.
+    are. ``back`` undoes it, with the same key. ``only_found`` leaves out rows without
+    any value; most texts have none, and one look for the pattern settles that.
     """
     text = F.col(f"`{text_col}`")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, found_col)]
@@ -223,6 +248,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     pattern = F.lit(PATTERN)
     none = F.array().cast("array<string>")
     hit = F.rlike(F.coalesce(text, F.lit("")), pattern)
+    if only_found:
+        docs = docs.where(hit)
     parts = docs.select(
         *others, text.alias(text_col), hit.alias("_hit"),
         F.when(hit, F.split(text, PATTERN, -1)).otherwise(none).alias("_pieces"),
@@ -230,6 +257,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     )
     # Kind first, then pseudonym: each is computed once a value.
     parts = parts.withColumn("_values", F.transform("_values", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))))
+    if only_found:
+        parts = parts.where(F.exists("_values", lambda v: v["kind"].isNotNull()))
     parts = parts.withColumn("_values", F.transform("_values", lambda v: F.struct(
         v["value"].alias("value"), v["kind"].alias("kind"), pseudonym(v["value"], v["kind"], key, back).alias("new"))))
     spans = F.aggregate(
