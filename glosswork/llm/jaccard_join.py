@@ -41,6 +41,8 @@ from glosswork.llm.components import components
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # What one entry of an inverted list costs against one listed subset.
 LIST_COST = 4
+# 64-bit words of a set's signature.
+SIGNATURE = 16
 # Beyond this size no set is light, whatever the histogram.
 MOST_LIGHT = 24
 
@@ -78,25 +80,50 @@ class Threshold:
         return min(m // 20 + 1, n - self.spare(n))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def _random_table(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_WORDS = _Words()
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BYTE = _random_table(256, 1)[_LOWER]
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+# A word's hash is the sum of its bytes' numbers times powers of an odd number, modulo
+# 2**64: two lookups in a running sum, whatever the word's length.
+_POWER, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+# Bytes that are hashed at once; a longer text is hashed alone.
+_STRETCH = 1 << 19
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles. Words are separated
-    by ASCII white space, A-Z count as a-z. Fewer words than a shingle are one
-    shingle; no words, none."""
-    tokens = text.encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSES = _powers(_POWER, _STRETCH), _powers(_INVERSE, _STRETCH)
+
+
+def _word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of neighbouring texts that end at ``ends``, and how many
+    words come before each end."""
+    n = len(raw)
+    powers, inverses = (_POWERS, _INVERSES) if n <= _STRETCH else (_powers(_POWER, n), _powers(_INVERSE, n))
+    space = _SPACE[raw]
+    breaks = np.zeros(n + 1, bool)
+    breaks[ends] = breaks[0] = True
+    first = np.flatnonzero(~space & (breaks[:-1] | np.append(True, space[:-1])))
+    last = np.flatnonzero(~space & (breaks[1:] | np.append(space[1:], True))) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * powers[:n], out=sums[1:])
+    hashes = (sums[last] - sums[first]) * inverses[first]
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * _B
+    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(first, ends)
+
+
+def _shingles_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    if not len(hashes):
+        return hashes
     k = min(words, len(hashes))
     n = len(hashes) - k + 1
     out = np.full(n, k, np.uint64)
@@ -108,6 +135,25 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text of a column, the sorted distinct 64-bit hashes of its word
+    shingles. Words are separated by ASCII white space, A-Z count as a-z. Fewer words
+    than a shingle are one shingle; no words, none."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, values = texts.buffers()
+    offsets = np.frombuffer(offsets, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _STRETCH, "right")) - 1)
+        hashes, ends = _word_hashes(raw[offsets[at]: offsets[stop]], offsets[at + 1: stop + 1] - offsets[at])
+        start = 0
+        for end in ends.tolist():
+            yield _shingles_of(hashes[start:end], words)
+            start = end
+        at = stop
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
@@ -130,7 +176,7 @@ def measure(texts: DataFrame, rule: Threshold) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, rule.words) for t in batch.column("text").to_pylist()]
+            found = list(shingle_sets(batch.column("text"), rule.words))
             sid = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array(_signed(sid))], ["id", "n", "sid"])
@@ -145,12 +191,28 @@ def _listed(texts: DataFrame, rule: Threshold, pick, name: str = "keys") -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pick(shingles(t, rule.words)) for t in batch.column("text").to_pylist()]
+            found = [pick(s) for s in shingle_sets(batch.column("text"), rule.words)]
             yield batch.select(others).append_column(name, _lists(found))
 
     return texts.mapInArrow(rows, f"{fields}, {name} array<bigint>")
 
 
+def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
+    """``keys``, the shingles under which a set is listed, and ``bits``, its signature:
+    each shingle flips one of its bits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bits = [], []
+            for found in shingle_sets(batch.column("text"), rule.words):
+                keys.append(found[: rule.spare(len(found)) + 1])
+                flips = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+                bits.append(np.packbits(flips.astype(np.uint8)).view(np.uint64))
+            yield (batch.select(["id", "n", "own"]).append_column("keys", _lists(keys)).append_column("bits", _lists(bits)))
+
+    return texts.mapInArrow(rows, f"id {_kind(texts, 'id')}, n bigint, own bigint, keys array<bigint>, bits array<bigint>")
+
+
 def _own(keys: DataFrame) -> DataFrame:
     """``id`` and ``own``: how many of the listed shingles no other id has. Counted per
     shingle by its smallest and largest id, so a common shingle is combined in the tasks
@@ -194,12 +256,8 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, right = None, None
             keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                left = shingles(x, rule.words)
-                if y != last:
-                    last, right = y, shingles(y, rule.words)
+            for left, right in zip(*(shingle_sets(batch.column(c), rule.words) for c in ("text_a", "text_b")), strict=True):
                 overlap = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(rule.den * overlap >= rule.num * (len(left) + len(right) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -229,9 +287,8 @@ def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: st
     known = _comparable(texts, sets, rule.least(boundary + 1), rule)
     chosen = texts.join(small_side(known), "id").select("id", "n", "own", "text").dropDuplicates(["id"])
     bodies = chosen.select("id", "text")
-    listed = written(
-        _listed(chosen, rule, lambda s: s[: rule.spare(len(s)) + 1]).select("id", "n", "own", F.explode("keys").alias("key")),
-        "inverted-lists")
+    heavy = written(_heavy_sets(chosen, rule), "heavy-sets")
+    listed = heavy.select("id", "n", "own", F.explode("keys").alias("key"))
     # Each list against its member with the fewest own shingles, by bands of set size.
     banded = listed.withColumn("band", F.floor(F.log(1.25, "n")))
     pivots = written(
@@ -252,11 +309,14 @@ def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: st
     mixed = written(
         placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key"),
         "mixed-keys")
-    still = written(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    one, other = (still.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "own", "class")]) for side in "ab")
+    still = written(placed.join(mixed, "key", "left_semi").join(heavy.select("id", "bits"), "id"), "mixed-lists")
+    one, other = (still.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "own", "class", "bits")]) for side in "ab")
+    differ = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(SIGNATURE))
     later_pairs = (
         one.join(other, "key").where("id_a < id_b AND class_a <> class_b")
         .where(_possible(rule, "n_a", "own_a", "n_b", "own_b"))
+        # Sets differ in at least as many shingles as their signatures in bits.
+        .where(differ <= F.col("n_a") + F.col("n_b") - 2 * _required(rule, F.col("n_a"), F.col("n_b")))
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
@@ -270,10 +330,14 @@ def _least(rule: Threshold, n: Column) -> Column:
     return F.ceil(n * rule.num / rule.den)
 
 
+def _required(rule: Threshold, n: Column, m: Column) -> Column:
+    return F.ceil((n + m) * rule.num / (rule.num + rule.den))
+
+
 def _possible(rule: Threshold, n_a: str, own_a: str, n_b: str, own_b: str) -> Column:
     """Whether two sets can reach the overlap that links them."""
     n_a, own_a, n_b, own_b = map(F.col, (n_a, own_a, n_b, own_b))
-    return F.least(n_a - own_a, n_b - own_b) >= F.ceil((n_a + n_b) * rule.num / (rule.num + rule.den))
+    return F.least(n_a - own_a, n_b - own_b) >= _required(rule, n_a, n_b)
 
 
 def _light_links(texts: DataFrame, sets: DataFrame, boundary: int, rule: Threshold) -> DataFrame:
