@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from glosswork.operators.joins import is_hot
 from glosswork.operators.ranking import fifo_number
+from glosswork.session import written
 
 BATCH_KEY = ("shard", "batch_no", "effective_model")
 UNIT_ROWS = 4096
@@ -96,7 +97,7 @@ def batch_by_window(
     chunk_rows = max(chunk_rows, max_batch)  # a batch spans at most two chunks
     narrow = arrivals.select(key, _micros(arrivals, ts).alias("_t"), order_id)
 
-    sizes = narrow.groupBy(key).agg(F.count("*").alias("_n"))
+    sizes = written(narrow.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
     hot = F.broadcast(sizes.where(is_hot(sizes, "_n", chunk_rows + 1)).select(key))
 
     ranked = fifo_number(
@@ -107,7 +108,8 @@ def batch_by_window(
         spans=[F.floor(F.col("_t") / (slice_us * 4096))],
         name="_rn",
     ).withColumn("_rn", F.col("_rn") - 1)
-    chunked = ranked.withColumn("_chunk", F.floor(F.col("_rn") / chunk_rows))
+    # Read by the maps and by the numbering: the rows of hot keys are ranked once.
+    chunked = written(ranked.withColumn("_chunk", F.floor(F.col("_rn") / chunk_rows)), "ranked-arrivals")
 
     # The last batch of a chunk may reach up to max_batch - 1 rows into the next.
     in_head = (F.col("_rn") % chunk_rows < max_batch) & (F.col("_chunk") > 0)

@@ -32,17 +32,20 @@ def skew_join(
     hot_rows: int = HOT_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
     spread_by: Sequence[str] | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``answers`` (unique on ``keys``) null-safely.
 
     ``answers[rows_col]`` says how many fact rows each key has. Fact rows of hot
     keys are spread over ``ceil(rows / rows_per_salt)`` salts and the answer of
     such a key is repeated once per salt; all other keys join as usual. No row
-    is dropped or capped. ``rows_col`` is not part of the result.
+    is dropped or capped. ``rows_col`` is not part of the result. ``sizes`` has the
+    keys and their rows where ``answers`` is dear to compute: hot keys are found there.
     """
+    sizes = answers if sizes is None else sizes
     n_salts = F.ceil(F.col(rows_col) / F.lit(rows_per_salt)).cast("int")
-    hot_here = is_hot(answers, rows_col, hot_rows)
-    hot = answers.where(hot_here).select(
+    hot_here = is_hot(sizes, rows_col, hot_rows)
+    hot = sizes.where(hot_here).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys], n_salts.alias("_salts")
     )
     on_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.session import written
+
 
 def fifo_number(
     df: DataFrame,
@@ -34,7 +36,8 @@ def fifo_number(
 
     # From fine to coarse: the key of an entry, and the columns it is summed within.
     keys = [[*levels, *units], *[levels[i:] for i in range(len(levels))]]
-    counts = cut.groupBy(*part, *keys[0]).agg(F.count("*").alias("_n"))
+    # Every level is summed from this small table, which is made once.
+    counts = written(cut.groupBy(*part, *keys[0]).agg(F.count("*").alias("_n")), "unit-counts")
     before = []
     for own, parent in zip(keys, [*keys[1:], []]):
         inside = [c for c in own if c not in parent]

@@ -15,7 +15,7 @@ from glosswork.operators.replies import audit_direct, audit_replies, job_answers
 from glosswork.operators.results import assemble
 from glosswork.operators.segments import gate, on_pages, segment
 from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
-from glosswork.session import configure, scratch_path
+from glosswork.session import configure, written
 from glosswork.sources.files import spread
 from glosswork.sources.memory import lookup_keys, memory_upsert
 from glosswork.sources.requests import effective_model
@@ -55,11 +55,11 @@ def translate_corpus(
     wanted, passed = _split(spread(documents), options)
 
     distinct = _lookup(_distinct_texts(wanted, options), memory, options)
-    work = _written(spark, "texts", distinct)
+    work = written(distinct, "texts")
 
     calls = _audited_calls(work.where(F.col("memory_text").isNull()), translator, options)
     # The texts of a good reply are in ``translations``; only bad ones keep ``raw``.
-    audited = _written(spark, "replies", calls.withColumn("raw", F.when(F.col("defect").isNotNull(), F.col("raw"))))
+    audited = written(calls.withColumn("raw", F.when(F.col("defect").isNotNull(), F.col("raw"))), "replies")
 
     answers = (
         work.join(job_answers(audited), "job_id", "left")
@@ -71,7 +71,7 @@ def translate_corpus(
         )
     )
     translated = skew_join(
-        wanted, answers, ["key_hash", "effective_model"], hot_rows=hot_rows, spread_by=["doc_id", "pos"]
+        wanted, answers, ["key_hash", "effective_model"], hot_rows=hot_rows, spread_by=["doc_id", "pos"], sizes=work,
     ).drop("key_hash", "effective_model")
     untouched = passed.withColumns(
         {"result": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
@@ -155,9 +155,3 @@ def _audited_calls(jobs: DataFrame, translator: Translator, options: RunOptions)
     queued = jobs.select("job_id", "shard", "doc_id", "pos", "effective_model", messages.alias("messages"))
     batches = build_payload(batch_by_count(queued, options.batch_limit, options.workers))
     return audit_replies(infer(batches, translator, options.parallelism))
-
-
-def _written(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
-    path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.parquet(path)

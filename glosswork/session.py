@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,3 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="glosswork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/glosswork/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared scratch folder: computed once, however often
+    it is read, and with its lineage cut. The tables of a run lie side by side below
+    ``spark.checkpoint.dir``; whoever set that folder removes them when the run is over."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.operators.joins import HOT_ROWS, skew_join
+from glosswork.session import written
 
 KEY = ("key_hash", "lang_in", "lang_out", "effective_model")
 
@@ -26,9 +27,9 @@ def memory_lookup(segments: DataFrame, memory: DataFrame, ignore_cache: bool = F
     """
     if ignore_cache:
         return segments.withColumn("memory_text", F.lit(None).cast("string"))
-    keys = segments.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
+    keys = written(segments.groupBy(*KEY).agg(F.count("*").alias("n_rows")), "memory-keys")
     # Misses stay in the list: a hot text has to be spread whether or not it is known.
-    return skew_join(segments, lookup_keys(keys, memory), KEY, hot_rows=hot_rows)
+    return skew_join(segments, lookup_keys(keys, memory), KEY, hot_rows=hot_rows, sizes=keys)
 
 
 def lookup_keys(keys: DataFrame, memory: DataFrame) -> DataFrame:
