@@ -19,7 +19,7 @@ def best_attachment(attachments: DataFrame, files: DataFrame) -> DataFrame:
     the first such child in order. Titles play no part here. ``min_by`` reduces
     inside each task, so an item with very many children is no hot spot."""
     usable = attachments.where(F.col("is_pdf") & F.col("item_id").isNotNull()).join(
-        files.select("path").distinct(), "path", "left_semi"
+        files.select("path"), "path", "left_semi"
     )
     rank = F.struct((~F.coalesce("is_best", F.lit(False))).alias("later"), "child_pos", "attachment_id")
     return usable.groupBy("item_id").agg(F.min_by("attachment_id", rank).alias("attachment_id"))
@@ -61,7 +61,7 @@ def collect_targets(
     return (
         picked.join(attachments, "attachment_id")
         .where(~translated)
-        .join(files.select("path").distinct(), "path", "left_semi")
+        .join(files.select("path"), "path", "left_semi")
         .join(parents, "item_id", "left")
         .join(libraries, "library_id", "left")
         .where(F.coalesce("files_editable", F.lit(True)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +34,31 @@ class OutcomeTracker(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        # One trigger's events of one job, three short columns each; the source's
-        # rate limit bounds them.
-        events = pd.concat(list(rows)).sort_values("seq")
-        for label, outcome, error in zip(events["label"], events["outcome"], events["error"]):
-            if isinstance(outcome, str):
-                done = True
-                yield pd.DataFrame(
-                    [(key[0], outcome, error if isinstance(error, str) else None, n_progress, last)],
-                    columns=["job_id", "outcome", "error", "n_progress", "last_label"],
-                )
-                break
-            n_progress, last = n_progress + 1, label
+        # Frames are folded as they come. Of a progress event only its number and a
+        # number for its label are kept, twelve bytes, until the end is known.
+        ending, names = None, {}
+        seqs, labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for frame in rows:
+            ended = frame["outcome"].notna()
+            if ended.any():
+                ends = frame[ended]
+                first = ends.loc[ends["seq"].idxmin()]
+                if ending is None or first["seq"] < ending["seq"]:
+                    ending = first
+            told = frame[~ended]
+            seqs.append(told["seq"].to_numpy(np.int64))
+            labels.append(np.fromiter((names.setdefault(x, len(names)) for x in told["label"]), np.int32, len(told)))
+        seq, label = np.concatenate(seqs), np.concatenate(labels)
+        if ending is not None:
+            before = seq < ending["seq"]
+            seq, label = seq[before], label[before]
+        if len(seq):
+            n_progress, last = n_progress + len(seq), list(names)[label[seq.argmax()]]
+        if ending is not None:
+            done = True
+            error = ending["error"] if isinstance(ending["error"], str) else None
+            yield pd.DataFrame([(key[0], ending["outcome"], error, n_progress, last)],
+                               columns=["job_id", "outcome", "error", "n_progress", "last_label"])
         self.seen.update((done, n_progress, last))
 
     def close(self) -> None:

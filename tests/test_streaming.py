@@ -105,6 +105,18 @@ def test_outcomes_across_files(spark, tmp_path):
     assert got == {1: ("finish", None, 2, "s: 20%"), 2: ("error", "translation failed", 0, None)}
 
 
+def test_a_busy_job_is_folded_as_it_comes(spark, tmp_path):
+    n = 300_000
+    spark.range(n, 0, -1, 1).selectExpr(
+        "1L AS job_id", "id AS seq",
+        f"if(id = {n - 5}, '{{\"type\":\"finish\",\"translate_result\":1}}', '{{\"type\":\"progress\",\"stage\":\"s\",\"progress\":' || (id % 7 + 2) || '}}') AS body",
+    ).write.json(str(tmp_path / "in"))
+    ended = outcome_stream(source(spark, tmp_path / "in", EVENTS))
+    start(ended, tmp_path, availableNow=True).awaitTermination()
+    want = ("finish", None, n - 6, f"s: {(n - 6) % 7 + 2}%")
+    assert [(r.outcome, r.error, r.n_progress, r.last_label) for r in recorded(spark, ended, tmp_path).collect()] == [want]
+
+
 def test_status_streams(spark, tmp_path):
     schema = "effective_model string, job_ids array<string>, answered boolean, defect string, at timestamp"
     rows = [(None, ["a", "b"], True, None, "2024-01-01T00:00:10"), ("m", ["c"], True, "backend", "2024-01-01T00:00:20"),
