@@ -146,7 +146,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_by_count(jobs(spark, sf_dir), MAX_BATCH, WORKERS)
+    return batch_by_count(jobs(spark, sf_dir), MAX_BATCH)
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:

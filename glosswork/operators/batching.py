@@ -15,24 +15,17 @@ from glosswork.operators.ranking import fifo_number
 from glosswork.session import written
 
 BATCH_KEY = ("shard", "batch_no", "effective_model")
-UNIT_ROWS = 4096
 
 
-def batch_by_count(jobs: DataFrame, max_batch: int, workers: int = 1, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def batch_by_count(jobs: DataFrame, max_batch: int) -> DataFrame:
     """Number FIFO batches of at most ``max_batch`` jobs per shard.
 
     ``jobs`` has ``job_id, shard, doc_id, pos, effective_model``; the queue
-    order inside a shard is ``(doc_id, pos)``. Batches are cut before they are
+    order inside a shard is ``(doc_id, pos)``, whatever type the ids have. Batches are cut before they are
     split by model, so a batch number may appear with several models. Adds
     ``batch_no`` (from 0) and ``ord`` (place within the batch).
     """
-    numbered = fifo_number(
-        jobs,
-        part=["shard"],
-        unit=[F.col("doc_id"), F.floor(F.col("pos") / unit_rows)],
-        order=["pos"],
-        spans=[F.floor(F.col("doc_id") / width) for width in (unit_rows * workers, unit_rows * workers * 2**20)],
-    )
+    numbered = fifo_number(jobs, part=["shard"], order=["doc_id", "pos"])
     return numbered.withColumns(
         {
             "batch_no": F.floor((F.col("rn") - 1) / max_batch).cast("bigint"),
@@ -76,7 +69,6 @@ def batch_by_window(
     max_batch: int,
     window_us: int,
     chunk_rows: int = 65_536,
-    slice_us: int = 3_600_000_000,
 ) -> DataFrame:
     """Number batches per key: a job joins the open batch while it has fewer than
     ``max_batch`` jobs and the job arrived before the first one's time plus the
@@ -89,8 +81,6 @@ def batch_by_window(
     chunk's end, in parallel, which yields a small map "entered here, leaves
     there, after n batches". Running through the maps gives each chunk's true
     entry; then all chunks are numbered in parallel. The result is exact.
-    ``slice_us`` should be short enough for one key's rows of a slice to fit a
-    task.
     """
     if max_batch < 1 or window_us < 0:
         raise ValueError("max_batch must be at least 1 and the window not negative")
@@ -103,9 +93,7 @@ def batch_by_window(
     ranked = fifo_number(
         narrow.join(hot, key, "left_semi"),
         part=[key],
-        unit=[F.floor(F.col("_t") / slice_us)],
         order=["_t", order_id],
-        spans=[F.floor(F.col("_t") / (slice_us * 4096))],
         name="_rn",
     ).withColumn("_rn", F.col("_rn") - 1)
     # Read by the maps and by the numbering: the rows of hot keys are ranked once.

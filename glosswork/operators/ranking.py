@@ -3,60 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.session import written
 
 
-def fifo_number(
-    df: DataFrame,
-    part: Sequence[str],
-    unit: Sequence[Column],
-    order: Sequence[str],
-    spans: Sequence[Column],
-    name: str = "rn",
-) -> DataFrame:
-    """``row_number() over (partition by part order by unit, order)`` without
-    sorting a whole partition in one task.
+def fifo_number(df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """``row_number() over (partition by part order by order)`` without sorting a
+    whole partition in one task.
 
-    Rows are cut into small units (``unit``: expressions that never decrease
-    along the order), units into spans, and those into wider ones (``spans``,
-    narrow to wide, each again never decreasing). Counts are summed up from unit
-    to partition, running totals are passed down again, and each row adds its
-    place inside its unit. The largest sort is one unit's rows, the list of
-    units in a span, or of spans in the next wider one; never a partition's rows.
-    ``part`` and ``unit`` must not be NULL.
+    The sorting columns alone are range-partitioned by sampled splitters, so a
+    partition that holds everything is cut like any other, and written with the
+    number of their range. A row's number is its place within its range plus the rows
+    of its partition in the ranges before; the largest sort is one range, or the list
+    of a partition's ranges. Columns may be of any type that sorts. ``order`` has to be
+    unique within a partition; no column of either may be NULL.
     """
-    part = list(part)
-    units = [f"_u{i}" for i in range(len(unit))]
-    levels = [f"_s{i}" for i in range(len(spans))]
-    cut = df.select("*", *[e.alias(n) for e, n in zip([*unit, *spans], [*units, *levels])])
-
-    # From fine to coarse: the key of an entry, and the columns it is summed within.
-    keys = [[*levels, *units], *[levels[i:] for i in range(len(levels))]]
-    # Every level is summed from this small table, which is made once.
-    counts = written(cut.groupBy(*part, *keys[0]).agg(F.count("*").alias("_n")), "unit-counts")
-    before = []
-    for own, parent in zip(keys, [*keys[1:], []]):
-        inside = [c for c in own if c not in parent]
-        running = (
-            Window.partitionBy(*part, *parent).orderBy(*inside).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        before.append(
-            counts.select(*part, *own, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-        )
-        counts = counts.groupBy(*part, *parent).agg(F.sum("_n").alias("_n"))
-
-    offsets = before[-1]
-    for own, finer in zip(reversed(keys[1:]), reversed(before[:-1])):
-        above = offsets.withColumnRenamed("_before", "_above")
-        offsets = finer.join(above, [*part, *own]).withColumn("_before", F.col("_before") + F.col("_above")).drop("_above")
-
-    in_unit = Window.partitionBy(*part, *keys[0]).orderBy(*order)
-    return (
-        cut.join(offsets, [*part, *keys[0]])
-        .withColumn(name, F.col("_before") + F.row_number().over(in_unit))
-        .select(*df.columns, name)
-    )
+    part, order = list(part), list(order)
+    keys = [*part, *order]
+    ranges = written(
+        df.select(*keys).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "fifo-ranges")
+    earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy(*part, "_range").agg(F.count("*").alias("_n")).select(
+        *part, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    in_range = Window.partitionBy(*part, "_range").orderBy(*order)
+    numbered = ranges.join(before, [*part, "_range"]).select(
+        *keys, (F.col("_before") + F.row_number().over(in_range)).alias(name))
+    if set(df.columns) == set(keys):
+        return numbered.select(*df.columns, name)
+    same = reduce(lambda a, b: a & b, [F.col(f"_d.{k}") == F.col(f"_n.{k}") for k in keys])
+    return df.alias("_d").join(numbered.alias("_n"), same).select("_d.*", f"_n.{name}")

@@ -153,5 +153,5 @@ def _audited_calls(jobs: DataFrame, translator: Translator, options: RunOptions)
         return audit_direct(infer(calls, translator, options.parallelism))
     messages = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
     queued = jobs.select("job_id", "shard", "doc_id", "pos", "effective_model", messages.alias("messages"))
-    batches = build_payload(batch_by_count(queued, options.batch_limit, options.workers))
+    batches = build_payload(batch_by_count(queued, options.batch_limit))
     return audit_replies(infer(batches, translator, options.parallelism))

@@ -18,27 +18,38 @@ def numbered_by_hand(jobs, max_batch):
     return out
 
 
-@pytest.mark.parametrize("workers, unit_rows, max_batch", [(1, 3, 4), (3, 2, 1), (2, 4096, 64), (5, 7, 3)])
-def test_count_batches_match_a_plain_queue(spark, workers, unit_rows, max_batch):
+@pytest.mark.parametrize("ids", ["dense", "random", "string"])
+@pytest.mark.parametrize("workers, max_batch", [(1, 4), (3, 1), (5, 64)])
+def test_count_batches_match_a_plain_queue(spark, workers, max_batch, ids):
     rng = random.Random(workers * 100 + max_batch)
+    name = {d: {"dense": d, "random": rng.getrandbits(63) - 2**62, "string": f"{rng.getrandbits(40):x}"}[ids] for d in range(40)}
     # One document holds a third of all jobs.
-    jobs = [(f"d{d}:{p}", d % workers, d, p) for d in range(40) for p in rng.sample(range(60), rng.randint(0, 12))]
-    jobs += [(f"d7:h{p}", 7 % workers, 7, 100 + p) for p in range(150)]
-    frame = spark.createDataFrame(jobs, "job_id string, shard int, doc_id bigint, pos int").withColumn(
+    jobs = [(f"d{d}:{p}", d % workers, name[d], p) for d in range(40) for p in rng.sample(range(60), rng.randint(0, 12))]
+    jobs += [(f"d7:h{p}", 7 % workers, name[7], 100 + p) for p in range(150)]
+    frame = spark.createDataFrame(jobs, f"job_id string, shard int, doc_id {'string' if ids == 'string' else 'bigint'}, pos int").withColumn(
         "effective_model", F.lit(None).cast("string"))
-    got = {r.job_id: (r.shard, r.batch_no, r.ord) for r in batch_by_count(frame, max_batch, workers, unit_rows).collect()}
+    got = {r.job_id: (r.shard, r.batch_no, r.ord) for r in batch_by_count(frame, max_batch).collect()}
     assert got == numbered_by_hand(jobs, max_batch)
 
 
-def test_fifo_number_sorts_units_only(spark):
-    frame = spark.range(100).select(F.lit("k").alias("k"), "id", F.lit("text").alias("text"))
-    ranked = fifo_number(frame, ["k"], [F.floor(F.col("id") / 10)], ["id"], [F.floor(F.col("id") / 30), F.floor(F.col("id") / 60)])
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert [r.rn for r in ranked.orderBy("id").collect()] == list(range(1, 101))
-    # No window runs over a whole partition's rows: those by k alone see span totals.
+def test_fifo_number_cuts_one_partition_into_ranges(spark):
+    frame = spark.range(20_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("id"), F.lit("text").alias("text"))
+    advisory = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "false")
+    try:
+        ranked = fifo_number(frame, ["k"], ["id"])
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        rows = ranked.collect()
+        sizes = [r["count"] for r in fifo_number(frame.select("k", "id"), ["k"], ["id"])
+                 .groupBy(F.floor((F.col("rn") - 1) / 5000)).count().collect()]
+    finally:
+        spark.conf.set(advisory, before)
+    assert [r.rn for r in sorted(rows, key=lambda r: r.id)] == list(range(1, 20_001)) and sum(sizes) == 20_000
+    # No row is numbered by a window over its whole partition.
     for line in plan.splitlines():
         if "Window" in line and "row_number" in line:
-            assert "_u0" in line.split("windowspecdefinition")[1]
+            assert "_range" in line.split("windowspecdefinition")[1]
 
 
 def test_payload_embeds_messages_untouched(spark):
@@ -79,7 +90,7 @@ def test_window_batches_match_a_plain_walk(spark, max_batch, window, chunk_rows)
     rng.shuffle(arrivals)
     frame = spark.createDataFrame(arrivals, "key string, us bigint, id bigint").select(
         "key", "id", F.timestamp_micros("us").alias("ts"))
-    got = batch_by_window(frame, "key", "ts", "id", max_batch, window, chunk_rows=chunk_rows, slice_us=40)
+    got = batch_by_window(frame, "key", "ts", "id", max_batch, window, chunk_rows=chunk_rows)
     assert {(r.key, r.id): r.batch_no for r in got.collect()} == windows_by_hand(arrivals, max_batch, window)
 
 
