@@ -267,12 +267,15 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(via_item)
 
 
-def memory_rows(spark: SparkSession, sf_dir: str, remainder: int, version: int) -> DataFrame:
-    """Translations of one in five documents' segments."""
-    rows = wanted_segments(spark, sf_dir).where(F.col("doc_id") % 5 == remainder)
+def memory_rows(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    """Translations of all segments in five versions, by document: the first version,
+    or the other four."""
+    part = F.col("doc_id") % 5
+    rows = wanted_segments(spark, sf_dir).where(part == 0 if first else part != 0)
+    version = (part + 1).cast("int")
     return with_memory_key(rows).select(
         "key_hash", "lang_in", "lang_out", "effective_model",
-        F.concat(F.lit(f"[v{version}] "), "text").alias("text"), F.lit(version).alias("version"),
+        F.concat(F.lit("[v"), version, F.lit("] "), "text").alias("text"), version.alias("version"),
     )
 
 

@@ -239,7 +239,7 @@ _RELATIONS = {
              {fx.N_CREATED} AS n_created, {fx.RUN_ERROR} AS error FROM documents""",
     "memory": f"""
       SELECT sha256(text) AS key_hash, effective_model, '[v' || v || '] ' || text AS text, v AS version,
-             part FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 1 ELSE 2 END AS v, doc_id % 5 AS part FROM wanted)""",
+             part FROM (SELECT *, doc_id % 5 + 1 AS v, doc_id % 5 AS part FROM wanted)""",
 }
 
 
@@ -343,7 +343,7 @@ _QUERIES = {
       LEFT JOIN (SELECT DISTINCT key_hash, effective_model, text FROM memory WHERE part = 0) m
         ON m.key_hash = sha256(w.text) AND m.effective_model IS NOT DISTINCT FROM w.effective_model""",
     "memory_upsert": """SELECT key_hash, effective_model, md5(arg_max(text, version)) AS text_md5,
-        CAST(max(version) AS INTEGER) AS version FROM memory WHERE part IN (0, 1) GROUP BY 1, 2""",
+        CAST(max(version) AS INTEGER) AS version FROM memory GROUP BY 1, 2""",
     "batch_infer": f"""SELECT shard, batch_no, effective_model,
         CASE WHEN effective_model = 'Model-Y' THEN NULL ELSE md5('{{"translations":[' || string_agg(
           '{{"id":"' || job_id || '","text":' || CAST(to_json({_OFFLINE}) AS VARCHAR) || '}}', ',' ORDER BY ord) || ']}}')

@@ -117,7 +117,7 @@ def segment_dedup(spark, sf):
 
 @query
 def memory_split(spark, sf):
-    stored = memory.memory_upsert(*_memory_tables(spark, sf, (0,)))
+    stored = _stored(spark, sf)
     rows = fx.with_memory_key(fx.wanted_segments(spark, sf))
     return memory.memory_lookup(rows, stored).select(
         "seg_id", F.col("memory_text").isNotNull().alias("hit"), F.md5("memory_text").alias("memory_md5")
@@ -126,14 +126,14 @@ def memory_split(spark, sf):
 
 @query
 def memory_upsert(spark, sf):
-    merged = memory.memory_upsert(*_memory_tables(spark, sf, (0, 1)))
+    merged = memory.memory_upsert(fx.memory_rows(spark, sf, True), fx.memory_rows(spark, sf, False))
     return merged.select("key_hash", "effective_model", F.md5("text").alias("text_md5"), "version")
 
 
-def _memory_tables(spark, sf, parts):
-    old = fx.memory_rows(spark, sf, 0, 1)
-    new = fx.memory_rows(spark, sf, 1, 2) if 1 in parts else old
-    return old, new
+def _stored(spark, sf):
+    """A partly filled memory."""
+    first = fx.memory_rows(spark, sf, True)
+    return memory.memory_upsert(first, first.where("false"))
 
 
 @query
@@ -275,7 +275,7 @@ def failure_counts(spark, sf):
 
 
 def _corpus_run(spark, sf, **options):
-    stored = memory.memory_upsert(*_memory_tables(spark, sf, (0,)))
+    stored = _stored(spark, sf)
     translator = OfflineTranslator(direct=options.get("transport") == "direct")
     return translate_corpus(
         spark, fx.table(spark, sf, "documents"), translator,
