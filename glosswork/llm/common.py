@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.session import scratch_path
-
 # The largest side that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -20,14 +18,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared scratch folder: computed once, lineage cut."""
-    spark = frame.sparkSession
-    path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def small_side(frame: DataFrame) -> DataFrame:
     """A written table as a join side: broadcast up to BROADCAST_ROWS rows of plain
     numbers (some tens of MB), shuffled beyond."""

@@ -35,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import small_side, text_of, written
+from glosswork.llm.common import small_side, text_of
 from glosswork.llm.components import components
+from glosswork.session import written
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # What one entry of an inverted list costs against one listed subset.
@@ -285,7 +286,10 @@ def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: st
     light = _light_links(texts, sets, boundary, rule)
 
     known = _comparable(texts, sets, rule.least(boundary + 1), rule)
-    chosen = texts.join(small_side(known), "id").select("id", "n", "own", "text").dropDuplicates(["id"])
+    # The few texts that are compared, written so that a join to them can be split
+    # where many pairs share a text.
+    chosen = written(
+        texts.join(small_side(known), "id").select("id", "n", "own", "text").dropDuplicates(["id"]), "compared-texts")
     bodies = chosen.select("id", "text")
     heavy = written(_heavy_sets(chosen, rule), "heavy-sets")
     listed = heavy.select("id", "n", "own", F.explode("keys").alias("key"))
