@@ -59,36 +59,33 @@ def fold_events(log: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     known = log.where(F.col("kind").isin("message", "edit", "regenerate", "delta"))
-    places = (
-        known.groupBy("conv_id", F.col("turn").cast("long").alias("turn"))
-        .agg(F.sort_array(F.collect_list(event)).alias("events"))
-        # Where messages start, and where the last one ends.
-        .withColumn("starts", F.expr(
-            "filter(sequence(1, size(events)), i -> i = 1 OR element_at(events, i).kind = 1)"))
-        .withColumn("parts", F.expr(
-            "transform(starts, (s, k) -> slice(events, s,"
-            " coalesce(get(starts, k + 1), size(events) + 1) - s))"))
-        # Only what follows the last replacement is part of the text.
-        .withColumn("parts", F.expr(
-            "transform(parts, p -> struct(p[0].seq AS seq, p[0].role AS role, slice(p,"
-            " array_max(filter(transform(p, (e, i) -> if(e.kind < 4 OR i = 0, i + 1, 0)), i -> i > 0)),"
-            " size(p)) AS rest))"))
-        .select(
-            "conv_id", "turn",
-            F.expr("array_max(transform(filter(events, e -> e.kind = 3), e -> e.seq))").alias("regenerated"),
-            F.expr("transform(parts, p -> struct(p.seq AS seq, p.role AS role, array_join("
-                   "transform(p.rest, e -> if(e.kind = 3, '', e.text)), '') AS text))").alias("messages"),
-        )
+    places = known.groupBy("conv_id", F.col("turn").cast("long").alias("turn")).agg(
+        F.sort_array(F.collect_list(event)).alias("events"),
+        F.max(F.when(F.col("kind") == "regenerate", F.col("seq").cast("long"))).alias("regenerated"),
     )
-    return (
+    together = (
         places.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "regenerated", "messages"))).alias("places"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "regenerated", "events"))).alias("places"))
         .withColumn("cuts", F.expr("filter(places, p -> p.regenerated IS NOT NULL)"))
-        .select("conv_id", F.expr("""
-            flatten(transform(places, p -> transform(
-              filter(p.messages, m -> NOT exists(cuts, c -> c.turn < p.turn AND c.regenerated > m.seq)),
-              m -> struct(p.turn AS turn, m.role AS role, m.text AS text))))""").alias("messages"))
+        # What a later regeneration of an earlier turn leaves.
+        .withColumn("places", F.expr(f"""
+            transform(places, p -> struct(p.turn AS turn, filter(p.events, e -> NOT exists(cuts, c ->
+              coalesce(c.turn < p.turn AND c.regenerated > coalesce(e.seq, {-2**63 + 1}L), false))) AS events))"""))
+        # Where messages start.
+        .withColumn("places", F.expr("""
+            transform(places, p -> struct(p.turn AS turn, p.events AS events, if(size(p.events) = 0, array(),
+              filter(sequence(1, size(p.events)), i -> i = 1 OR element_at(p.events, i).kind = 1)) AS starts))"""))
+        .withColumn("parts", F.expr("""
+            flatten(transform(places, p -> transform(p.starts, (s, k) -> struct(p.turn AS turn, slice(p.events, s,
+              coalesce(get(p.starts, k + 1), size(p.events) + 1) - s) AS events))))"""))
     )
+    # Only what follows the last replacement is part of the text.
+    return together.select("conv_id", F.expr("""
+        transform(
+          transform(parts, p -> struct(p.turn AS turn, p.events[0].role AS role, slice(p.events,
+            array_max(transform(p.events, (e, i) -> if(e.kind < 4 OR i = 0, i + 1, 0))), size(p.events)) AS rest)),
+          p -> struct(p.turn AS turn, p.role AS role,
+            array_join(transform(p.rest, e -> if(e.kind = 3, '', e.text)), '') AS text))""").alias("messages"))
 
 
 def render(conversations: DataFrame, learned_role: str = "assistant") -> DataFrame:
