@@ -4,6 +4,10 @@ Sampled splitters range-partition the normalised texts, Spark's external sort pu
 equal ones side by side, and the window compares each row's whole text with that of
 the row before. No Python runs.
 
+Splitters are the first HEAD characters and, among texts that begin alike, a hash of
+the whole: the driver samples short keys, however long the texts are, and a beginning
+that a third of all texts share is split as well. Equal texts have equal keys.
+
 A text that holds at least one row in HOT_SHARE would fill one range. Such texts are
 found first, from a count by 64-bit hash that is combined before the shuffle; there
 are at most HOT_SHARE of them at any size, so their list is safe to broadcast. Their
@@ -17,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import text_of, written
+from glosswork.llm.common import text_of
+from glosswork.session import written
 
+HEAD = 64
 HOT_SHARE = 1000
 SALTS = 256
 # Fixed values of the contract: the ASCII white space that equality ignores.
@@ -52,11 +58,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     hashed = rows.withColumn("hash", F.xxhash64("norm"))
     salt = 1 + F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     salted = hashed.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left").select(
-        "row", "id", "points", "norm", F.when(F.col("hot").isNull(), 0).otherwise(salt).alias("salt"))
+        "row", "id", "points", "norm", "hash", F.substring("norm", 1, HEAD).alias("head"),
+        F.when(F.col("hot").isNull(), 0).otherwise(salt).alias("salt"))
     sha = F.sha2(F.col("norm").cast("binary"), 256)
-    same = W.partitionBy("norm", "salt")
+    same = W.partitionBy("head", "hash", "norm", "salt")
     best_first = same.orderBy(F.desc("points"), F.asc_nulls_last("id"))
-    placed = salted.repartitionByRange("norm", "salt").select(
+    placed = salted.repartitionByRange("head", "hash", "salt").select(
         "row", "salt", sha.alias("text_sha256"),
         F.row_number().over(best_first).alias("rank"),
         F.first("id").over(best_first).alias("best"),
