@@ -4,8 +4,8 @@ A size-aware heavy-light join over sets of distinct word shingles. Two sets link
 their Jaccard similarity reaches ``num / den``.
 
 * Equal sets are one set from the start; only distinct sets are compared.
-* Light sets list all their subsets of each size that a link between them needs; sets
-  with a common subset link, without another look.
+* Light sets list, for each size of partner, all their subsets of the size that such a
+  link needs; sets of these two sizes with a common subset link, without another look.
 * Heavy sets scan inverted lists: a link needs a common shingle among the first few of
   both sets in hash order, so only those are listed.
 * The boundary is the size up to which listing subsets costs less than scanning, by
@@ -231,22 +231,41 @@ def light_boundary(histogram: dict[int, int], rule: Threshold) -> int:
     listing heads and scanning them."""
     best, best_cost, cost = 0, 0, 0
     for n in range(1, MOST_LIGHT + 1):
-        subsets = sum(math.comb(n, k) for k in {rule.required(n, m) for m in rule.partners(n)} if k <= n)
+        subsets = sum(math.comb(n, rule.required(n, m)) for m in rule.partners(n))
         cost += histogram.get(n, 0) * (subsets - LIST_COST * (rule.spare(n) + 1))
         if cost <= best_cost:
             best, best_cost = n, cost
     return best
 
 
-def _subsets(found: np.ndarray, rule: Threshold, boundary: int) -> np.ndarray:
+def _subsets(found: np.ndarray, rule: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's subsets, each with the two set sizes it links, and whether the set
+    is the smaller (-1), the larger (1) or of the same size (0)."""
     n = len(found)
-    if not 0 < n <= boundary:
-        return np.zeros(0, np.uint64)
-    out = []
-    for k in sorted({rule.required(n, m) for m in rule.partners(n) if m <= boundary}):
-        if k <= n:
-            out += [xxhash.xxh3_64_intdigest(np.append(found[list(c)], np.uint64(k)).tobytes()) for c in combinations(range(n), k)]
-    return np.array(out, np.uint64)
+    keys, sides = [], []
+    for m in rule.partners(n) if 0 < n <= boundary else ():
+        if m <= boundary:
+            sizes = np.array([min(n, m), max(n, m)], np.uint64)
+            chosen = combinations(range(n), rule.required(n, m))
+            keys += [xxhash.xxh3_64_intdigest(np.append(found[list(c)], sizes).tobytes()) for c in chosen]
+            sides += [(n > m) - (n < m)] * (len(keys) - len(sides))
+    return np.array(keys, np.uint64), np.array(sides, np.int8)
+
+
+def _light_sets(texts: DataFrame, rule: Threshold, boundary: int) -> DataFrame:
+    """``id``, ``key`` and ``side`` of every listed subset."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_subsets(s, rule, boundary) for s in shingle_sets(batch.column("text"), rule.words)]
+            lengths = [len(keys) for keys, _ in found]
+            owner = np.repeat(np.arange(len(found)), lengths)
+            keys, sides = (np.concatenate([none, *part]) for none, part in zip(
+                (np.zeros(0, np.uint64), np.zeros(0, np.int8)), ([f[c] for f in found] for c in (0, 1)), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(owner, pa.int64())), pa.array(_signed(keys)), pa.array(sides)], ["id", "key", "side"])
+
+    return texts.mapInArrow(rows, f"id {_kind(texts, 'id')}, key bigint, side tinyint")
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
@@ -345,14 +364,21 @@ def _possible(rule: Threshold, n_a: str, own_a: str, n_b: str, own_b: str) -> Co
 
 
 def _light_links(texts: DataFrame, sets: DataFrame, boundary: int, rule: Threshold) -> DataFrame:
-    """Light sets with a common subset of a size that links them."""
+    """Light sets with a common subset of a size that links them: those of one size with
+    the first of the other, and those of equal sizes with the first."""
     light = written(sets.where(F.col("n").between(1, boundary)), "light-sets")
-    subsets = _listed(
-        texts.join(small_side(light), "id").select("id", "text"), rule, lambda s: _subsets(s, rule, boundary),
-    ).select("id", F.explode("keys").alias("key"))
+    subsets = _light_sets(texts.join(small_side(light), "id").select("id", "text"), rule, boundary)
     firsts = written(
-        subsets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").drop("last"), "light-subsets")
-    return subsets.withColumnRenamed("id", "a").join(firsts, "key").where("a <> b").select("a", "b").distinct()
+        subsets.groupBy("key").agg(
+            F.min(F.when(F.col("side") <= 0, F.col("id"))).alias("small"), F.min(F.when(F.col("side") >= 0, F.col("id"))).alias("large"),
+            F.max("id").alias("last"))
+        .where("small <> large OR (small = large AND small <> last)").drop("last"),
+        "light-subsets")
+    return (
+        subsets.join(firsts, "key")
+        .select(F.col("id").alias("a"), F.when(F.col("side") > 0, F.col("small")).otherwise(F.col("large")).alias("b"))
+        .where("a <> b").distinct()
+    )
 
 
 def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Threshold) -> DataFrame:

@@ -47,6 +47,24 @@ def test_classes_match_brute_force(spark, rule):
     assert got == brute(rows, rule)
 
 
+@pytest.mark.parametrize("rule", [j.Threshold(4, 85, 100), j.Threshold()])
+@pytest.mark.parametrize("words", [9, 10, 11])
+def test_short_texts_that_differ_in_one_end_word(spark, rule, words):
+    rnd = random.Random(words)
+    rows = []
+    for k in range(20):
+        base = prose(rnd, words).split()
+        for at in (None, 0, -1):
+            text = list(base)
+            if at is not None:
+                text[at] = f"other{k}"
+            rows.append((len(rows), " ".join(text)))
+        # Longer by one and two words: sets of other sizes, some of which do link.
+        rows += [(len(rows), " ".join([*base, "more"])), (len(rows) + 1, " ".join([*base, "more", "still"]))]
+    got = sorted(map(tuple, j.classify(frame(spark, rows), rule).collect()), key=repr)
+    assert got == brute(rows, rule)
+
+
 def test_light_sets_take_part_up_to_the_boundary():
     rule = j.Threshold(4, 85, 100)
     assert j.light_boundary({}, rule) == j.MOST_LIGHT  # nothing to lose
