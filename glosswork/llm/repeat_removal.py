@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import text_of
@@ -36,9 +36,17 @@ def units(text: str) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that, with its id, name a document: null ids and repeated ids may stand
+    for several texts."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
 def explode_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``unit`` (place in the document), ``start``, ``end``, ``words``, ``digest``."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+    """``id``, ``doc`` (digest of the whole text), ``unit`` (place in the document),
+    ``start``, ``end``, ``words``, ``digest``."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("doc", text_digest(F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,36 +56,39 @@ def explode_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = units(text)
                 place += [(k, unit) for unit in range(len(found))]
                 flat += found
+            owner = pa.array([k for k, _ in place], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array([k for k, _ in place], pa.int64())),
+                [batch.column("id").take(owner), batch.column("doc").take(owner),
                  pa.array([unit for _, unit in place], pa.int32()),
                  *[pa.array([x[c] for x in flat], pa.int32()) for c in range(3)],
                  pa.array([x[3] for x in flat], pa.binary())],
-                ["id", "unit", "start", "end", "words", "digest"])
+                ["id", "doc", "unit", "start", "end", "words", "digest"])
 
-    return rows.mapInArrow(split, f"id {kind}, unit int, start int, end int, words int, digest binary")
+    return rows.mapInArrow(split, f"id {kind}, doc binary, unit int, start int, end int, words int, digest binary")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``id_col``, ``start``, ``end`` (code points), ``words`` and ``kept_in`` (ids whose
-    occurrence stays) of every stretch to remove.
-
-    Null and empty texts and texts without words have none. Rows without an id rank
-    behind all others, as one document. Rows that repeat an id are one document; its
-    repeated units are the same occurrence. Empty tables give no rows.
+    """``id_col``, ``start``, ``end`` (code points), ``words``, ``kept_in`` (ids whose
+    occurrence stays) and ``doc_digest`` (hexadecimal, see ``text_digest``) of every
+    stretch to remove.
+
+    Null and empty texts and texts without words have none. A document is an id with a
+    text: rows that repeat both are one, rows that repeat an id with another text are
+    several, as are the texts without an id, which rank behind all others. Empty tables
+    give no rows.
     """
     found = explode_units(docs, id_col, text_col)
     # The rank of an occurrence; combined in the tasks, so a unit that a third of all
     # rows hold is a few rows here.
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "unit")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "unit")
     firsts = written(
         found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-        .where("first <> last").select("digest", F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit")),
+        .where("first <> last").select("digest", F.col("first.id").alias("first_id"), F.col("first.doc").alias("first_doc"), F.col("first.unit").alias("first_unit")),
         "first-occurrences")
-    repeats = found.join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("unit") == F.col("first_unit"))))
+    repeats = found.join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("doc") == F.col("first_doc")) & (F.col("unit") == F.col("first_unit"))))
     kind = repeats.schema["id"].dataType.simpleString()
     # The units of one document: as bounded as the document.
-    by_document = repeats.groupBy("id").agg(
+    by_document = repeats.groupBy("id", "doc").agg(
         F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words", "first_id"))).alias("units"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +105,19 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         run = []
                     if unit is not None and not (run and unit["unit"] == run[-1]["unit"]):
                         run.append(unit)
-            ids = batch.column("id")
+            ids, docs_of = batch.column("id"), batch.column("doc").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(owner, pa.int64())), *[pa.array([x[c] for x in out], pa.int64()) for c in range(3)],
-                 pa.array([x[3] for x in out], pa.list_(ids.type))],
-                [id_col, "start", "end", "words", "kept_in"])
+                 pa.array([x[3] for x in out], pa.list_(ids.type)), pa.array([docs_of[k].hex() for k in owner], pa.string())],
+                [id_col, "start", "end", "words", "kept_in", "doc_digest"])
 
-    return by_document.mapInArrow(stretches, f"`{id_col}` {kind}, start bigint, end bigint, words bigint, kept_in array<{kind}>")
+    return by_document.mapInArrow(stretches, f"`{id_col}` {kind}, start bigint, end bigint, words bigint, kept_in array<{kind}>, doc_digest string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeats cut out of their texts. Null texts stay null."""
     spans = written(
-        find_repeats(docs, id_col, text_col, least_words).groupBy(F.col(id_col).alias("_id"))
+        find_repeats(docs, id_col, text_col, least_words).groupBy(F.col(f"`{id_col}`").alias("_id"), F.unhex("doc_digest").alias("_doc"))
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")),
         "repeats")
     # Pieces between the cuts, by original offsets.
@@ -114,6 +125,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cuts", lambda c: c["end"]))
     text = F.col(f"`{text_col}`")
     pieces = F.zip_with(begins, ends, lambda b, e: F.substring(text, (b + 1).cast("int"), F.greatest(e - b, F.lit(0)).cast("int")))
-    cut = docs.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left").withColumn(
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (text_digest(text.cast("string")) == F.col("_doc"))
+    cut = docs.join(spans, same, "left").withColumn(
         text_col, F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(pieces, "")))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])

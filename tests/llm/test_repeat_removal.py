@@ -49,3 +49,16 @@ def test_ids_that_are_null_or_repeated(spark):
     assert [(x.doc_id, x.start, x.end, x.kept_in) for x in got] == [(None, 0, len(text), [1])]
     assert r.remove_repeats(frame(spark, rows)).count() == 4
     assert r.find_repeats(frame(spark, rows).where("false")).count() == 0
+
+
+def test_texts_that_share_an_id_are_cut_on_their_own(spark):
+    rnd = random.Random(3)
+    text, *others = (prose(rnd, 40) + "." for _ in range(5))
+    rows = [(1, text), (None, text), (None, others[0]), (7, others[1]), (7, text), (8, others[2]), (8, others[3])]
+    got = r.find_repeats(frame(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.start, x.end, x.kept_in) for x in got), key=repr) == [(7, 0, len(text), [1]), (None, 0, len(text), [1])]
+    left = sorted(((x.doc_id, x.text) for x in r.remove_repeats(frame(spark, rows)).collect()), key=repr)
+    assert left == sorted(((d, "" if t == text and d != 1 else t) for d, t in rows), key=repr)
+    # A repeat between texts without an id.
+    rows = [(None, others[0] + "\n" + text), (None, text + "\n" + others[1])]
+    assert len(r.find_repeats(frame(spark, rows)).collect()) == 1
