@@ -23,7 +23,14 @@ _DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.
 _IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-PATTERN = "|".join((_EMAIL, _DATE, _SSN, _PHONE, _IPV4, _CARD))
+# Groupings that cards are printed in; they may stand beside other numbers. The second
+# has a longer card at places where the first has one.
+_PRINTED = tuple(
+    r"(?<![0-9A-Za-z.-])(?=(" + form + r")(?![0-9A-Za-z]))" for form in (
+        r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5}",
+        r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{3}"))
+_OTHERS = "|".join((_EMAIL, _DATE, _SSN, _PHONE, _IPV4))
+PATTERN = f"{_OTHERS}|{_CARD}"
 KINDS = ("email", "date", "ssn", "phone", "ipv4", "card")
 
 
@@ -205,6 +212,25 @@ def _formed(value: Column, digits: Column) -> Column:
     return let(digits, lambda new: F.array_join(F.transform(F.split(value, ""), lambda c, i: char(new, c, i)), ""))
 
 
+def _valid_card(value: Column) -> Column:
+    return _luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0
+
+
+def pattern_of(text: Column) -> Column:
+    """PATTERN with the text's own valid cards in place of all that looks like one, so an
+    invalid or longer run of numbers does not take its neighbours along. Printed
+    groupings go before a longest run that contains them."""
+    first, second = (F.filter(F.regexp_extract_all(text, F.lit(form), F.lit(1)), _valid_card) for form in _PRINTED)
+    runs = F.filter(F.regexp_extract_all(text, F.lit(_CARD), F.lit(0)), _valid_card)
+
+    def joined(printed: Column) -> Column:
+        others = F.filter(runs, lambda r: ~F.exists(printed, lambda c: F.contains(r, c)))
+        return let(F.array_distinct(F.concat(printed, others)), lambda cards: F.when(F.size(cards) == 0, _OTHERS).otherwise(
+            F.concat(F.lit(_OTHERS + r"|(?<![0-9A-Za-z.-])(?:"), F.array_join(cards, "|"), F.lit(r")(?![0-9A-Za-z])"))))
+
+    return let(F.concat(first, second), joined)
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match, or null where it fails validation."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -239,7 +265,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     text (code points).
 
     Null texts stay null and have no values; invalid numbers and dates stay as they
-    are. ``back`` undoes it, with the same key. ``only_found`` leaves out rows without
+    are. ``back`` undoes it, with the same key; only a valid run of numbers in no printed
+    grouping of cards may by chance hold or touch a valid one afterwards and be misread. ``only_found`` leaves out rows without
     any value; most texts have none, and one look for the pattern settles that.
     """
     text = F.col(f"`{text_col}`")
@@ -250,11 +277,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     hit = F.rlike(F.coalesce(text, F.lit("")), pattern)
     if only_found:
         docs = docs.where(hit)
-    parts = docs.select(
-        *others, text.alias(text_col), hit.alias("_hit"),
-        F.when(hit, F.split(text, PATTERN, -1)).otherwise(none).alias("_pieces"),
-        F.when(hit, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none).alias("_values"),
-    )
+    # The text's own pattern, written out once a row.
+    found = F.when(hit, let(pattern_of(text), lambda own: F.struct(
+        F.split(text, own, -1).alias("pieces"), F.regexp_extract_all(text, own, F.lit(0)).alias("values"))))
+    parts = docs.select(*others, text.alias(text_col), hit.alias("_hit"), found.alias("_found")).select(
+        *others, text.alias(text_col), "_hit",
+        F.coalesce("_found.pieces", none).alias("_pieces"), F.coalesce("_found.values", none).alias("_values"))
     # Kind first, then pseudonym: each is computed once a value.
     parts = parts.withColumn("_values", F.transform("_values", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))))
     if only_found:

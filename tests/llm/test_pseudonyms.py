@@ -57,3 +57,18 @@ def test_awkward_rows(spark):
     assert sorted((r.text or "" for r in out.collect())) == sorted(t or "" for _, t in awkward())
     assert out.where("doc_id = 1").first().text is None
     assert p.pseudonymise(docs.where("false"), "key").count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"]
+    texts = [(f"{card} {more}", ["card", *kinds]) for card in cards for more, kinds in (
+        ("12/27", []), ("123", []), ("2 items", []), ("190.137.223.204", ["ipv4"]), ("555-123-4567", ["phone"]), ("5500005555555559", ["card"]))]
+    texts += [("order 12 4111111111111111", ["card"]), ("4111111111111112 190.137.223.204", ["ipv4"]), ("4111111111111112 123", [])]
+    docs = frame(spark, list(enumerate(t for t, _ in texts)))
+    out = p.pseudonymise(docs, "key")
+    rows = {r.doc_id: r for r in out.collect()}
+    for k, (text, kinds) in enumerate(texts):
+        assert [v.kind for v in rows[k].pii] == kinds, text
+        assert not any(card in rows[k].text for card in cards)
+    back = p.pseudonymise(out, "key", back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == {k: t for k, (t, _) in enumerate(texts)}
