@@ -98,7 +98,7 @@ def op4_packing(spark, sf):
 
 @query
 def op7_repeat_removal(spark, sf):
-    return repeat_removal.find_repeats(table(spark, sf, "documents"))
+    return repeat_removal.find_repeats(table(spark, sf, "documents"), whole_lines=True)
 
 
 # A real run gets its key from a secret store.

@@ -62,3 +62,15 @@ def test_texts_that_share_an_id_are_cut_on_their_own(spark):
     # A repeat between texts without an id.
     rows = [(None, others[0] + "\n" + text), (None, text + "\n" + others[1])]
     assert len(r.find_repeats(frame(spark, rows)).collect()) == 1
+
+
+def test_short_whole_lines(spark):
+    rnd = random.Random(4)
+    line, unique = "All rights reserved. See LICENSE.", [prose(rnd, 12) for _ in range(6)]
+    rows = [(1, f"{unique[0]}. {line} {unique[1]}"),  # inside a line: neither kept as one nor removed
+            (2, f"{unique[2]}\n{line}\n{line.upper()}"), (3, f"{line}\n{unique[3]}"), (4, f"{unique[4]}\n{line} {unique[5]}"), (5, line)]
+    got = sorted((x.doc_id, dict(rows)[x.doc_id][x.start: x.end].strip().lower(), x.words, x.kept_in)
+                 for x in r.find_repeats(frame(spark, rows), whole_lines=True).collect())
+    assert got == [(d, line.lower(), 5, [2]) for d in (2, 3, 5)]
+    left = {x.doc_id: x.text for x in r.remove_repeats(frame(spark, rows), whole_lines=True).collect()}
+    assert left == dict(rows) | {2: f"{unique[2]}\n{line}\n", 3: f"\n{unique[3]}", 5: ""}
