@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The largest side that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +24,9 @@ def text_of(column: str = "text") -> Column:
 
 
 def small_side(frame: DataFrame) -> DataFrame:
-    """A written table as a join side: broadcast up to BROADCAST_ROWS rows of plain
-    numbers (some tens of MB), shuffled beyond."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    """A written table as a join side: broadcast up to BROADCAST_ROWS rows that hold
+    BROADCAST_BYTES at most, shuffled beyond."""
+    width = lambda f: F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(1)) if isinstance(
+        f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+    n, size = frame.agg(F.count(F.lit(1)), F.sum(reduce(add, map(width, frame.schema)))).first()
+    return F.broadcast(frame) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else frame

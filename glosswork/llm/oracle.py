@@ -40,3 +40,73 @@ WITH RECURSIVE
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = s.doc_id
 """
+
+# CRC-32, bytewise by a table of 256 entries that the rule makes.
+CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(i)))"""
+
+
+def _crc(codes: str) -> str:
+    """SQL for the checksum of a list of byte values; ``t`` is the table."""
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), {step}))"
+
+
+def _ascii(text: str) -> str:
+    return f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+  d AS (SELECT *, CASE WHEN {_crc(_ascii("CAST(doc_id AS VARCHAR)"))} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut
+        FROM documents, crc_table),
+  h AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+          || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+          || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text, cut FROM d),
+  l AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+          row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+          sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+          sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS suspect FROM h),
+  nodes AS (SELECT s, 0 AS level, pos, leaf AS node, n FROM l
+            UNION ALL SELECT s, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+            FROM nodes WHERE n > 1 GROUP BY s, level, pos // 3, n),
+  subroots AS (SELECT s, node FROM nodes WHERE n = 1),
+  tops AS (SELECT 0 AS level, s AS pos, node, count(*) OVER () AS n FROM subroots
+           UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+           FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+  steps AS (SELECT l.s, l.pos, m.level, coalesce(string_agg(node, '' ORDER BY m.pos) FILTER (m.pos < l.pos // CAST(3 ** m.level AS BIGINT)), '') AS before,
+              coalesce(string_agg(node, '' ORDER BY m.pos) FILTER (m.pos > l.pos // CAST(3 ** m.level AS BIGINT)), '') AS after
+            FROM l JOIN nodes m ON m.s = l.s AND m.n > 1 AND m.pos // 3 = l.pos // CAST(3 ** (m.level + 1) AS BIGINT)
+            GROUP BY l.s, l.pos, m.level
+            UNION ALL
+            SELECT l.s, l.pos, 100 + m.level, coalesce(string_agg(node, '' ORDER BY m.pos) FILTER (m.pos < l.s // CAST(3 ** m.level AS BIGINT)), ''),
+              coalesce(string_agg(node, '' ORDER BY m.pos) FILTER (m.pos > l.s // CAST(3 ** m.level AS BIGINT)), '')
+            FROM l JOIN tops m ON m.n > 1 AND m.pos // 3 = l.s // CAST(3 ** (m.level + 1) AS BIGINT)
+            GROUP BY l.s, l.pos, m.level),
+  proofs AS MATERIALIZED (SELECT s, pos, list({{'a': before, 'z': after}} ORDER BY level) AS proof,
+                          sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY s, pos),
+  folded AS (SELECT s, pos, 0 AS k, suspect AS node, coalesce(proof, []) AS proof FROM l LEFT JOIN proofs USING (s, pos)
+             UNION ALL SELECT s, pos, k + 1, sha256(proof[k + 1].a || node || proof[k + 1].z), proof FROM folded WHERE k < len(proof))
+SELECT l.doc_id, l.leaf, u.node AS subroot, r.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.node AS folded_root, f.node = r.node AS verified
+FROM l JOIN subroots u USING (s) LEFT JOIN proofs p USING (s, pos)
+JOIN folded f ON f.s = l.s AND f.pos = l.pos AND f.k = len(f.proof)
+CROSS JOIN (SELECT node FROM tops WHERE n = 1) r
+"""
+
+# Bytes of a text: pairs of digits of its hexadecimal form.
+_BYTES = "list_transform(range(1, strlen(b) + 1), lambda i: (instr('0123456789ABCDEF', substr(x, 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i, 1)) - 1)"
+ORACLE["op12_stratified_shards"] = f"""
+WITH {CRC_TABLE},
+  d AS (SELECT doc_id, source, coalesce(text, '') AS b, hex(coalesce(text, '')) AS x, md5('shards:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS shuffled FROM documents),
+  c AS (SELECT doc_id, source, shuffled, CAST(strlen(b) + 8 AS BIGINT) AS size, {_crc(_BYTES)} AS text_crc32 FROM d, crc_table),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id NULLS FIRST, text_crc32, size) - 1 AS DOUBLE) AS place,
+          CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS of FROM c),
+  g AS (SELECT *, row_number() OVER (ORDER BY (place + CAST(0.5 AS DOUBLE)) / of, source NULLS FIRST, shuffled, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos,
+          count(*) OVER () AS total FROM r),
+  p AS (SELECT *, pos * 24 // total AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""

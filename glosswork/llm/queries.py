@@ -13,11 +13,13 @@ from glosswork.llm import (
     decontaminate,
     exact_dedup,
     jaccard_join,
+    merkle,
     packing,
     pseudonyms,
     quality,
     repeat_removal,
     secret_scan,
+    sharding,
 )
 from glosswork.llm.common import table
 from glosswork.session import configure, scratch_path
@@ -115,3 +117,27 @@ def op6_pseudonyms(spark, sf):
         F.transform("pii", lambda p: p["pseudonym"]).alias("pseudonyms"),
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
     )
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lines_gone = F.when(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")),
+    ).otherwise(F.col("text"))
+    made = merkle.manifest(
+        table(spark, sf, "documents").select(*columns), columns,
+        also={"suspect": merkle.leaf([*map(F.col, columns[:-1]), lines_gone])})
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+        merkle.fold(F.col("suspect"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_stratified_shards(spark, sf):
+    placed = sharding.interleave(table(spark, sf, "documents").select("doc_id", "source", "text"), 24, "shards")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
