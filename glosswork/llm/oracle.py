@@ -110,3 +110,60 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM p
 """
+
+
+def _edit(way: str, price: str, letter: str) -> str:
+    """SQL for a way (six digits of cost, then the audit) with one more edit."""
+    return f"lpad(CAST(CAST(left({way}, 6) AS INTEGER) + {price} AS VARCHAR), 6, '0') || substr({way}, 7) || '{letter}'"
+
+
+def _best(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+_FREE = _best("w.b", "w.s", "w.a")  # whoever the user may follow
+# Ways by the state of the grammar, row by row: b nothing said, s system, u user, a assistant.
+ORACLE["op13_repair"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+  k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+  l AS (SELECT *, {_crc(_ascii("name"))} % 20 AS lot FROM k, crc_table),
+  m AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+          CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy FROM l WHERE lot <> 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, left(role, 1) AS i,
+          rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM m),
+  f AS MATERIALIZED (SELECT conv_id, turn, role, text, pos, i,
+          CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+          lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM n),
+  g AS MATERIALIZED (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
+  walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, '000000' AS b, CAST(NULL AS VARCHAR) AS s, '000002I' AS u, '000004II' AS a
+           FROM (SELECT DISTINCT conv_id FROM f)
+           UNION ALL
+           SELECT conv_id, pos, b, s, u1, {_best("a0", _edit("u1", "2", "I"))} FROM (
+             SELECT *, {_best("u0", _edit("a0", "2", "I"), _edit("b", "2", "I"), _edit("s", "2", "I"))} AS u1 FROM (
+               SELECT w.conv_id, g.pos, {_edit("w.b", "3", "D")} AS b,
+                 {_best(_edit("w.s", "3", "D"), f"CASE WHEN NOT gone AND i = 's' THEN {_edit('w.b', 'cut', 'K')} END")} AS s,
+                 {_best(_edit("w.u", "3", "D"), f"CASE WHEN NOT gone AND i = 'u' THEN {_edit(_FREE, 'cut', 'K')} END",
+                        f"CASE WHEN NOT gone THEN {_edit(_FREE, '2 + cut', 'R')} END")} AS u0,
+                 {_best(_edit("w.a", "3", "D"), f"CASE WHEN NOT gone AND i = 'a' THEN {_edit('w.u', 'cut', 'K')} END",
+                        f"CASE WHEN NOT gone THEN {_edit('w.u', '2 + cut', 'R')} END")} AS a0
+               FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.pos = w.pos + 1))),
+  won AS MATERIALIZED (SELECT conv_id, least(b, a) AS way FROM walk
+          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+  e AS (SELECT conv_id, substr(way, 7) AS audit, unnest(range(1, length(way) - 5)) AS k, length(replace(substr(way, 7), 'D', '')) % 2 AS odd FROM won),
+  o AS (SELECT conv_id, k, substr(audit, k, 1) AS edit, odd, length(replace(left(audit, k), 'I', '')) AS pos,
+          length(replace(left(audit, k), 'D', '')) - 1 - odd AS said FROM e),
+  t AS (SELECT o.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN said % 2 = 0 THEN 'user' ELSE 'assistant' END
+            || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha
+        FROM o JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.pos = greatest(o.pos, 1) WHERE edit <> 'D' GROUP BY o.conv_id),
+  c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+          count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+          count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+  q AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(CAST(left(way, 6) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(way, 7), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM q LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM q.conv_id
+  LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM q.conv_id
+"""

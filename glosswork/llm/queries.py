@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glosswork.llm import (
     bpe,
     chat_format,
+    conversation_repair,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -141,3 +142,9 @@ def op12_stratified_shards(spark, sf):
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op13_repair(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversation_repair.damaged(turns), every=turns)
