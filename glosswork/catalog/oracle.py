@@ -350,6 +350,12 @@ _QUERIES = {
         END AS raw_md5,
         CASE WHEN effective_model = 'Model-Y' THEN '{_BROKEN}' END AS error
       FROM batched GROUP BY 1, 2, 3""",
+    "call_ledger": f"""SELECT shard, batch_no, effective_model,
+        CASE WHEN effective_model = 'Model-Y' THEN NULL ELSE md5('{{"translations":[' || string_agg(
+          '{{"id":"' || job_id || '","text":' || CAST(to_json({_OFFLINE}) AS VARCHAR) || '}}', ',' ORDER BY ord) || ']}}')
+        END AS raw_md5,
+        CASE WHEN effective_model = 'Model-Y' THEN 'batch translation failed: not recorded' END AS error
+      FROM batched GROUP BY 1, 2, 3""",
     "reply_audit": """SELECT shard, batch_no, effective_model, defect, detail,
         (SELECT count(*) FROM kept k WHERE k.b = a.b) AS n_usable FROM audited a""",
     "single_reply_audit": f"""SELECT doc_id, CASE WHEN defect IS NULL THEN md5({_strip('t')}) END AS translation_md5, defect

@@ -16,6 +16,7 @@ from glosswork.options import RunOptions
 from glosswork.plans.corpus import translate_corpus
 from glosswork.session import configure, scratch_path
 from glosswork.sources import files, memory, requests
+from glosswork.sources.ledger import CallLedger
 from glosswork.streaming import calls as streaming_calls
 from glosswork.streaming import progress as streaming_progress
 
@@ -142,6 +143,20 @@ def batch_infer(spark, sf):
     return answered.select(*batching.BATCH_KEY, F.md5("raw").alias("raw_md5"), "error")
 
 
+@query
+def call_ledger(spark, sf):
+    """A run that fails for one model, then one that may not call at all: recorded replies stay."""
+    batches, ledger = fx.batches(spark, sf), CallLedger(scratch_path(spark, "call-ledger"))
+    first = infer(batches, OfflineTranslator(broken_models=["Model-Y"]), timeout_s=240, ledger=ledger)
+    first.write.format("noop").mode("overwrite").save()
+    again = infer(batches, _no_calls, timeout_s=240, ledger=ledger)
+    return again.select(*batching.BATCH_KEY, F.md5("raw").alias("raw_md5"), "error")
+
+
+def _no_calls(payload, model):
+    raise RuntimeError("not recorded")
+
+
 @query
 def reply_audit(spark, sf):
     return replies.audit_replies(fx.replies(spark, sf)).select(

@@ -5,13 +5,15 @@ gets the JSON job list (direct transport: the text) and the model name (None for
 the backend's default) and raises to fail the batch. Its instructions to the model
 are its own; what it has to return is ``{"translations": [{"id": …, "text": …}]}``
 with one entry per job, or ``{"translation": …}`` for the direct transport. Spark
-may repeat a call after losing a task, so a translator must tolerate that; the
-caller writes replies once and reads them back from there.
+repeats a task that it loses; with a ``CallLedger`` the task makes only those calls again
+that were not recorded. The caller writes replies once and reads them back from there.
 """
 
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.operators.batching import BATCH_KEY
+from glosswork.sources.ledger import CallLedger
 
 TASKS_PER_CORE = 4
 
@@ -47,13 +50,45 @@ class OfflineTranslator:
         return json.dumps({"translations": rows}, ensure_ascii=False, separators=(",", ":"))
 
 
-def infer(batches: DataFrame, translator: Translator, parallelism: int | None = None) -> DataFrame:
+def call_within(translator: Translator, payload: str, model: str | None, timeout_s: float | None) -> str:
+    """The reply, or TimeoutError after ``timeout_s`` seconds.
+
+    The call runs in a thread of its own, which is left behind if it is late: Python
+    cannot end a thread. It cannot hold up the task or its worker's end; a translator
+    that starts programs or opens connections should bound those itself as well.
+    """
+    if timeout_s is None:
+        return translator(payload, model)
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            answer.put((translator(payload, model), None))
+        except BaseException as problem:  # handed to the caller, whatever it is
+            answer.put((None, problem))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        raw, problem = answer.get(timeout=timeout_s)
+    except queue.Empty:
+        raise TimeoutError(f"timed out after {timeout_s:g} s") from None
+    if problem is not None:
+        raise problem
+    return raw
+
+
+def infer(batches: DataFrame, translator: Translator, parallelism: int | None = None,
+          timeout_s: float | None = None, ledger: CallLedger | None = None) -> DataFrame:
     """One backend call per row; adds ``raw`` (reply) or ``error``.
 
     The calls are always dealt out over ``parallelism`` tasks, which bounds how many
     run at once: payloads are small, so the tasks of their own shuffle would be
     merged into a few that make all calls one after the other. Without it there are
     TASKS_PER_CORE tasks for each core, so that a lost task repeats few calls.
+
+    A call that raises or takes longer than ``timeout_s`` fails its batch and nothing
+    else. With a ``ledger`` each reply is recorded as soon as it is there, and a call
+    whose reply is recorded is not made.
     """
     tasks = parallelism or TASKS_PER_CORE * batches.sparkSession.sparkContext.defaultParallelism
     batches = batches.repartition(tasks, F.xxhash64("job_ids"))
@@ -64,13 +99,21 @@ def infer(batches: DataFrame, translator: Translator, parallelism: int | None =
     )
     kept = [f.name for f in schema][:-2]
 
+    def reply(payload: str, model: str | None) -> str:
+        known = ledger.get(payload, model) if ledger else None
+        if known is None:
+            known = call_within(translator, payload, model, timeout_s)
+            if ledger:
+                ledger.put(payload, model, known)
+        return known
+
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             raws: list[str | None] = []
             errors: list[str | None] = []
             for payload, model in zip(frame["payload"], frame["effective_model"]):
                 try:
-                    raws.append(translator(payload, model if isinstance(model, str) else None))
+                    raws.append(reply(payload, model if isinstance(model, str) else None))
                     errors.append(None)
                 except Exception as problem:  # one bad call fails its batch, not the job
                     raws.append(None)

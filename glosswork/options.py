@@ -26,7 +26,8 @@ class RunOptions:
     ``workers`` is the number of FIFO queues (shards). The service default is
     one; numbering is distributed inside a shard, so one is safe at any size,
     but more shards mean smaller sorts. ``parallelism`` bounds how many backend
-    calls are in flight; ``None`` leaves it to Spark.
+    calls are in flight; ``None`` leaves it to Spark. ``ledger`` is a shared folder in
+    which replies are recorded as they come (``glosswork.sources.ledger``).
     """
 
     mode: str = "dual"
@@ -43,6 +44,7 @@ class RunOptions:
     workers: int = 1
     parallelism: int | None = None
     ignore_cache: bool = False
+    ledger: str | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:

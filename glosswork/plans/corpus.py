@@ -17,6 +17,7 @@ from glosswork.operators.segments import gate, on_pages, segment
 from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
 from glosswork.session import configure, written
 from glosswork.sources.files import spread
+from glosswork.sources.ledger import ledger_of
 from glosswork.sources.memory import lookup_keys, memory_upsert
 from glosswork.sources.requests import effective_model
 
@@ -150,8 +151,8 @@ def _audited_calls(jobs: DataFrame, translator: Translator, options: RunOptions)
             "shard", F.lit(None).cast("bigint").alias("batch_no"), "effective_model",
             F.array("job_id").alias("job_ids"), F.col("text").alias("payload"),
         )
-        return audit_direct(infer(calls, translator, options.parallelism))
+        return audit_direct(infer(calls, translator, options.parallelism, options.timeout_s, ledger_of(options)))
     messages = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
     queued = jobs.select("job_id", "shard", "doc_id", "pos", "effective_model", messages.alias("messages"))
     batches = build_payload(batch_by_count(queued, options.batch_limit))
-    return audit_replies(infer(batches, translator, options.parallelism))
+    return audit_replies(infer(batches, translator, options.parallelism, options.timeout_s, ledger_of(options)))

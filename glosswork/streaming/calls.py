@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from glosswork.operators.inference import Translator, infer
 from glosswork.operators.replies import audit_replies
 from glosswork.options import RunOptions
+from glosswork.sources.ledger import ledger_of
 from glosswork.sources.requests import route_model, triage_requests
 
 _JOB = "job_id string, effective_model string, messages string"
@@ -138,9 +139,9 @@ def request_jobs(requests: DataFrame, options: RunOptions) -> DataFrame:
 def translate_stream(requests: DataFrame, translator: Translator, options: RunOptions | None = None) -> DataFrame:
     """Audited backend calls for a stream of requests.
 
-    The sink records a trigger's output once. Spark may call the backend again
-    if it has to repeat a trigger.
+    The sink records a trigger's output once. If Spark has to repeat a trigger, it calls
+    the backend again, but for what ``options.ledger`` has recorded.
     """
     options = options or RunOptions()
     calls = pack_calls(request_jobs(requests, options), options.batch_limit, options.window_ms)
-    return audit_replies(infer(calls, translator, options.parallelism))
+    return audit_replies(infer(calls, translator, options.parallelism, options.timeout_s, ledger_of(options)))
