@@ -118,14 +118,19 @@ _RELATIONS = {
       SELECT conv_id AS req_id, {fx.REQUEST_BODY} AS body, text FROM (
         SELECT doc_id AS conv_id, text,
                '[{{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}}]' AS messages FROM documents)""",
-    # Which defect a document's request carries is known from its number.
-    "document_triage": f"""
-      SELECT req_id, text, CASE req_id % 12 WHEN 0 THEN 'size' WHEN 1 THEN 'json' WHEN 2 THEN 'object'
-          WHEN 3 THEN 'messages' WHEN 4 THEN 'messages' WHEN 5 THEN 'element' WHEN 9 THEN 'messages'
-          WHEN 10 THEN 'json' END AS reject,
-        CASE req_id % 12 WHEN 6 THEN 'codex-cli' WHEN 7 THEN 'codex-cli' WHEN 8 THEN '12' WHEN 11 THEN ' model-x ' END AS requested_model,
-        CASE WHEN req_id % 12 IN (6, 7, 8, 11) THEN CAST(json_extract(body, '$.messages') AS VARCHAR) END AS messages
-      FROM document_requests""",
+    # The same rules for the documents' requests, from their bodies.
+    "document_triage": """
+      SELECT req_id, text, reject,
+        CASE WHEN reject IS NULL THEN CASE WHEN json_type(body, '$.model') IS NULL OR json_extract_string(body, '$.model') = ''
+          THEN 'codex-cli' ELSE json_extract_string(body, '$.model') END END AS requested_model,
+        CASE WHEN reject IS NULL THEN CAST(json_extract(body, '$.messages') AS VARCHAR) END AS messages
+      FROM (SELECT *, CASE
+          WHEN octet_length(encode(body)) NOT BETWEEN 1 AND 4194304 THEN 'size'
+          WHEN NOT json_valid(body) THEN 'json' WHEN json_type(body) <> 'OBJECT' THEN 'object'
+          WHEN coalesce(json_type(body, '$.messages') <> 'ARRAY', true) THEN 'messages'
+          WHEN json_array_length(body, '$.messages') = 0 THEN 'messages'
+          WHEN len(list_filter(json_extract(body, '$.messages[*]'), lambda m: json_type(m) <> 'OBJECT')) > 0
+            THEN 'element' END AS reject FROM document_requests)""",
     "document_jobs": f"""
       SELECT *, (rn - 1) // {fx.MAX_BATCH} AS batch_no FROM (
         SELECT CAST(req_id AS VARCHAR) AS job_id, CAST(req_id % {fx.WORKERS} AS INTEGER) AS shard, req_id, text, messages,
@@ -463,6 +468,12 @@ _QUERIES = {
     "stream_microbatch": """SELECT shard, batch_no, effective_model, count(*) AS n_jobs,
         md5('[' || string_agg('{"id":"' || job_id || '","messages":' || messages || '}', ',' ORDER BY req_id) || ']') AS payload_md5
       FROM document_jobs GROUP BY 1, 2, 3""",
+    "stream_hot_shard": f"""SELECT 0 AS shard, batch_no, effective_model, count(*) AS n_jobs,
+        md5('[' || string_agg('{{"id":"' || job_id || '","messages":' || messages || '}}', ',' ORDER BY req_id) || ']') AS payload_md5
+      FROM (SELECT * REPLACE ((row_number() OVER (ORDER BY req_id) - 1) // {fx.MAX_BATCH} AS batch_no) FROM document_jobs) GROUP BY 2, 3""",
+    "stream_replay": f"""SELECT job_id, CASE WHEN coalesce(effective_model, '') <> '12' THEN md5({_strip(_OFFLINE)}) END AS result_md5,
+        CASE WHEN effective_model = '12' THEN 'batch translation failed: model 12 is not available' END AS error
+      FROM document_jobs""",
     "stream_translate": f"""SELECT job_id, CASE WHEN coalesce(effective_model, '') <> '12' THEN md5({_strip(_OFFLINE)}) END AS result_md5,
         CASE WHEN effective_model = '12' THEN 'batch translation failed: model 12 is not available' END AS error
       FROM document_jobs""",

@@ -18,6 +18,7 @@ from glosswork.session import configure, scratch_path
 from glosswork.sources import files, memory, requests
 from glosswork.sources.ledger import CallLedger
 from glosswork.streaming import calls as streaming_calls
+from glosswork.streaming import microbatch
 from glosswork.streaming import progress as streaming_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,6 +399,45 @@ def stream_translate(spark, sf):
     )
 
 
+@query
+def stream_hot_shard(spark, sf):
+    """All jobs in one queue."""
+    options = RunOptions(workers=1, max_batch=fx.MAX_BATCH)
+    own, path = _stream_session(spark), scratch_path(spark, "stream_hot_shard")
+    jobs = streaming_calls.request_jobs(fx.document_requests(fx.table_stream(own, sf, "documents")), options)
+    batcher = microbatch.MicroBatcher(own, f"{path}/steps", options.max_batch, options.window_ms)
+    running = jobs.writeStream.foreachBatch(batcher).option("checkpointLocation", f"{path}/checkpoint")
+    microbatch.attend(running.trigger(availableNow=True).start(), batcher)
+    return batcher.calls().select(
+        *batching.BATCH_KEY, F.size("job_ids").cast("bigint").alias("n_jobs"), F.md5("payload").alias("payload_md5")
+    )
+
+
+@query
+def stream_replay(spark, sf):
+    """Every trigger comes three times, the last time to a backend that knows nothing."""
+    own, path = _stream_session(spark), scratch_path(spark, "stream_replay")
+    options = RunOptions(workers=fx.WORKERS, ledger=f"{path}/ledger")
+    requests_path = f"{path}/requests"
+    fx.document_requests(fx.table(spark, sf, "documents")).repartition(3, "req_id").write.parquet(requests_path)
+    live = own.readStream.schema("req_id bigint, body string").option("maxFilesPerTrigger", 1).parquet(requests_path)
+
+    def batcher(translator):
+        answer = microbatch.translator_of(translator, options)
+        return microbatch.MicroBatcher(own, f"{path}/steps", options.max_batch, options.window_ms, answer)
+
+    first = batcher(OfflineTranslator(broken_models=["12"]))
+
+    def thrice(jobs, batch_id):
+        first(jobs, batch_id)
+        first(jobs, batch_id)
+        batcher(_no_calls)(jobs, batch_id)
+
+    running = streaming_calls.request_jobs(live, options).writeStream.foreachBatch(thrice)
+    microbatch.attend(running.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(), first)
+    return replies.job_answers(first.replies()).select("job_id", F.md5("result").alias("result_md5"), "error")
+
+
 @query
 def stream_outcome(spark, sf):
     own = _stream_session(spark)

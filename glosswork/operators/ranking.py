@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from glosswork.session import written
 
 
-def fifo_number(df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+def fifo_number(df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "rn",
+                keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``row_number() over (partition by part order by order)`` without sorting a
     whole partition in one task.
 
@@ -20,11 +21,12 @@ def fifo_number(df: DataFrame, part: Sequence[str], order: Sequence[str], name:
     number of their range. A row's number is its place within its range plus the rows
     of its partition in the ranges before; the largest sort is one range, or the list
     of a partition's ranges. Columns may be of any type that sorts. ``order`` has to be
-    unique within a partition; no column of either may be NULL.
+    unique within a partition; no column of either may be NULL. ``keep`` writes a table
+    and reads it back.
     """
     part, order = list(part), list(order)
     keys = [*part, *order]
-    ranges = written(
+    ranges = keep(
         df.select(*keys).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "fifo-ranges")
     earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = ranges.groupBy(*part, "_range").agg(F.count("*").alias("_n")).select(
