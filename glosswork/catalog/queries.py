@@ -419,7 +419,7 @@ def stream_replay(spark, sf):
     own, path = _stream_session(spark), scratch_path(spark, "stream_replay")
     options = RunOptions(workers=fx.WORKERS, ledger=f"{path}/ledger")
     requests_path = f"{path}/requests"
-    fx.document_requests(fx.table(spark, sf, "documents")).repartition(3, "req_id").write.parquet(requests_path)
+    fx.document_requests(fx.table(spark, sf, "documents")).repartition(2, "req_id").write.parquet(requests_path)
     live = own.readStream.schema("req_id bigint, body string").option("maxFilesPerTrigger", 1).parquet(requests_path)
 
     def batcher(translator):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from glosswork import RunOptions
 from glosswork.catalog.queries import QUERIES
+from glosswork.operators.events import job_outcome
 from glosswork.operators.inference import OfflineTranslator
 from glosswork.operators.replies import job_answers
 from glosswork.streaming.calls import request_jobs, pack_calls, translate_stream, triage_stream
@@ -117,6 +118,20 @@ def test_a_busy_job_is_folded_as_it_comes(spark, tmp_path):
     assert [(r.outcome, r.error, r.n_progress, r.last_label) for r in recorded(spark, ended, tmp_path).collect()] == [want]
 
 
+def test_small_blocks_give_the_outcomes_of_the_batch_form(spark, tmp_path):
+    """Ends in the middle of blocks and before others, blocks that two triggers share."""
+    body = lambda j, n: ('{"type":"error","error":"e%d"}' % n if n % (7 + j) == 5 and n > 10 * j else
+                         '{"type":"progress","stage":"s","progress":%d}' % (n % 50 + 2) if n % 3 else "junk")
+    data = [(j, n, body(j, n)) for n in range(120) for j in range(6)] + [(9, 1, "{}")]
+    put(spark, tmp_path / "in", [r for r in reversed(data) if r[1] < 37], EVENTS)
+    time.sleep(1.1)
+    put(spark, tmp_path / "in", [r for r in reversed(data) if r[1] >= 37], EVENTS)
+    ended = outcome_stream(source(spark, tmp_path / "in", EVENTS), block=8)
+    start(ended, tmp_path, availableNow=True).awaitTermination()
+    want = job_outcome(spark.createDataFrame(data, EVENTS)).where("outcome <> 'no_result'")
+    assert sorted(map(tuple, recorded(spark, ended, tmp_path).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_status_streams(spark, tmp_path):
     schema = "effective_model string, job_ids array<string>, answered boolean, defect string, at timestamp"
     rows = [(None, ["a", "b"], True, None, "2024-01-01T00:00:10"), ("m", ["c"], True, "backend", "2024-01-01T00:00:20"),
