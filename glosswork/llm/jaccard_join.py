@@ -5,7 +5,7 @@ their Jaccard similarity reaches ``num / den``.
 
 * Equal sets are one set from the start; only distinct sets are compared.
 * Light sets list, for each size of partner, all their subsets of the size that such a
-  link needs; sets of these two sizes with a common subset link, without another look.
+  link needs; sets of these two sizes with a common subset (128-bit keys) link.
 * Heavy sets scan inverted lists: a link needs a common shingle among the first few of
   both sets in hash order, so only those are listed.
 * The boundary is the size up to which listing subsets costs less than scanning, by
@@ -19,7 +19,8 @@ also bounds every overlap.
 Lists are never expanded into pairs. Each list compares its members with one of them,
 the set with the fewest own shingles; members that are already in one class need no
 further comparison, and only those of different classes are compared after that.
-Documents are rows throughout; ids may be null (such rows stand alone).
+Nodes of the graph are sets, named by a hash that is checked to be theirs alone; a document
+is an id with a text. Ids may be null (such rows stand alone).
 """
 
 from __future__ import annotations
@@ -81,45 +82,25 @@ class Threshold:
         return min(m // 20 + 1, n - self.spare(n))
 
 
-def _random_table(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# A-Z as a-z, byte by byte; other bytes of UTF-8 stay. `bytes.split` then cuts at exactly
+# the six white space characters of ASCII.
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_CACHED_WORDS, _CACHED_LENGTH = 1 << 18, 64
 
 
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_BYTE = _random_table(256, 1)[_LOWER]
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-# A word's hash is the sum of its bytes' numbers times powers of an odd number, modulo
-# 2**64: two lookups in a running sum, whatever the word's length.
-_POWER, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-# Bytes that are hashed at once; a longer text is hashed alone.
-_STRETCH = 1 << 19
+class _WordHashes(dict):
+    """64-bit hashes of words, computed once for a word as long as it is remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
 
-
-_POWERS, _INVERSES = _powers(_POWER, _STRETCH), _powers(_INVERSE, _STRETCH)
-
-
-def _word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of neighbouring texts that end at ``ends``, and how many
-    words come before each end."""
-    n = len(raw)
-    powers, inverses = (_POWERS, _INVERSES) if n <= _STRETCH else (_powers(_POWER, n), _powers(_INVERSE, n))
-    space = _SPACE[raw]
-    breaks = np.zeros(n + 1, bool)
-    breaks[ends] = breaks[0] = True
-    first = np.flatnonzero(~space & (breaks[:-1] | np.append(True, space[:-1])))
-    last = np.flatnonzero(~space & (breaks[1:] | np.append(space[1:], True))) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers[:n], out=sums[1:])
-    hashes = (sums[last] - sums[first]) * inverses[first]
-    hashes = (hashes ^ (hashes >> np.uint64(31))) * _B
-    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(first, ends)
+_HASHES = _WordHashes()
 
 
 def _shingles_of(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -140,19 +121,9 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text of a column, the sorted distinct 64-bit hashes of its word
     shingles. Words are separated by ASCII white space, A-Z count as a-z. Fewer words
     than a shingle are one shingle; no words, none."""
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, offsets, values = texts.buffers()
-    offsets = np.frombuffer(offsets, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    raw = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _STRETCH, "right")) - 1)
-        hashes, ends = _word_hashes(raw[offsets[at]: offsets[stop]], offsets[at + 1: stop + 1] - offsets[at])
-        start = 0
-        for end in ends.tolist():
-            yield _shingles_of(hashes[start:end], words)
-            start = end
-        at = stop
+    for text in texts.cast(pa.large_binary()):
+        found = text.as_py().translate(_LOWER).split()
+        yield _shingles_of(np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)), words)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -165,37 +136,66 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+    """``id``, ``text`` and ``digest``, which tells texts of one id apart."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
 def _kind(frame: DataFrame, column: str) -> str:
     return frame.schema[column].dataType.simpleString()
 
 
-def measure(texts: DataFrame, rule: Threshold) -> DataFrame:
-    """``id``, ``n`` (set size) and ``sid`` (64-bit hash of the set) of every row."""
+@dataclass(frozen=True)
+class Names:
+    """How sets are named: by a 64-bit hash, and those that share it with another set
+    (``clashes``) by a second one. ``bits`` is smaller in tests only."""
+
+    clashes: frozenset = frozenset()
+    bits: int = 64
+
+    def of(self, found: list[np.ndarray]) -> np.ndarray:
+        raw = [one.tobytes() for one in found]
+        names = [xxhash.xxh3_64_intdigest(one) >> (64 - self.bits) for one in raw]
+        return np.array([xxhash.xxh3_64_intdigest(one, seed=2) if name in self.clashes else name
+                         for one, name in zip(raw, names, strict=True)], np.uint64)
+
+
+def measure(texts: DataFrame, rule: Threshold, names: Names = Names()) -> DataFrame:
+    """``id``, ``digest``, ``n`` (set size), ``name`` and ``check``, another hash of the set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column("text"), rule.words))
-            sid = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64)
+            check = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) for s in found], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array(_signed(sid))], ["id", "n", "sid"])
+                [batch.column("id"), batch.column("digest"), pa.array([len(s) for s in found], pa.int64()),
+                 pa.array(_signed(names.of(found))), pa.array(_signed(check))], ["id", "digest", "n", "name", "check"])
+
+    return texts.mapInArrow(sets, f"id {_kind(texts, 'id')}, digest bigint, n bigint, name bigint, check bigint")
 
-    return texts.mapInArrow(sets, f"id {_kind(texts, 'id')}, n bigint, sid bigint")
 
+def _measured(texts: DataFrame, rule: Threshold, names: Names) -> tuple[DataFrame, Names]:
+    """Sizes and names, once names are unique: 2**-65 times the square of the number of sets
+    share theirs, 17 at 25 billion. Those few come to the driver and are named anew."""
+    measured = written(measure(texts, rule, names), "set-sizes")
+    shared = (
+        measured.where("n > 0").groupBy("name").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        .where("low <> high").select("name").collect())
+    if not shared:
+        return measured, names
+    names = Names(frozenset(r["name"] % (1 << 64) for r in shared), names.bits)
+    return written(measure(texts, rule, names), "set-sizes"), names
 
-def _listed(texts: DataFrame, rule: Threshold, pick, name: str = "keys") -> DataFrame:
-    """Rows with the shingles that ``pick(set)`` chooses."""
-    others = [c for c in texts.columns if c != "text"]
-    fields = ", ".join(f"{c} {_kind(texts, c)}" for c in others)
+
+def _listed(texts: DataFrame, rule: Threshold, names: Names, pick) -> DataFrame:
+    """``id``, the name of a text's set, and as ``keys`` the shingles that ``pick(set)`` chooses."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pick(s) for s in shingle_sets(batch.column("text"), rule.words)]
-            yield batch.select(others).append_column(name, _lists(found))
+            found = list(shingle_sets(batch.column("text"), rule.words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(names.of(found))), _lists([pick(s) for s in found])], ["id", "keys"])
 
-    return texts.mapInArrow(rows, f"{fields}, {name} array<bigint>")
+    return texts.select("text").mapInArrow(rows, "id bigint, keys array<bigint>")
 
 
 def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
@@ -211,18 +211,18 @@ def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
                 bits.append(np.packbits(flips.astype(np.uint8)).view(np.uint64))
             yield (batch.select(["id", "n", "own"]).append_column("keys", _lists(keys)).append_column("bits", _lists(bits)))
 
-    return texts.mapInArrow(rows, f"id {_kind(texts, 'id')}, n bigint, own bigint, keys array<bigint>, bits array<bigint>")
+    return texts.mapInArrow(rows, "id bigint, n bigint, own bigint, keys array<bigint>, bits array<bigint>")
 
 
 def _own(keys: DataFrame) -> DataFrame:
-    """``id`` and ``own``: how many of the listed shingles no other id has. Counted per
-    shingle by its smallest and largest id, so a common shingle is combined in the tasks
+    """``name`` and ``own``: how many of the listed shingles no other set has. Counted per
+    shingle by its smallest and largest name, so a common shingle is combined in the tasks
     before the shuffle."""
     return (
         keys.select("id", F.explode("keys").alias("key"))
-        .groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-        .where(F.col("id") == F.col("last"))
-        .groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        .groupBy("key").agg(F.min("id").alias("name"), F.max("id").alias("last"))
+        .where(F.col("name") == F.col("last"))
+        .groupBy("name").agg(F.count(F.lit(1)).alias("own"))
     )
 
 
@@ -239,7 +239,7 @@ def light_boundary(histogram: dict[int, int], rule: Threshold) -> int:
 
 
 def _subsets(found: np.ndarray, rule: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set's subsets, each with the two set sizes it links, and whether the set
+    """Keys of a set's subsets (128 bits), each with the two set sizes it links, and whether the set
     is the smaller (-1), the larger (1) or of the same size (0)."""
     n = len(found)
     keys, sides = [], []
@@ -247,13 +247,13 @@ def _subsets(found: np.ndarray, rule: Threshold, boundary: int) -> tuple[np.ndar
         if m <= boundary:
             sizes = np.array([min(n, m), max(n, m)], np.uint64)
             chosen = combinations(range(n), rule.required(n, m))
-            keys += [xxhash.xxh3_64_intdigest(np.append(found[list(c)], sizes).tobytes()) for c in chosen]
+            keys += [xxhash.xxh3_128_digest(np.append(found[list(c)], sizes).tobytes()) for c in chosen]
             sides += [(n > m) - (n < m)] * (len(keys) - len(sides))
-    return np.array(keys, np.uint64), np.array(sides, np.int8)
+    return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2), np.array(sides, np.int8)
 
 
 def _light_sets(texts: DataFrame, rule: Threshold, boundary: int) -> DataFrame:
-    """``id``, ``key`` and ``side`` of every listed subset."""
+    """``id``, ``key``, ``key2`` and ``side`` of every listed subset."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,18 +261,18 @@ def _light_sets(texts: DataFrame, rule: Threshold, boundary: int) -> DataFrame:
             lengths = [len(keys) for keys, _ in found]
             owner = np.repeat(np.arange(len(found)), lengths)
             keys, sides = (np.concatenate([none, *part]) for none, part in zip(
-                (np.zeros(0, np.uint64), np.zeros(0, np.int8)), ([f[c] for f in found] for c in (0, 1)), strict=True))
+                (np.zeros((0, 2), np.uint64), np.zeros(0, np.int8)), ([f[c] for f in found] for c in (0, 1)), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(owner, pa.int64())), pa.array(_signed(keys)), pa.array(sides)], ["id", "key", "side"])
+                [batch.column("id").take(pa.array(owner, pa.int64())), *(pa.array(_signed(keys[:, c])) for c in (0, 1)),
+                 pa.array(sides)], ["id", "key", "key2", "side"])
 
-    return texts.mapInArrow(rows, f"id {_kind(texts, 'id')}, key bigint, side tinyint")
+    return texts.mapInArrow(rows, "id bigint, key bigint, key2 bigint, side tinyint")
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    kind = _kind(texts, "id")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,33 +282,33 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
                 keep.append(rule.den * overlap >= rule.num * (len(left) + len(right) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, f"a {kind}, b {kind}")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, classes): each row's ``id``, ``n`` and ``rep``, the smallest id with the
-    same set; and ``id``, ``component`` of the sets that link with another one."""
+def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text",
+          names: Names = Names()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, classes): ``id``, ``digest``, ``n`` and ``name`` (of its set, null for an
+    empty one or without an id) of each row; ``name``, ``n`` and one row of each set, the smallest
+    ``id`` and its ``digest``; ``id`` and ``component``, names of the sets that link with another one."""
     texts = _texts(docs, id_col, text_col)
-    measured = written(measure(texts, rule), "set-sizes")
+    measured, names = _measured(texts, rule, names)
+    members = measured.withColumn("name", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("name"))).drop("check")
     # Tables that are joined to rows with hot keys are written first: a join of two plain
     # shuffles is one that Spark can split where a key is large.
-    reps = written(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep")), "set-representatives")
-    members = written(
-        measured.join(reps, "sid", "left").select(
-            "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep")),
-        "set-members")
-    sets = members.where(F.col("id") == F.col("rep")).select("id", "n").distinct()
+    sets = written(
+        members.where("name IS NOT NULL").groupBy("name").agg(
+            F.max("n").alias("n"), F.min("id").alias("id"), F.min_by("digest", "id").alias("digest")),
+        "set-representatives")
     texts = texts.where(F.col("id").isNotNull())
 
     histogram = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
     boundary = light_boundary(histogram, rule)
     light = _light_links(texts, sets, boundary, rule)
 
-    known = _comparable(texts, sets, rule.least(boundary + 1), rule)
+    known = _comparable(texts, sets, rule.least(boundary + 1), rule, names)
     # The few texts that are compared, written so that a join to them can be split
     # where many pairs share a text.
-    chosen = written(
-        texts.join(small_side(known), "id").select("id", "n", "own", "text").dropDuplicates(["id"]), "compared-texts")
+    chosen = written(_bodies(texts, known, "n", "own").dropDuplicates(["id"]), "compared-texts")
     bodies = chosen.select("id", "text")
     heavy = written(_heavy_sets(chosen, rule), "heavy-sets")
     listed = heavy.select("id", "n", "own", F.explode("keys").alias("key"))
@@ -346,7 +346,14 @@ def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: st
     later = written(_overlaps(later_pairs, bodies, rule), "later-links")
     if not later.isEmpty():
         classes = components(later.unionByName(classes.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    return members, classes
+    return members, sets, classes
+
+
+def _bodies(texts: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``id`` (the name of the set), ``text`` and ``columns`` of each set, from its own row;
+    rows that are repeated in ``texts`` come as often."""
+    picked = written(sets.select("name", "id", "digest", *columns), "picked-sets")
+    return texts.join(small_side(picked), ["id", "digest"]).select(F.col("name").alias("id"), *columns, "text")
 
 
 def _least(rule: Threshold, n: Column) -> Column:
@@ -366,61 +373,72 @@ def _possible(rule: Threshold, n_a: str, own_a: str, n_b: str, own_b: str) -> Co
 def _light_links(texts: DataFrame, sets: DataFrame, boundary: int, rule: Threshold) -> DataFrame:
     """Light sets with a common subset of a size that links them: those of one size with
     the first of the other, and those of equal sizes with the first."""
-    light = written(sets.where(F.col("n").between(1, boundary)), "light-sets")
-    subsets = _light_sets(texts.join(small_side(light), "id").select("id", "text"), rule, boundary)
+    subsets = _light_sets(_bodies(texts, sets.where(F.col("n").between(1, boundary))), rule, boundary)
     firsts = written(
-        subsets.groupBy("key").agg(
+        subsets.groupBy("key", "key2").agg(
             F.min(F.when(F.col("side") <= 0, F.col("id"))).alias("small"), F.min(F.when(F.col("side") >= 0, F.col("id"))).alias("large"),
             F.max("id").alias("last"))
         .where("small <> large OR (small = large AND small <> last)").drop("last"),
         "light-subsets")
     return (
-        subsets.join(firsts, "key")
+        subsets.join(firsts, ["key", "key2"])
         .select(F.col("id").alias("a"), F.when(F.col("side") > 0, F.col("small")).otherwise(F.col("large")).alias("b"))
         .where("a <> b").distinct()
     )
 
 
-def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Threshold) -> DataFrame:
-    """``id``, ``n`` and ``own`` of the sets that can still link, by their own shingles."""
+def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Threshold, names: Names) -> DataFrame:
+    """Rows of ``sets`` with ``own`` that can still link, by their own shingles."""
     n = F.col("n")
     least = _least(rule, n)
     spare = n - least
     # First pass, over heads; the two formulas are Threshold.head and Threshold.common.
     head = F.least(n, spare + F.floor(n / 20) + 1)
     common = F.least(F.floor(least / 20) + 1, least)
-    heads = _listed(texts, rule, lambda s: s[: rule.head(len(s))] if len(s) >= from_size else s[:0])
+    heads = _listed(texts, rule, names, lambda s: s[: rule.head(len(s))] if len(s) >= from_size else s[:0])
     alive = written(
-        sets.where(n >= from_size).join(_own(heads), "id", "left")
-        .where(F.coalesce("own", F.lit(0)) <= head - common).select("id", "n"),
+        sets.where(n >= from_size).join(_own(heads), "name", "left")
+        .where(F.coalesce("own", F.lit(0)) <= head - common).drop("own"),
         "sets-that-share")
     # Second pass, over the whole sets of what is left.
-    whole = _listed(texts.join(small_side(alive.select("id")), "id").select("id", "text"), rule, lambda s: s)
+    whole = _listed(_bodies(texts, alive), rule, names, lambda s: s)
     return written(
-        alive.join(_own(whole), "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spare),
+        alive.join(_own(whole), "name", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spare),
         "sets-to-compare")
 
 
-def classify(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classes(docs: DataFrame, rule: Threshold, id_col: str, text_col: str, names: Names = Names()) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): the rows, and each set by ``name`` with the smallest ``id`` of its class
+    and that row's ``digest``."""
+    members, sets, classes = links(docs, rule, id_col, text_col, names)
+    placed = sets.join(classes.select(F.col("id").alias("name"), "component"), "name", "left").select(
+        "name", "id", "digest", F.coalesce("component", "name").alias("component"))
+    first = written(placed.groupBy("component").agg(F.min("id").alias("id"), F.min_by("digest", "id").alias("digest")), "class-firsts")
+    return members, written(placed.select("name", "component").join(first, "component").drop("component"), "set-classes")
+
+
+def classify(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text", names: Names = Names()) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id that links reach,
     itself included) of every row of ``docs``.
 
     Null and empty texts and texts of white space have no shingles and stand alone, as
     do rows without an id, whose class is null. Repeated rows share a class; rows that
-    repeat an id with another text are one document with one of the texts. Empty tables
-    give no rows.
+    repeat an id with another text are documents of their own. Empty tables give no rows.
     """
-    members, classes = links(docs, rule, id_col, text_col)
-    return (
-        members.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                F.coalesce("component", "rep", "id").alias("component_id"))
-    )
+    members, sets = _classes(docs, rule, id_col, text_col, names)
+    return members.alias("m").join(sets.select("name", F.col("id").alias("low")), "name", "left").select(
+        F.col("m.id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "m.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with their own columns.
-    Rows without an id stay."""
-    classes = classify(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), rule, "id", "text")
-    gone = written(classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(small_side(gone), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The first document of each class, by the smallest id, with its own columns. A document
+    is an id with a text: rows that repeat both stay together, and a text that an id has beside
+    another one goes or stays with its own class. Rows without an id and without words stay."""
+    members, sets = _classes(docs, rule, id_col, text_col)
+    kept = sets.select("name", F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    gone = written(
+        members.join(kept, "name").where((F.col("id") != F.col("_id")) | (F.col("digest") != F.col("_digest")))
+        .select(F.col("id").alias("_gone"), F.col("digest").alias("_text")).distinct(),
+        "near-copies")
+    same_text = F.xxhash64(text_of(text_col)) == F.col("_text")
+    return docs.join(small_side(gone), (F.col(f"`{id_col}`") == F.col("_gone")) & same_text, "left_anti")

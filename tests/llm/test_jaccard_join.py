@@ -9,20 +9,24 @@ from tests.llm.fixtures import awkward, frame, prose, shingle_set
 
 
 def brute(rows, rule):
-    sets = [(d, shingle_set(t, rule.words)) for d, t in rows]
-    parent = {d: d for d, _ in sets}
+    """Rows are nodes; a class goes by its smallest id."""
+    sets = [shingle_set(t, rule.words) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for (a, x), (b, y) in combinations([s for s in sets if s[0] is not None and s[1]], 2):
-        o = len(x & y)
-        if rule.den * o >= rule.num * (len(x) + len(y) - o):
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
-    return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets), key=repr)
+    for a, b in combinations([k for k, (d, _) in enumerate(rows) if d is not None and sets[k]], 2):
+        o = len(sets[a] & sets[b])
+        if rule.den * o >= rule.num * (len(sets[a]) + len(sets[b]) - o):
+            parent[find(b)] = find(a)
+    low = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(k)] = min(low.get(find(k), d), d)
+    return sorted(((d, len(sets[k]), None if d is None else low[find(k)]) for k, (d, _) in enumerate(rows)), key=repr)
 
 
 def near(rnd, base, edits):
@@ -43,10 +47,27 @@ def test_classes_match_brute_force(spark, rule):
     line = prose(rnd, 12)
     rows += [(1000 + k, line + "\n" + prose(rnd, rnd.choice([4, 40]))) for k in range(40)]
     rows += [(2000 + (d or 0) if d is not None else None, t if len(t or "") < 9_000 or k == 7 else t) for k, (d, t) in enumerate(awkward())]
+    # Ids that have several texts, near and far.
+    rows += [(3, rows[40][1]), (3, prose(rnd, 50)), (5, rows[5][1] + " z"), (0, "a b"), (7, rows[7][1])]
     got = sorted(map(tuple, j.classify(frame(spark, rows), rule).collect()), key=repr)
     assert got == brute(rows, rule)
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    rnd = random.Random(4)
+    rows = [(k, prose(rnd, 8)) for k in range(60)] + [(60 + k, prose(rnd, 70)) for k in range(30)]
+    rows += [(90 + k, near(rnd, rows[60 + k][1], 1)) for k in range(30)]
+    rule = j.Threshold()
+    got = sorted(map(tuple, j.classify(frame(spark, rows), rule, names=j.Names(bits=5)).collect()), key=repr)
+    assert got == brute(rows, rule)
+
+
+def test_words_that_a_polynomial_takes_for_one_do_not_link(spark):
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, "É" + thue), (4, "é" + thue), (5, thue.upper())]
+    assert sorted(map(tuple, j.classify(frame(spark, rows), j.Threshold()).collect())) == brute(rows, j.Threshold())
+
+
 @pytest.mark.parametrize("rule", [j.Threshold(4, 85, 100), j.Threshold()])
 @pytest.mark.parametrize("words", [9, 10, 11])
 def test_short_texts_that_differ_in_one_end_word(spark, rule, words):
@@ -85,6 +106,15 @@ def test_keeps_one_of_a_class(spark):
     assert j.classify(docs.where("false"), j.Threshold()).count() == 0
 
 
+def test_a_text_goes_with_its_own_class_whatever_else_its_id_has(spark):
+    rnd = random.Random(7)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(1, a), (5, a + " z"), (5, b), (5, b), (6, c), (7, near(rnd, c, 1)), (7, b + " y"), (None, a), (8, None), (8, "")]
+    kept = j.drop_near_copies(frame(spark, rows), j.Threshold())
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (5, b), (5, b), (6, c), (None, a), (8, None), (8, "")], key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     rnd = random.Random(2)
     path = list(range(100, 140))
