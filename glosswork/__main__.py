@@ -26,7 +26,7 @@ from glosswork.operators.results import write_outputs
 from glosswork.options import RunOptions
 from glosswork.plans.corpus import CorpusRun, translate_corpus
 from glosswork.session import configure, size_shuffles
-from glosswork.sources.memory import write_memory
+from glosswork.sources.memory import MemoryStore, write_memory
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -35,6 +35,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("output")
     p.add_argument("--translator", help="module:callable; without it texts are only marked")
     p.add_argument("--memory", help="translation memory of an earlier run")
+    p.add_argument("--memory-store", help="translation memory that grows in place; used and added to")
     p.add_argument("--version", type=int, default=1, help="version of the memory written")
     p.add_argument("--data-bytes", type=int, help="size of the texts, to size shuffles")
     kinds = typing.get_type_hints(RunOptions)
@@ -60,7 +61,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> CorpusRun:
     configure(spark)
     if args.data_bytes:
         size_shuffles(spark, args.data_bytes)
-    memory = spark.read.parquet(args.memory) if args.memory else None
+    store = MemoryStore(spark, args.memory_store) if args.memory_store else None
+    memory = spark.read.parquet(args.memory) if args.memory else store
     done = translate_corpus(
         spark, spark.read.parquet(args.documents), load_translator(args.translator, options), options, memory, args.version
     )
@@ -68,7 +70,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> CorpusRun:
     write_outputs(done.documents, f"{output}/documents")
     done.segments.where("error IS NOT NULL").select("seg_id", "error").write.parquet(f"{output}/failures")
     backend_status(done.audited).write.parquet(f"{output}/status")
-    write_memory(done.memory, f"{output}/memory", args.version)
+    if store:
+        store.add(done.fresh)
+        store.merge()
+    else:
+        write_memory(done.memory, f"{output}/memory", args.version)
     return done
 
 

@@ -349,6 +349,8 @@ _QUERIES = {
         ON m.key_hash = sha256(w.text) AND m.effective_model IS NOT DISTINCT FROM w.effective_model""",
     "memory_upsert": """SELECT key_hash, effective_model, md5(arg_max(text, version)) AS text_md5,
         CAST(max(version) AS INTEGER) AS version FROM memory GROUP BY 1, 2""",
+    "memory_store": """SELECT key_hash, effective_model, md5(arg_max(text, version)) AS text_md5,
+        CAST(max(version) AS INTEGER) AS version FROM memory GROUP BY 1, 2""",
     "batch_infer": f"""SELECT shard, batch_no, effective_model,
         CASE WHEN effective_model = 'Model-Y' THEN NULL ELSE md5('{{"translations":[' || string_agg(
           '{{"id":"' || job_id || '","text":' || CAST(to_json({_OFFLINE}) AS VARCHAR) || '}}', ',' ORDER BY ord) || ']}}')

@@ -132,6 +132,17 @@ def memory_upsert(spark, sf):
     return merged.select("key_hash", "effective_model", F.md5("text").alias("text_md5"), "version")
 
 
+@query
+def memory_store(spark, sf):
+    """The same memory, grown by additions and a merge."""
+    store = memory.MemoryStore(spark, scratch_path(spark, "memory-store"), buckets=8, most_parts=2)
+    rest = fx.memory_rows(spark, sf, False)
+    for rows in (fx.memory_rows(spark, sf, True), rest.where("version < 4"), rest.where("version >= 4")):
+        store.add(rows)
+        store.merge()
+    return store.table().select("key_hash", "effective_model", F.md5("text").alias("text_md5"), "version")
+
+
 def _stored(spark, sf):
     """A partly filled memory."""
     first = fx.memory_rows(spark, sf, True)

@@ -18,7 +18,7 @@ from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
 from glosswork.session import configure, written
 from glosswork.sources.files import spread
 from glosswork.sources.ledger import ledger_of
-from glosswork.sources.memory import lookup_keys, memory_upsert
+from glosswork.sources.memory import MemoryStore, lookup_keys, memory_upsert
 from glosswork.sources.requests import effective_model
 
 
@@ -31,6 +31,7 @@ class CorpusRun:
     audited: DataFrame  # one row per backend call
     segments: DataFrame  # every selected segment with result or error
     documents: DataFrame  # assembled outputs
+    fresh: DataFrame  # what this run adds to the translation memory
     memory: DataFrame  # translation memory including this run
 
 
@@ -39,7 +40,7 @@ def translate_corpus(
     documents: DataFrame,
     translator: Translator,
     options: RunOptions | None = None,
-    memory: DataFrame | None = None,
+    memory: DataFrame | MemoryStore | None = None,
     memory_version: int = 1,
     hot_rows: int = HOT_ROWS,
 ) -> CorpusRun:
@@ -49,7 +50,8 @@ def translate_corpus(
     what the memory knew about them, since four later steps read it, and the
     audited replies, so that no backend call is ever repeated by a re-read.
     Everything else stays one lazy plan. Segments whose call failed keep their
-    source text and carry the error.
+    source text and carry the error. A run with a ``MemoryStore`` reads the buckets it
+    needs; whoever runs it adds ``fresh`` to the store.
     """
     options = options or RunOptions()
     configure(spark)
@@ -90,7 +92,8 @@ def translate_corpus(
         audited=audited,
         segments=segments,
         documents=assemble(segments, options.mode),
-        memory=memory_upsert(fresh.where("false") if memory is None else memory, fresh),
+        fresh=fresh,
+        memory=memory_upsert(_table(memory, fresh), fresh),
     )
 
 
@@ -135,11 +138,18 @@ def _distinct_texts(wanted: DataFrame, options: RunOptions) -> DataFrame:
     )
 
 
-def _lookup(texts: DataFrame, memory: DataFrame | None, options: RunOptions) -> DataFrame:
+def _table(memory: DataFrame | MemoryStore | None, like: DataFrame) -> DataFrame:
+    if memory is None:
+        return like.where("false")
+    return memory.table() if isinstance(memory, MemoryStore) else memory
+
+
+def _lookup(texts: DataFrame, memory: DataFrame | MemoryStore | None, options: RunOptions) -> DataFrame:
     """Add ``memory_text`` and drop the source text of hits."""
     if memory is None or options.ignore_cache:
         return texts.withColumn("memory_text", F.lit(None).cast("string"))
-    return lookup_keys(texts, memory).withColumn(
+    found = memory.lookup(texts) if isinstance(memory, MemoryStore) else lookup_keys(texts, memory)
+    return found.withColumn(
         "text", F.when(F.col("memory_text").isNull(), F.col("text"))
     )
 
