@@ -194,6 +194,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("req_id"), F.expr(REQUEST_BODY).alias("body"))
 
 
+# Replies of the backend in event time, in three arrivals; the last has late ones.
+STATUS_DELAY_DAYS = 4
+TIMED_REPLY = {
+    "effective_model": "CASE event_type WHEN 'click' THEN 'model-x' WHEN 'view' THEN 'Model-Y' END",
+    "n_jobs": "event_id % 4 + 1", "answered": "event_id % 7 <> 0", "failed": "event_id % 5 = 0", 
+    "arrival": "CASE WHEN user_id % 3 = 0 THEN 2 ELSE event_id % 2 END",
+}
+
+
+def timed_replies(events: DataFrame) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    made = {name: F.expr(sql) for name, sql in TIMED_REPLY.items()}
+    return events.select(
+        ts.alias("at"), made["effective_model"].alias("effective_model"),
+        F.expr(f"transform(sequence(1, {TIMED_REPLY['n_jobs']}), i -> CAST(i AS STRING))").alias("job_ids"),
+        made["answered"].alias("answered"), F.when(made["failed"], "backend").alias("defect"), made["arrival"].alias("arrival"))
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a file stream (a stream reads folders or patterns)."""
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")

@@ -482,6 +482,16 @@ _QUERIES = {
     "stream_outcome": f"{_OUTCOME} WHERE outcome <> 'no_result'",
     "stream_status": f"""SELECT coalesce(effective_model, 'codex-cli-default') AS model, {_STATUS}
       FROM audited GROUP BY 1""",
+    "stream_status_windows": f"""
+      SELECT strftime(w, '%Y-%m-%d') AS day, coalesce(m, 'codex-cli-default') AS model,
+        count(*) FILTER (answered AND NOT failed) AS batches, count(*) FILTER (answered AND failed) AS failed_batches,
+        CAST(coalesce(sum(n) FILTER (answered AND NOT failed), 0) AS BIGINT) AS translated_items,
+        CAST(coalesce(sum(n) FILTER (NOT answered), 0) AS BIGINT) AS queued_items
+      FROM (SELECT date_trunc('day', ts) AS w, {fx.TIMED_REPLY['effective_model']} AS m, {fx.TIMED_REPLY['n_jobs']} AS n,
+              {fx.TIMED_REPLY['answered']} AS answered, {fx.TIMED_REPLY['failed']} AS failed, {fx.TIMED_REPLY['arrival']} AS arrival,
+              max(ts) FILTER ({fx.TIMED_REPLY['arrival']} = 0) OVER () - INTERVAL {fx.STATUS_DELAY_DAYS} DAY AS closed,
+              max(ts) OVER () - INTERVAL {fx.STATUS_DELAY_DAYS} DAY AS told FROM events)
+      WHERE w + INTERVAL 1 DAY <= told AND (arrival < 2 OR w + INTERVAL 1 DAY > closed) GROUP BY 1, 2""",
     "failure_counts": f"""SELECT md5({_DETAIL}) AS detail_md5, count(*) AS n_jobs FROM logs GROUP BY 1""",
 }
 

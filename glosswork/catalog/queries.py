@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -473,3 +474,20 @@ def stream_status(spark, sf):
     (status.writeStream.foreachBatch(record).outputMode("complete")
      .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(status.schema).parquet(f"{path}/status/{recorded[0]}")
+
+
+@query
+def stream_status_windows(spark, sf):
+    """Counters of finished days. Days that the first trigger closed are sent by the second;
+    what the third has for them is late and does not count."""
+    path = scratch_path(spark, "stream_status_windows")
+    replied = fx.timed_replies(fx.table(spark, sf, "events"))
+    for arrival in range(3):  # files are read in order of modification time
+        replied.where(F.col("arrival") == arrival).drop("arrival").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        time.sleep(1.1)
+    live = _stream_session(spark).readStream.schema(replied.drop("arrival").schema).option("maxFilesPerTrigger", 1)
+    windows = streaming_progress.windowed_status_stream(
+        live.parquet(f"{path}/in"), "at", "1 day", f"{fx.STATUS_DELAY_DAYS} days")
+    return _drained(spark, "stream_status_windows", windows).select(
+        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "model", "batches", "failed_batches",
+        "translated_items", "queued_items")

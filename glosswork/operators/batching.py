@@ -140,28 +140,41 @@ def batch_by_window(
     )
 
 
+def _following(pieces: np.ndarray, times: np.ndarray, max_batch: int, window_us: int) -> np.ndarray:
+    """For each row, the row that opens the next batch if this one opens one; the number of
+    rows where its piece ends first. ``pieces`` numbers the stretches of rows that belong together,
+    rows are sorted by piece and time."""
+    n = len(times)
+    # Ends of windows are sorted in among the arrivals, before those of the same time.
+    order = np.lexsort((np.repeat([0, 1], n), np.concatenate([times + window_us, times]), np.tile(pieces, 2)))
+    arrived = np.cumsum(order >= n)
+    by_time = np.empty(n, np.int64)
+    ends = order < n
+    by_time[order[ends]] = arrived[ends]
+    rows = np.arange(n)
+    found = np.clip(np.minimum(by_time, rows + max_batch), rows + 1, None)
+    last = np.append(np.flatnonzero(np.diff(pieces)) + 1, n)
+    return np.where(found < last[np.searchsorted(last, rows, "right")], found, n)
+
+
 def _chunk_maps(frames: Iterator[pd.DataFrame], key: str, chunk_rows: int, max_batch: int, window_us: int):
     """Per chunk: for each entry position, where the walk leaves and how many
-    batches it opened. Rows come sorted; one chunk is held at a time."""
+    batches it opened. Rows come sorted; one chunk is held at a time. All walks are
+    followed at once, by jumps that double in length."""
     for (k, chunk), times in _chunks(frames, key):
         own = min(chunk_rows, len(times))
         starts = np.arange(own)
         by_time = np.searchsorted(times, times[:own] + window_us, side="left")
-        following = np.clip(np.minimum(by_time, starts + max_batch), starts + 1, None).tolist()
-        leave = [0] * own
-        opened = [0] * own
-        for i in range(own - 1, -1, -1):
-            nxt = following[i]
-            if nxt < own:
-                leave[i] = leave[nxt]
-                opened[i] = opened[nxt] + 1
-            else:
-                leave[i] = nxt - own
-                opened[i] = 1
+        jump = np.clip(np.minimum(by_time, starts + max_batch), starts + 1, None)
+        # Places beyond the chunk's own rows stay where they are.
+        jump = np.append(jump, np.arange(own, own + max_batch + 1))
+        opened = np.append(np.ones(own, np.int64), np.zeros(max_batch + 1, np.int64))
+        while (jump[:own] < own).any():
+            opened, jump = opened + opened[jump], jump[jump]
         width = min(max_batch, own)
         # A last chunk shorter than the entry position is skipped over whole.
-        leaves = leave[:width] + [e - own for e in range(width, max_batch)]
-        batches = opened[:width] + [0] * (max_batch - width)
+        leaves = (jump[:width] - own).tolist() + [e - own for e in range(width, max_batch)]
+        batches = opened[:width].tolist() + [0] * (max_batch - width)
         yield pd.DataFrame({key: [k], "_chunk": [chunk], "leaves": [leaves], "batches": [batches]})
 
 
@@ -194,21 +207,44 @@ def _chunk_entries(frames: Iterator[pd.DataFrame], key: str):
 
 
 def _number_rows(frames: Iterator[pd.DataFrame], key: str, order_id: str, max_batch: int, window_us: int):
-    """Follow the rows of each chunk from its entry; state is one open batch."""
-    current, skip, number, anchor, count = None, 0, 0, 0, 0
+    """Number the rows of each chunk from its entry, all chunks of a frame at once; a chunk
+    that a frame cuts off is held until it is whole."""
+    held = None
     for frame in frames:
-        numbers = []
-        for k, chunk, t, enter, base in zip(
-            frame[key].tolist(), frame["_chunk"].tolist(), frame["_t"].tolist(),
-            frame["_enter"].tolist(), frame["_base"].tolist(),
-        ):
-            if (k, chunk) != current:
-                current, skip, number, count = (k, chunk), enter, base - 1, 0
-            if skip:
-                skip -= 1  # still in the batch that the previous chunk opened
-            elif count and count < max_batch and t < anchor + window_us:
-                count += 1
-            else:
-                number, anchor, count = number + 1, t, 1
-            numbers.append(number)
-        yield pd.DataFrame({key: frame[key], order_id: frame[order_id], "batch_no": numbers})
+        if frame.empty:
+            continue
+        rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        piece = _pieces(rows, key)
+        whole = int(np.searchsorted(piece, piece[-1]))
+        held = rows.iloc[whole:]
+        if whole:
+            yield _numbered(rows.iloc[:whole], piece[:whole], key, order_id, max_batch, window_us)
+    if held is not None:
+        yield _numbered(held, _pieces(held, key), key, order_id, max_batch, window_us)
+
+
+def _pieces(rows: pd.DataFrame, key: str) -> np.ndarray:
+    """Numbers the runs of equal key and chunk; null keys are equal."""
+    keys, chunks = rows[key], rows["_chunk"]
+    before = keys.shift()
+    same = (keys == before) | (keys.isna() & before.isna())
+    return np.cumsum((~same | (chunks != chunks.shift())).to_numpy(bool))
+
+
+def _numbered(rows: pd.DataFrame, piece: np.ndarray, key: str, order_id: str, max_batch: int, window_us: int):
+    n = len(rows)
+    jump = np.append(_following(piece, rows["_t"].to_numpy(np.int64), max_batch, window_us), n)
+    first = np.flatnonzero(np.append(True, np.diff(piece) > 0))
+    enter = first + rows["_enter"].to_numpy(np.int64)[first]
+    # The entry may lie beyond a short last chunk: then no batch opens in it.
+    last = np.append(first[1:], n)
+    opens = np.zeros(n + 1, bool)
+    opens[enter[enter < last]] = True
+    # Whoever is reached opens a batch; jumps double until all lead out.
+    while (jump[:n] < n).any():
+        opens[jump[np.flatnonzero(opens[:n])]] = True
+        jump = jump[jump]
+    opened = np.cumsum(opens[:n])
+    before = np.append(0, opened)[first]
+    numbers = rows["_base"].to_numpy(np.int64) - 1 + opened - np.repeat(before, last - first)
+    return pd.DataFrame({key: rows[key], order_id: rows[order_id], "batch_no": numbers})
