@@ -44,6 +44,10 @@ REQUEST_BODY = """CASE conv_id % 12
   WHEN 10 THEN '{"messages":' || messages || '} trailing'
   ELSE '{"model":" model-x ","messages":' || messages || '}' END"""
 
+PAGE_LIST = """CASE doc_id % 7 WHEN 0 THEN '1,2,4-6' WHEN 1 THEN (doc_id % 3 + 1) || '-' || (doc_id % 3 + 2)
+  WHEN 2 THEN ' 2 , 2 - 3 ,9' WHEN 3 THEN '3-1' WHEN 4 THEN '1,x' WHEN 5 THEN '' || (doc_id % 4 + 1) END"""
+HAS_PAGE_LIST = "doc_id % 5 <> 0"
+
 # --- replies -----------------------------------------------------------------
 
 SINGLE_REPLY = """CASE doc_id % 8

@@ -35,6 +35,13 @@ _RELATIONS = {
       SELECT *, lang = 'en' AND length({_strip('text')}) >= 5 AS translate FROM segments""",
     "wanted": f"""
       SELECT *, {_routed(fx.REQUESTED_MODEL)} AS effective_model FROM gated WHERE translate""",
+    "listed": f"SELECT doc_id, {fx.PAGE_LIST} AS pages FROM documents WHERE {fx.HAS_PAGE_LIST}",
+    "listed_items": """
+      SELECT doc_id, item, TRY_CAST(string_split(item, '-')[1] AS BIGINT) AS low, TRY_CAST(string_split(item, '-')[-1] AS BIGINT) AS high
+      FROM (SELECT doc_id, unnest(string_split(pages, ',')) AS item FROM listed)""",
+    "listed_wrong": """
+      SELECT DISTINCT doc_id, CASE WHEN low > high THEN 'page range runs backwards: ' ELSE 'not a page or page range: ' END || item AS error
+      FROM listed_items WHERE low IS NULL OR high IS NULL OR low > high""",
     "batched": f"""
       SELECT *, (rn - 1) // {fx.MAX_BATCH} AS batch_no, CAST((rn - 1) % {fx.MAX_BATCH} AS INTEGER) AS ord
       FROM (SELECT seg_id AS job_id, CAST(doc_id % {fx.WORKERS} AS INTEGER) AS shard, doc_id, pos, text,
@@ -344,6 +351,12 @@ _QUERIES = {
     "segment_dedup": """SELECT key_hash, effective_model, first.doc_id AS doc_id, first.pos AS pos, n_rows FROM (
         SELECT sha256(text) AS key_hash, effective_model, min({'doc_id': doc_id, 'pos': pos}) AS first, count(*) AS n_rows
         FROM wanted GROUP BY 1, 2)""",
+    "listed_pages": """SELECT doc_id, page_no, count(*) AS n_segments FROM segments s
+      WHERE (doc_id NOT IN (SELECT doc_id FROM listed WHERE pages IS NOT NULL)
+             OR EXISTS (SELECT 1 FROM listed_items e WHERE e.doc_id = s.doc_id AND s.page_no BETWEEN e.low AND e.high))
+        AND doc_id NOT IN (SELECT doc_id FROM listed_wrong)
+      GROUP BY doc_id, page_no
+      UNION ALL SELECT doc_id, -1, length(error) FROM listed_wrong""",
     "memory_split": """SELECT seg_id, m.text IS NOT NULL AS hit, md5(m.text) AS memory_md5 FROM wanted w
       LEFT JOIN (SELECT DISTINCT key_hash, effective_model, text FROM memory WHERE part = 0) m
         ON m.key_hash = sha256(w.text) AND m.effective_model IS NOT DISTINCT FROM w.effective_model""",

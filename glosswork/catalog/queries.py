@@ -68,6 +68,16 @@ def page_select(spark, sf):
     return segments.select_pages(fx.segments(spark, sf), "1,2,4-6").select("seg_id", "page_no")
 
 
+@query
+def listed_pages(spark, sf):
+    """A page expression for each document; some have none, some an invalid one."""
+    documents = fx.table(spark, sf, "documents")
+    lists = segments.page_lists(documents.where(fx.HAS_PAGE_LIST).select("doc_id", F.expr(fx.PAGE_LIST).alias("pages")))
+    picked = segments.select_listed_pages(fx.segments(spark, sf), lists)
+    return picked.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_segments")).unionByName(
+        lists.where("error IS NOT NULL").select("doc_id", F.lit(-1).alias("page_no"), F.length("error").cast("bigint").alias("n_segments")))
+
+
 @query
 def segment_gate(spark, sf):
     rows = fx.segments(spark, sf)

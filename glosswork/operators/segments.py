@@ -72,6 +72,44 @@ def select_pages(segments: DataFrame, expression: str | None) -> DataFrame:
     return segments.where(on_pages(F.col("page_no"), expression))
 
 
+_RANGE = r"^\s*([1-9][0-9]*)(\s*-\s*([1-9][0-9]*))?\s*$"
+
+
+def page_lists(selections: DataFrame) -> DataFrame:
+    """``doc_id``, ``ranges`` (low, high) and ``error`` of a table of page expressions
+    (``doc_id, pages``); several rows of a document add up. A document with a null
+    expression has all pages, as null ``ranges``; one with an invalid item has an
+    ``error`` that names the first, and no ranges."""
+    number = lambda item, group: F.regexp_extract(item, _RANGE, group).try_cast("bigint")
+    # An item that is no range, or a number beyond 64 bits, has no low end.
+    parsed = F.transform(F.split("pages", ","), lambda i: F.struct(
+        i.alias("item"), number(i, 1).alias("low"),
+        F.when(F.regexp_extract(i, _RANGE, 2) == "", number(i, 1)).otherwise(number(i, 3)).alias("high")))
+    bad = F.filter("items", lambda i: F.coalesce(i["low"] > i["high"], F.lit(True)))
+    return (
+        selections.groupBy("doc_id").agg(
+            F.flatten(F.collect_list(parsed)).alias("items"), F.count_if(F.col("pages").isNull()).alias("n_all"))
+        .withColumn("bad", F.get(bad, F.lit(0)))
+        .select(
+            "doc_id",
+            F.when(F.col("bad").isNull() & (F.col("n_all") == 0), F.transform("items", lambda i: F.struct(i["low"], i["high"]))).alias("ranges"),
+            F.when(F.col("bad.low") > F.col("bad.high"), F.concat(F.lit("page range runs backwards: "), F.col("bad.item")))
+            .when(F.col("bad").isNotNull(), F.concat(F.lit("not a page or page range: "), F.col("bad.item"))).alias("error"),
+        )
+    )
+
+
+def select_listed_pages(segments: DataFrame, lists: DataFrame) -> DataFrame:
+    """Segments on the pages that their document's ranges name, by ``page_lists``. Documents
+    that are not listed keep all pages, those with an error none. One row a document
+    meets its segments, however many ranges it has; a long document is a hot key that
+    Spark splits."""
+    picked = lists.select(F.col("doc_id").alias("_doc"), "ranges", F.col("error").isNotNull().alias("_bad"))
+    inside = F.exists("ranges", lambda r: F.col("page_no").between(r["low"], r["high"]))
+    return segments.join(picked, F.col("doc_id") == F.col("_doc"), "left").where(
+        ~F.coalesce("_bad", F.lit(False)) & (F.col("ranges").isNull() | inside)).drop("_doc", "ranges", "_bad")
+
+
 def gate(
     segments: DataFrame,
     lang_in: str = "en",

@@ -13,7 +13,7 @@ from glosswork.operators.inference import Translator, infer
 from glosswork.operators.joins import HOT_ROWS, skew_join
 from glosswork.operators.replies import audit_direct, audit_replies, job_answers
 from glosswork.operators.results import assemble
-from glosswork.operators.segments import gate, on_pages, segment
+from glosswork.operators.segments import gate, on_pages, page_lists, segment, select_listed_pages
 from glosswork.options import DEFAULT_REQUEST_MODEL, RunOptions
 from glosswork.session import configure, written
 from glosswork.sources.files import spread
@@ -43,6 +43,7 @@ def translate_corpus(
     memory: DataFrame | MemoryStore | None = None,
     memory_version: int = 1,
     hot_rows: int = HOT_ROWS,
+    pages: DataFrame | None = None,
 ) -> CorpusRun:
     """Segment, gate, dedup, look up, batch, translate, validate, assemble.
 
@@ -51,11 +52,12 @@ def translate_corpus(
     audited replies, so that no backend call is ever repeated by a re-read.
     Everything else stays one lazy plan. Segments whose call failed keep their
     source text and carry the error. A run with a ``MemoryStore`` reads the buckets it
-    needs; whoever runs it adds ``fresh`` to the store.
+    needs; whoever runs it adds ``fresh`` to the store. ``pages`` (``doc_id, pages``) selects pages
+    document by document, beside ``options.pages`` for all.
     """
     options = options or RunOptions()
     configure(spark)
-    wanted, passed = _split(spread(documents), options)
+    wanted, passed = _split(spread(documents), options, pages)
 
     distinct = _lookup(_distinct_texts(wanted, options), memory, options)
     work = written(distinct, "texts")
@@ -97,14 +99,17 @@ def translate_corpus(
     )
 
 
-def _split(documents: DataFrame, options: RunOptions) -> tuple[DataFrame, DataFrame]:
+def _split(documents: DataFrame, options: RunOptions, pages: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Segments to translate and segments that pass through.
 
     Two branches instead of one flag: only the first needs hashes, the memory
     and a join, and its language filter reaches the scan.
     """
+    selected = segment(documents).where(on_pages(F.col("page_no"), options.pages))
+    if pages is not None:
+        selected = select_listed_pages(selected, page_lists(pages))
     gated = gate(
-        segment(documents).where(on_pages(F.col("page_no"), options.pages)),
+        selected,
         options.lang_in, options.min_text_length, options.translate_table_text,
     )
     wanted = gated.where(F.col("lang") == options.lang_in).where("translate").withColumns(

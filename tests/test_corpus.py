@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glosswork import RunOptions
 from glosswork import __main__ as job
 from glosswork.operators.inference import OfflineTranslator
-from glosswork.operators.segments import dedup_segments, gate, parse_pages, segment
+from glosswork.operators.segments import dedup_segments, gate, page_lists, parse_pages, segment, select_listed_pages
 from glosswork.plans.corpus import translate_corpus
 from glosswork.session import size_shuffles
 
@@ -163,3 +163,24 @@ def test_shuffle_sizing(spark):
         assert size_shuffles(spark, 1) == 372_530
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_page_lists_by_document(spark):
+    lists = {1: "1,2,4-6", 2: "3 - 1", 3: "x", 4: None, 5: " 2 ", 6: "0", 7: "99999999999999999999", 8: ""}
+    table = spark.createDataFrame([*lists.items(), (5, "4-5"), (4, "1")], "doc_id bigint, pages string")
+    got = {r.doc_id: r for r in page_lists(table).collect()}
+    assert [(r.low, r.high) for r in got[1].ranges] == [(1, 1), (2, 2), (4, 6)] and got[4].ranges is None and got[4].error is None
+    assert {d: r.error for d, r in got.items() if r.error} == {
+        2: "page range runs backwards: 3 - 1", **{d: f"not a page or page range: {lists[d]}" for d in (3, 6, 7, 8)}}
+    rows = spark.range(1, 10).selectExpr("id AS doc_id", "explode(sequence(1, 7)) AS page_no")
+    kept = {}
+    for r in select_listed_pages(rows, page_lists(table)).collect():
+        kept.setdefault(r.doc_id, []).append(r.page_no)
+    assert {d: sorted(p) for d, p in kept.items()} == {1: [1, 2, 4, 5, 6], 4: list(range(1, 8)), 5: [2, 4, 5], 9: list(range(1, 8))}
+
+
+def test_a_run_selects_pages_document_by_document(spark, documents):
+    pages = spark.createDataFrame([(1, "2"), (2, "1-2"), (3, "9")], "doc_id bigint, pages string")
+    run = translate_corpus(spark, documents, OfflineTranslator(), RunOptions(), pages=pages)
+    seen = {(r.doc_id, r.page_no) for r in run.segments.where("doc_id IN (1, 2, 3)").collect()}
+    assert seen == {(1, 2), (2, 1), (2, 2)}
