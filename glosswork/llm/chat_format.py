@@ -9,9 +9,11 @@ rendered conversation is one value, as its text must be.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.llm.common import starts_of
+
 OPEN, CLOSE = "<turn>", "</turn>\n"
 
 
@@ -63,14 +65,14 @@ def fold_events(log: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(event)).alias("events"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq").cast("long"))).alias("regenerated"),
     )
+    # What a later regeneration of an earlier turn leaves: a running maximum over the turns.
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.max(F.when(F.col("turn").isNotNull(), F.col("regenerated"))).over(earlier)
+    left = places.withColumn("cut", cut).select("conv_id", "turn", F.when(F.col("cut").isNull(), F.col("events")).otherwise(
+        F.filter("events", lambda e: F.col("cut") <= F.coalesce(e["seq"], F.lit(-2**63 + 1)))).alias("events"))
     together = (
-        places.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "regenerated", "events"))).alias("places"))
-        .withColumn("cuts", F.expr("filter(places, p -> p.regenerated IS NOT NULL)"))
-        # What a later regeneration of an earlier turn leaves.
-        .withColumn("places", F.expr(f"""
-            transform(places, p -> struct(p.turn AS turn, filter(p.events, e -> NOT exists(cuts, c ->
-              coalesce(c.turn < p.turn AND c.regenerated > coalesce(e.seq, {-2**63 + 1}L), false))) AS events))"""))
+        left.groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "events"))).alias("places"))
         # Where messages start.
         .withColumn("places", F.expr("""
             transform(places, p -> struct(p.turn AS turn, p.events AS events, if(size(p.events) = 0, array(),
@@ -92,38 +94,46 @@ def render(conversations: DataFrame, learned_role: str = "assistant") -> DataFra
     """``conv_id``, ``formatted`` and ``loss_spans`` (start, length in code points) of
     folded conversations. Texts of ``learned_role`` are under the loss mask, without
     their markers. No messages give an empty text and no spans."""
-    return (
-        conversations.select("conv_id", F.transform("messages", lambda m: F.struct(
-            F.concat(F.lit(OPEN), escape_role(m["role"]), F.lit("\n")).alias("head"),
-            escape(m["text"]).alias("body"),
-            (m["role"] == learned_role).alias("learned"),
-        )).alias("parts"))
-        .select(
-            "conv_id",
-            F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
-            F.expr(f"""aggregate(parts,
-                named_struct('at', 0, 'spans', cast(array() AS array<struct<start: int, length: int>>)),
-                (acc, p) -> named_struct(
-                  'at', acc.at + length(p.head) + length(p.body) + {len(CLOSE)},
-                  'spans', if(p.learned, array_append(acc.spans,
-                     struct(acc.at + length(p.head) AS start, length(p.body) AS length)), acc.spans)),
-                acc -> acc.spans)""").alias("loss_spans"),
-        )
-    )
+    parts = conversations.select("conv_id", F.transform("messages", lambda m: F.struct(
+        F.concat(F.lit(OPEN), escape_role(m["role"]), F.lit("\n")).alias("head"),
+        escape(m["text"]).alias("body"),
+        (m["role"] == learned_role).alias("learned"),
+    )).alias("parts"))
+    starts = starts_of(F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)))
+    spans = F.filter(
+        F.zip_with("parts", starts, lambda p, at: F.when(p["learned"], F.struct(
+            (at + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length")))),
+        lambda s: s.isNotNull())
+    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
+    return parts.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``conv_id``, ``messages`` (role, text) and ``learned`` (the texts under the mask),
-    taken from the formatted text and the spans alone."""
-    turns = F.filter(F.split("formatted", CLOSE, -1), lambda t: t != "")
-    head = F.lit(len(OPEN))
-    return rendered.select(
+    """``conv_id``, ``formatted``, ``messages`` (role, text) and ``learned`` (the texts under the mask),
+    taken from the formatted text and the spans alone. Turns and spans meet where a turn's
+    text starts; a span that starts elsewhere is lost, and the digests show it."""
+    turns = rendered.select("conv_id", F.filter(F.split("formatted", CLOSE, -1), lambda t: t != "").alias("turns"))
+    starts = starts_of(F.transform("turns", lambda t: F.length(t) + len(CLOSE)))
+    said = turns.select("conv_id", F.inline(F.arrays_zip(F.col("turns").alias("turn"), starts.alias("at")))).withColumn(
+        "head", F.instr("turn", "\n"))
+    spans = rendered.select("conv_id", F.inline("loss_spans"))
+    rows = (
+        said.select("conv_id", (F.col("at") + F.col("head")).alias("at"),
+                    F.struct(F.expr(f"substring(turn, {len(OPEN) + 1}, head - {len(OPEN) + 1})").alias("role"),
+                             F.expr("substring(turn, head + 1)").alias("body")).alias("turn"))
+        .unionByName(spans.select("conv_id", F.col("start").alias("at"), "length"), allowMissingColumns=True)
+        .unionByName(rendered.select("conv_id", F.lit(-1).alias("at"), "formatted"), allowMissingColumns=True)
+    )
+    met = rows.groupBy("conv_id", "at").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("turn", "length", "formatted")])
+    whole = met.groupBy("conv_id").agg(
+        F.first("formatted", ignorenulls=True).alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("turn").isNotNull(), F.struct("at", "turn", "length")))).alias("turns"))
+    return whole.select(
         "conv_id", "formatted",
-        F.transform(turns, lambda t: F.struct(
-            unescape_role(F.substring_index(F.substring(t, head + 1, F.length(t)), "\n", 1)).alias("role"),
-            unescape(F.substring(t, F.instr(t, "\n") + 1, F.length(t))).alias("text"),
-        )).alias("messages"),
-        F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))).alias("learned"),
+        F.transform("turns", lambda t: F.struct(
+            unescape_role(t["turn"]["role"]).alias("role"), unescape(t["turn"]["body"]).alias("text"))).alias("messages"),
+        F.transform(F.filter("turns", lambda t: t["length"].isNotNull()), lambda t: unescape(
+            F.substring(t["turn"]["body"], F.lit(1), t["length"]))).alias("learned"),
     )
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.common import let, starts_of
+
 ROUNDS = 10
 # Dates are permuted among 270 * 270 days, nearly 200 years, from this day on.
 FIRST_DAY, DAYS_ROOT = "1900-01-01", 270
@@ -289,16 +291,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
         parts = parts.where(F.exists("_values", lambda v: v["kind"].isNotNull()))
     parts = parts.withColumn("_values", F.transform("_values", lambda v: F.struct(
         v["value"].alias("value"), v["kind"].alias("kind"), pseudonym(v["value"], v["kind"], key, back).alias("new"))))
-    spans = F.aggregate(
-        F.arrays_zip(F.slice("_pieces", 1, F.size("_values")).alias("piece"), F.col("_values").alias("v")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind: string, start: int, end: int, pseudonym: string>>").alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["piece"]) + F.length(x["v"]["value"])).alias("at"),
-            F.when(x["v"]["kind"].isNull(), s["found"]).otherwise(F.array_append(s["found"], F.struct(
-                x["v"]["kind"].alias("kind"), (s["at"] + F.length(x["piece"])).alias("start"),
-                (s["at"] + F.length(x["piece"]) + F.length(x["v"]["value"])).alias("end"), x["v"]["new"].alias("pseudonym")))).alias("found")),
-        lambda s: s["found"],
-    )
+    steps = F.arrays_zip(F.slice("_pieces", 1, F.size("_values")).alias("piece"), F.col("_values").alias("v"))
+    spans = let(steps, lambda known: F.filter(
+        F.zip_with(
+            known, starts_of(F.transform(known, lambda x: F.length(x["piece"]) + F.length(x["v"]["value"]))),
+            lambda x, at: F.when(x["v"]["kind"].isNotNull(), F.struct(
+                x["v"]["kind"].alias("kind"), (at + F.length(x["piece"])).alias("start"),
+                (at + F.length(x["piece"]) + F.length(x["v"]["value"])).alias("end"), x["v"]["new"].alias("pseudonym")))),
+        lambda s: s.isNotNull()))
     woven = F.array_join(F.zip_with("_pieces", F.transform("_values", lambda v: v["new"]),
                                     lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     return parts.select(*[

@@ -110,9 +110,8 @@ EXAMPLE_KEY = "example key"
 
 @query
 def op6_pseudonyms(spark, sf):
-    """Documents that hold values; the others are unchanged and left out."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, EXAMPLE_KEY, only_found=True).select(
+    return pseudonyms.pseudonymise(docs, EXAMPLE_KEY).select(
         "doc_id", F.size("pii").alias("n_values"),
         F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"])).alias("spans"),
         F.transform("pii", lambda p: p["pseudonym"]).alias("pseudonyms"),

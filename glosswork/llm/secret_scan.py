@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import text_of
+from glosswork.llm.common import let, starts_of, text_of
 
 FOUND = "array<struct<start: int, kind: int, end: int>>"
 LEDGER = f"address binary, rule string, version int, spans {FOUND}"
@@ -56,25 +56,19 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     """All matches of a rule as (start, order of the kind, end), from the left."""
     pattern = F.lit(rule.pattern)
     none = F.array().cast(FOUND)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), F.length)
+    pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
     # One more piece than matches; a step is a piece and the match after it.
-    steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), matches.alias("match"), kept.alias("kept"))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["piece"]) + F.coalesce(F.length(s["match"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(s["kept"]) >= rule.least,
-                F.array_append(acc["found"], F.struct(
-                    (acc["at"] + F.length(s["piece"])).alias("start"), F.lit(order).alias("kind"),
-                    (acc["at"] + F.length(s["piece"]) + F.length(s["match"])).alias("end"))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(F.rlike(text, pattern), walked).otherwise(none)
+    steps = F.filter(
+        F.arrays_zip(pieces.alias("piece"), lengths(0).alias("match"), lengths(rule.group).alias("kept")),
+        lambda s: s["match"].isNotNull())
+    found = let(steps, lambda known: F.transform(
+        F.filter(
+            F.zip_with(known, starts_of(F.transform(known, lambda s: s["piece"] + s["match"])), lambda s, at: F.struct(
+                (at + s["piece"]).alias("start"), (at + s["piece"] + s["match"]).alias("end"), s["kept"].alias("kept"))),
+            lambda m: m["kept"] >= rule.least),
+        lambda m: F.struct(m["start"], F.lit(order).alias("kind"), m["end"])))
+    return F.when(F.rlike(text, pattern), found).otherwise(none)
 
 
 def address(text: Column) -> Column:
