@@ -9,6 +9,7 @@ shuffled, and the benchmark travels to them in blocks of bounded size, one pass
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ LEAST_CHARS = 32
 # Characters of the benchmark that one pass carries.
 BLOCK_CHARS = 8_000_000
 # Longer texts are searched in overlapping segments.
-SEGMENT, OFFSET = 1 << 18, 1 << 10
+SEGMENT = 1 << 18
+# Places where a text and the items share a q-gram that are looked at together.
+LOOK_AT = 1 << 20
 _MIX, _BITS = np.uint64(0xD6E8FEB86659FD93), 22
 
 
@@ -89,42 +92,100 @@ def index_items(ids: list, texts: list[str]) -> Index:
 
 
 def bands(index: Index, points: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, first diagonal, width) of the bands that reach the bound of their item."""
+    """(item, first diagonal, width) of the bands that reach the bound of their item;
+    those of an item that overlap are one.
+
+    Places of a q-gram that are no further apart than the least step of all items are one
+    stretch: it meets every strip between its ends, so a rule of dashes is not looked at
+    dash by dash. Shared places are counted LOOK_AT at a time.
+    """
     grams = q_grams(points)
     at = np.flatnonzero(index.filter[slot(grams)]) if len(index.grams) and len(grams) else np.zeros(0, np.int64)
-    first = np.searchsorted(index.grams, grams[at], "left")
-    count = np.searchsorted(index.grams, grams[at], "right") - first
-    total = int(count.sum())
-    if not total:
+    if not len(at):
         return []
-    posting = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(total)
-    item, place = index.owner[posting], index.place[posting]
+    order = np.argsort(grams[at], kind="stable")
+    at, grams = at[order], grams[at][order]
+    least = int(index.budget.min()) + 1
+    breaks = np.flatnonzero((grams[1:] != grams[:-1]) | (at[1:] - at[:-1] > least)) + 1
+    low, high = at[np.append(0, breaks)], at[np.append(breaks, len(at)) - 1]
+    grams = grams[np.append(0, breaks)]
+    first = np.searchsorted(index.grams, grams, "left")
+    count = np.searchsorted(index.grams, grams, "right") - first
+
+    def postings(chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(stretch, posting) by parts, of the chosen items."""
+        until = np.cumsum(count)
+        cuts = np.unique(np.append(np.searchsorted(until, np.arange(LOOK_AT, until[-1], LOOK_AT)), len(count)))
+        for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            n = count[a:b]
+            stretch = np.repeat(np.arange(a, b), n)
+            posting = np.repeat(first[a:b] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            if chosen is not None:
+                keep = chosen[index.owner[posting]]
+                stretch, posting = stretch[keep], posting[keep]
+            yield stretch, posting
+
     # Chance hits: an item with too few shared q-grams in the whole text is out at once.
-    chosen = (np.bincount(item, minlength=len(index.items)) >= index.bound)[item]
-    item, place, diagonal = item[chosen], place[chosen], (np.repeat(at, count) - place)[chosen]
+    # A stretch may lie in both strips of a band.
+    shared, looks = np.zeros(len(index.items), np.int64), np.zeros(len(index.items), np.int64)
+    for stretch, posting in postings():
+        shared += np.bincount(index.owner[posting], 1 + (high > low)[stretch], minlength=len(shared)).astype(np.int64)
+        # What the stretches will become, strip by strip.
+        looks += np.bincount(index.owner[posting], 1 + ((high - low)[stretch] // (index.budget + 1)[index.owner[posting]]),
+                             minlength=len(shared)).astype(np.int64)
+    candidates = np.flatnonzero(shared >= index.bound)
+    full = []
+    group = np.cumsum(looks[candidates]) // LOOK_AT
+    for g in np.unique(group):
+        chosen = np.zeros(len(index.items), bool)
+        chosen[candidates[group == g]] = True
+        full += _full_bands(index, postings(chosen), low, high)
+    return full
+
+
+def _full_bands(index: Index, postings: Iterator[tuple[np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    cells = [np.zeros(0, np.int64)] * 3  # item, strip, place
+    for stretch, posting in postings:
+        item, place = index.owner[posting], index.place[posting]
+        step = index.budget[item] + 1
+        begin = (low[stretch] - place) // step
+        n = (high[stretch] - place) // step - begin + 1
+        more = np.repeat(item, n), np.repeat(begin - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()), np.repeat(place, n)
+        item, strip, place = (np.concatenate(pair) for pair in zip(cells, more, strict=True))
+        # Each place of the item counts once in a strip.
+        order = np.lexsort((place, strip, item))
+        item, strip, place = item[order], strip[order], place[order]
+        new = np.append(True, (np.diff(place) != 0) | (np.diff(strip) != 0) | (np.diff(item) != 0))[: len(item)]
+        cells = [item[new], strip[new], place[new]]
+    item, strip, _ = cells
     if not len(item):
         return []
-    step = index.budget[item] + 1
-    strip = diagonal // step + OFFSET  # a text is at most SEGMENT long here, and an item's step over a 12th of it
-    # Each place of the item counts once in a strip.
-    cells = np.unique((item << 45) | (strip << 26) | place) >> 26
-    strips, shared = np.unique(cells, return_counts=True)
+    heads = np.flatnonzero(np.append(True, (np.diff(strip) != 0) | (np.diff(item) != 0)))
+    shared, item, strip = np.diff(np.append(heads, len(item))), item[heads], strip[heads]
     # Two neighbouring strips are a band; bands overlap by one strip.
-    follows = np.append(strips[1:] == strips[:-1] + 1, False)
+    follows = np.append((item[1:] == item[:-1]) & (strip[1:] == strip[:-1] + 1), False)
     in_band = shared + np.where(follows, np.append(shared[1:], 0), 0)
-    owner = strips >> 19
-    full = in_band >= index.bound[owner]
-    return [(int(i), int((s & ((1 << 19) - 1)) - OFFSET) * int(index.budget[i] + 1), 2 * int(index.budget[i] + 1))
-            for i, s in zip(owner[full], strips[full], strict=True)]
-
-
-def align(item: np.ndarray, points: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best occurrence of the item whose path stays within
-    ``width`` diagonals from ``diagonal`` on; the leftmost end wins ties."""
-    # Unchanged text runs along one diagonal; that needs no table.
-    for start in range(max(0, diagonal), min(len(points) - len(item), diagonal + width) + 1):
-        if points[start] == item[0] and np.array_equal(points[start: start + len(item)], item):
-            return 0, start, start + len(item)
+    reached = in_band >= index.bound[item]
+    item, strip = item[reached], strip[reached]
+    if not len(item):
+        return []
+    starts = np.append(True, (np.diff(item) != 0) | (np.diff(strip) > 1))[: len(item)]
+    out = []
+    for a, b in zip(np.flatnonzero(starts), np.append(np.flatnonzero(starts)[1:], len(item)), strict=True):
+        step = int(index.budget[item[a]]) + 1
+        out.append((int(item[a]), int(strip[a]) * step, int(strip[b - 1] - strip[a] + 2) * step))
+    return out
+
+
+def align(item: np.ndarray, points: np.ndarray, diagonal: int, width: int, budget: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the occurrences of the item within the budget whose paths stay
+    within ``width`` diagonals from ``diagonal`` on: the best for each end."""
+    # Unchanged text runs along one diagonal; that needs no table. In a band too
+    # narrow for a second occurrence, the first is the best.
+    if width < len(item):
+        for start in range(max(0, diagonal), min(len(points) - len(item), diagonal + width) + 1):
+            if points[start] == item[0] and np.array_equal(points[start: start + len(item)], item):
+                return [(0, start, start + len(item))]
     # Column j of a row i stands for position i + diagonal + j of the document.
     lane = np.arange(width + 1)
     cost = np.where((diagonal + lane >= 0) & (diagonal + lane <= len(points)), 0, 1 << 20).astype(np.int64)
@@ -142,8 +203,8 @@ def align(item: np.ndarray, points: np.ndarray, diagonal: int, width: int) -> tu
         # Extra characters of the document: a running minimum along the row.
         best = np.minimum.accumulate(best - lane * base) + lane * base
         state = best
-    j = int(np.argmin(state >> 32))
-    return int(state[j] >> 32), int(state[j] & (base - 1)), min(len(points), len(item) + diagonal + j)
+    good = np.flatnonzero(state >> 32 <= budget)
+    return [(int(state[j] >> 32), int(state[j] & (base - 1)), min(len(points), len(item) + diagonal + int(j))) for j in good]
 
 
 def occurrences(index: Index, text: str) -> list[tuple[int, int, int, int]]:
@@ -157,15 +218,16 @@ def occurrences(index: Index, text: str) -> list[tuple[int, int, int, int]]:
         for i, diagonal, width in bands(index, part):
             # The ends of a path may hold no q-gram and leave the band by the budget.
             margin = int(index.budget[i])
-            edits, start, end = align(index.items[i], part, diagonal - margin, width + 2 * margin)
-            if edits <= index.budget[i] and end > start:
-                found.setdefault(i, []).append((edits, at + start, at + end))
+            for edits, start, end in align(index.items[i], part, diagonal - margin, width + 2 * margin, margin):
+                if end > start:
+                    found.setdefault(i, []).append((edits, at + start, at + end))
     out = []
     for i, spans in sorted(found.items()):
-        taken: list[tuple[int, int]] = []
-        for edits, start, end in sorted(spans):
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
+        taken: list[tuple[int, int]] = []  # in order, none overlap
+        for edits, start, end in sorted(set(spans)):
+            k = bisect.bisect(taken, (start, end))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+                taken.insert(k, (start, end))
                 out.append((i, int(where[start]), int(where[end - 1]) + 1, edits))
     return out
 
@@ -186,8 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """A row for each occurrence of a benchmark item in a document: ``id_col``,
     ``item_col``, ``start`` and ``end`` (code points of the text), ``edits``.
 
-    Null texts are empty and match nothing, items under LEAST_CHARS match nothing (over
-    2**26 characters is more than an item can have),
+    Null texts are empty and match nothing, items under LEAST_CHARS match nothing,
     repeated items are each reported, repeated documents too. Empty tables give no rows.
     """
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
