@@ -8,11 +8,23 @@ mostly works row-wise.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from glosswork.catalog import fixtures as fx
-from glosswork.functions.text import JS_SPACE, PY_SPACE
-from glosswork.operators.library import TRANSLATED_PREFIXES
-from glosswork.operators.replies import TOKEN_PATTERNS
+
+# Stated anew, so that an error in the package's own values shows. What Python strips is
+# asked from Python; what JavaScript trims are the space separators and these.
+PY_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+JS_SPACE = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs") + "\t\n\v\f\r\u2028\u2029\ufeff"
+# Titles of earlier translations, and what has to survive one.
+TRANSLATED_PREFIXES = ("[Translated]", "[中文]", "[双语]")
+TOKEN_PATTERNS = {
+    "citation": r"\[\d+\]",
+    "number": r"\d+(?:\.\d+)?",
+    "placeholder": r"\{[A-Za-z][A-Za-z0-9]*\}",
+    "tag": r"</?[A-Za-z][A-Za-z0-9]*>",
+    "url": r"https?://[A-Za-z0-9./_~%?=&#:@+-]+",
+}
 
 
 def _strip(expression: str, space: str = PY_SPACE) -> str:
