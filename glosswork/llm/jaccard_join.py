@@ -7,7 +7,9 @@ their Jaccard similarity reaches ``num / den``.
 * Light sets list, for each size of partner, all their subsets of the size that such a
   link needs; sets of these two sizes with a common subset (128-bit keys) link.
 * Heavy sets scan inverted lists: a link needs a common shingle among the first few of
-  both sets in hash order, so only those are listed.
+  both sets in one order of all shingles, so only those are listed. The order is that of
+  hashes, but for the MOST_FREQUENT shingles, which come last, the most frequent one at the
+  very end: a line that a third of the texts share is listed for texts of little else.
 * The boundary is the size up to which listing subsets costs less than scanning, by
   the corpus's own size histogram.
 
@@ -47,6 +49,10 @@ LIST_COST = 4
 SIGNATURE = 16
 # Beyond this size no set is light, whatever the histogram.
 MOST_LIGHT = 24
+# Shingles of so many compared texts or more may be put last in the order, and how many
+# are: half a megabyte of hashes that go to every task. Any number gives the same links.
+FREQUENT_FROM = 64
+MOST_FREQUENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -198,7 +204,27 @@ def _listed(texts: DataFrame, rule: Threshold, names: Names, pick) -> DataFrame:
     return texts.select("text").mapInArrow(rows, "id bigint, keys array<bigint>")
 
 
-def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
+@dataclass(frozen=True)
+class Order:
+    """An order of all shingles: by hash, but ``frequent`` ones (sorted) after all others,
+    by ``turns``."""
+
+    frequent: np.ndarray
+    turns: np.ndarray
+
+    @staticmethod
+    def of(rarest_first: np.ndarray) -> Order:
+        turns = np.argsort(rarest_first, kind="stable")
+        return Order(rarest_first[turns], turns)
+
+    def sort(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return found
+        at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
+        return found[np.argsort(np.where(self.frequent[at] == found, self.turns[at], -1), kind="stable")]
+
+
+def _heavy_sets(texts: DataFrame, rule: Threshold, order: Order) -> DataFrame:
     """``keys``, the shingles under which a set is listed, and ``bits``, its signature:
     each shingle flips one of its bits."""
 
@@ -206,7 +232,7 @@ def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
         for batch in batches:
             keys, bits = [], []
             for found in shingle_sets(batch.column("text"), rule.words):
-                keys.append(found[: rule.spare(len(found)) + 1])
+                keys.append(order.sort(found)[: rule.spare(len(found)) + 1])
                 flips = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
                 bits.append(np.packbits(flips.astype(np.uint8)).view(np.uint64))
             yield (batch.select(["id", "n", "own"]).append_column("keys", _lists(keys)).append_column("bits", _lists(bits)))
@@ -214,18 +240,31 @@ def _heavy_sets(texts: DataFrame, rule: Threshold) -> DataFrame:
     return texts.mapInArrow(rows, "id bigint, n bigint, own bigint, keys array<bigint>, bits array<bigint>")
 
 
-def _own(keys: DataFrame) -> DataFrame:
-    """``name`` and ``own``: how many of the listed shingles no other set has. Counted per
-    shingle by its smallest and largest name, so a common shingle is combined in the tasks
-    before the shuffle."""
+def _counted(keys: DataFrame) -> DataFrame:
+    """For each ``name`` of a set ``own``, how many of its listed shingles no other set has; and
+    in rows without a name each shingle ``key`` that is listed FREQUENT_FROM times or more, with
+    its ``size``. Counted per shingle by its smallest and largest name, so a common shingle is
+    combined in the tasks before the shuffle."""
+    only = F.col("name") == F.col("last")
     return (
         keys.select("id", F.explode("keys").alias("key"))
-        .groupBy("key").agg(F.min("id").alias("name"), F.max("id").alias("last"))
-        .where(F.col("name") == F.col("last"))
-        .groupBy("name").agg(F.count(F.lit(1)).alias("own"))
+        .groupBy("key").agg(F.min("id").alias("name"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
+        .where(only | (F.col("size") >= FREQUENT_FROM))
+        .groupBy(F.when(only, F.col("name")).alias("name"), F.when(~only, F.col("key")).alias("key"))
+        .agg(F.count(F.lit(1)).alias("own"), F.max("size").alias("size"))
     )
 
 
+def _own(counted: DataFrame) -> DataFrame:
+    return counted.where("name IS NOT NULL").select("name", "own")
+
+
+def _order(counted: DataFrame) -> Order:
+    """The order that puts the MOST_FREQUENT shingles last."""
+    top = counted.where("name IS NULL").orderBy(F.desc("size"), "key").limit(MOST_FREQUENT).select("key").toArrow()
+    return Order.of(top["key"].to_numpy().view(np.uint64)[::-1])
+
+
 def light_boundary(histogram: dict[int, int], rule: Threshold) -> int:
     """The largest size whose sets are light: up to it, listing subsets costs less than
     listing heads and scanning them."""
@@ -305,12 +344,12 @@ def links(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: st
     boundary = light_boundary(histogram, rule)
     light = _light_links(texts, sets, boundary, rule)
 
-    known = _comparable(texts, sets, rule.least(boundary + 1), rule, names)
+    known, order = _comparable(texts, sets, rule.least(boundary + 1), rule, names)
     # The few texts that are compared, written so that a join to them can be split
     # where many pairs share a text.
     chosen = written(_bodies(texts, known, "n", "own").dropDuplicates(["id"]), "compared-texts")
     bodies = chosen.select("id", "text")
-    heavy = written(_heavy_sets(chosen, rule), "heavy-sets")
+    heavy = written(_heavy_sets(chosen, rule, order), "heavy-sets")
     listed = heavy.select("id", "n", "own", F.explode("keys").alias("key"))
     # Each list against its member with the fewest own shingles, by bands of set size.
     banded = listed.withColumn("band", F.floor(F.log(1.25, "n")))
@@ -387,8 +426,9 @@ def _light_links(texts: DataFrame, sets: DataFrame, boundary: int, rule: Thresho
     )
 
 
-def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Threshold, names: Names) -> DataFrame:
-    """Rows of ``sets`` with ``own`` that can still link, by their own shingles."""
+def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Threshold, names: Names) -> tuple[DataFrame, Order]:
+    """Rows of ``sets`` with ``own`` that can still link, by their own shingles; and the order
+    in which such sets are listed."""
     n = F.col("n")
     least = _least(rule, n)
     spare = n - least
@@ -397,14 +437,13 @@ def _comparable(texts: DataFrame, sets: DataFrame, from_size: int, rule: Thresho
     common = F.least(F.floor(least / 20) + 1, least)
     heads = _listed(texts, rule, names, lambda s: s[: rule.head(len(s))] if len(s) >= from_size else s[:0])
     alive = written(
-        sets.where(n >= from_size).join(_own(heads), "name", "left")
+        sets.where(n >= from_size).join(_own(_counted(heads)), "name", "left")
         .where(F.coalesce("own", F.lit(0)) <= head - common).drop("own"),
         "sets-that-share")
     # Second pass, over the whole sets of what is left.
-    whole = _listed(_bodies(texts, alive), rule, names, lambda s: s)
-    return written(
-        alive.join(_own(whole), "name", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spare),
-        "sets-to-compare")
+    counted = written(_counted(_listed(_bodies(texts, alive), rule, names, lambda s: s)), "shingle-counts")
+    left = alive.join(_own(counted), "name", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spare)
+    return written(left, "sets-to-compare"), _order(counted)
 
 
 def _classes(docs: DataFrame, rule: Threshold, id_col: str, text_col: str, names: Names = Names()) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from glosswork.llm import jaccard_join as j
@@ -53,6 +54,46 @@ def test_classes_match_brute_force(spark, rule):
     assert got == brute(rows, rule)
 
 
+@pytest.mark.parametrize("most", [0, 5, 40, j.MOST_FREQUENT])
+def test_frequent_shingles_only_change_the_order(spark, monkeypatch, most):
+    """Texts with lines that many share, from next to nothing else to little of them."""
+    monkeypatch.setattr(j, "FREQUENT_FROM", 3)
+    monkeypatch.setattr(j, "MOST_FREQUENT", most)
+    rnd = random.Random(21)
+    lines = [prose(rnd, 14) for _ in range(3)]
+    rows = [(k, "\n".join([*rnd.sample(lines, rnd.randint(1, 3)), prose(rnd, rnd.choice([2, 6, 12, 40, 90]))])) for k in range(60)]
+    rows += [(60 + k, near(rnd, rows[k][1], rnd.choice([0, 1, 2, 4]))) for k in range(60)]
+    rule = j.Threshold()
+    assert sorted(map(tuple, j.classify(frame(spark, rows), rule).collect()), key=repr) == brute(rows, rule)
+
+
+def test_a_line_in_a_third_of_the_texts_makes_no_long_list(spark, monkeypatch):
+    """The lists of texts that share a line do not grow with their number."""
+    rnd = random.Random(22)
+    line, tables, real = prose(rnd, 20), {}, j.written
+    monkeypatch.setattr(j, "written", lambda frame, name: tables.update({name: real(frame, name)}) or tables[name])
+    rows = [(k, prose(rnd, 90) + ("\n" + line if k % 3 == 0 else "")) for k in range(450)]
+    # A copy with one other word each, so that no set falls out before lists are made.
+    rows += [(1000 + k, near(rnd, text, 1)) for k, text in rows]
+    rule = j.Threshold()
+    got = {r.doc_id: r.component_id for r in j.classify(frame(spark, rows), rule).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+    lists = tables["heavy-sets"].selectExpr("explode(keys) AS key").groupBy("key").count()
+    # A few texts have the same change inside the line.
+    assert tables["heavy-sets"].count() == 900 and lists.selectExpr("max(count)").first()[0] <= 8
+
+
+def test_order_is_one_of_all_shingles():
+    rnd = random.Random(23)
+    every = [rnd.getrandbits(64) for _ in range(300)]
+    frequent = rnd.sample(every, 60)
+    order = j.Order.of(np.array(frequent, np.uint64))
+    want = sorted(set(every) - set(frequent)) + frequent
+    for _ in range(20):
+        some = rnd.sample(every, rnd.randint(0, 50))
+        assert order.sort(np.array(sorted(some), np.uint64)).tolist() == [x for x in want if x in some]
+
+
 def test_sets_that_share_a_name_are_told_apart(spark):
     rnd = random.Random(4)
     rows = [(k, prose(rnd, 8)) for k in range(60)] + [(60 + k, prose(rnd, 70)) for k in range(30)]
