@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled rows of label 1; the unlabelled side is web text drawn
-without looking at labels; labelled negatives only help to estimate the class prior.
-The model minimises the non-negative unbiased risk
+without looking at labels. Labelled negatives are not used: the class prior is estimated
+from the same two sides (``estimated_prior``). The model minimises the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
@@ -111,6 +111,23 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows: the smallest ratio of the shares of both
+    sides that score at least t, over all t that half of the positives or more reach. Where no
+    negative scores so high the ratio is the prior, elsewhere it is larger. Scores come from
+    models that were fitted on the other half of each side; 0.5 where a side is too small."""
+    if min(len(positives), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        model = fit(positives[half::2], unlabelled[half::2], 0.5)
+        p, u = (np.sort(model.score(rows[1 - half::2])) for rows in (positives, unlabelled))
+        t = np.unique(p[: len(p) // 2 + 1])
+        above = [1 - np.searchsorted(side, t) / len(side) for side in (u, p)]
+        found.append(np.min(above[0] / above[1]))
+    return float(np.mean(found))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """A null id is not held out and has no label."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -133,8 +150,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(id_col).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
         .where(F.col("low") == F.col("high")).select(id_col, F.col("low").alias("label"))
     )
-    counts = known.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count(F.lit(1)).alias("all")).first()
-    prior = counts["ones"] / counts["all"] if counts["all"] else 0.5
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col)
     positive = _sampled(known.where(F.col("label") == 1).join(usable.distinct(), id_col, "left_semi").select(id_col), id_col, fit_rows)
     drawn = _sampled(usable.distinct(), id_col, fit_rows)
@@ -160,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     side = rows["side"].to_numpy()
     x = np.array(rows["features"].tolist(), dtype=float).reshape(len(rows), FEATURES)
-    return fit(x[side % 2 == 1], x[side >= 2], prior)
+    positives, unlabelled = x[side % 2 == 1], x[side >= 2]
+    return fit(positives, unlabelled, estimated_prior(positives, unlabelled))
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

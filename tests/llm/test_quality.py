@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import quality
+from glosswork.llm.common import table
 from tests.llm.fixtures import awkward, frame, prose
 
 
@@ -35,6 +38,37 @@ def test_held_out_labels_are_never_read(spark):
     assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
 
 
+def test_negative_labels_are_never_used(spark):
+    docs, labels = corpus(300)
+    positive = [(d, q) for d, q in labels if q == 1]
+    a, b = (quality.train(frame(spark, docs, extra=False), spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, positive))
+    assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_is_found_from_positives_and_unlabelled_rows(prior):
+    rnd = np.random.default_rng(3)
+    ones, n = int(4000 * prior), 4000
+    unlabelled = np.vstack([rnd.normal(0.6, 1, (ones, quality.FEATURES)), rnd.normal(-0.6, 1, (n - ones, quality.FEATURES))])
+    got = quality.estimated_prior(rnd.normal(0.6, 1, (3000, quality.FEATURES)), rnd.permutation(unlabelled))
+    assert abs(got - prior) < 0.04
+    few = np.zeros((1, quality.FEATURES))
+    assert quality.estimated_prior(few, unlabelled) == quality.estimated_prior(few[:0], few) == 0.5
+
+
+def test_held_out_labels_of_the_documents(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    truth = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = quality.with_scores(docs.where(quality.held_out()), model).join(truth, "doc_id").select("score", "quality").toPandas()
+    rank, ones = rows["score"].rank().to_numpy(), rows["quality"].to_numpy() == 1
+    n, m = ones.sum(), (~ones).sum()
+    auc = (rank[ones].sum() - n * (n + 1) / 2) / (n * m)
+    right = ((rows["score"] >= quality.THRESHOLD).to_numpy() == ones).mean()
+    print("prior", model.prior, "auc", auc, "right", right, "majority", max(n, m) / len(rows))
+    assert auc > 0.97 and right > 0.98
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs = frame(spark, awkward())
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (77, 1)], "doc_id long, quality int")
