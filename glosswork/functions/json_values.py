@@ -7,18 +7,22 @@ whole record.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
 
 
-# Fixed value: Spark's limit for one VARIANT. Longer texts are not parsed.
+# Fixed value: Spark's limit for one VARIANT. Longer texts are read by members.
 VARIANT_BYTES = 128 * 1024 * 1024
+# JSON alone, no extensions of it, and strings of any length.
+_PLAIN_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxStringLen": str(2**31 - 1)}
 
 
 def too_large(text: Column) -> Column:
-    """Whether a text is over what can be parsed, whatever it says."""
+    """Whether a text is over what can be parsed as one VARIANT, whatever it says."""
     return F.octet_length(text) > VARIANT_BYTES
 
 
@@ -43,6 +47,31 @@ def strict_json(text: Column) -> Column:
     return _unboxed(_boxed(text, mark), mark)
 
 
+def record_json(text: Column, members: Sequence[str]) -> Column:
+    """``strict_json`` for an object of which only ``members`` are used, at any length.
+
+    A text over the limit is read as a stream that keeps these members and passes over
+    all others, so its value has them alone; a value that is no object becomes a JSON
+    null. The hash at the end of the array tells that the text was one complete value.
+    """
+    mark = F.xxhash64(text)
+    boxed = F.concat(F.lit("["), text, F.lit(',{"_mark":'), mark.cast("string"), F.lit("}]"))
+    fields = ", ".join(f"`{m}` variant" for m in members)
+    found = F.from_json(boxed, f"array<struct<{fields}, `_mark` bigint>>", _PLAIN_JSON)
+    value = F.get(
+        F.transform(F.array(found), lambda v: F.when(
+            (F.size(v) == 2) & (F.get(v, F.lit(1))["_mark"] == mark),
+            F.coalesce(F.to_json(F.get(v, F.lit(0)).dropFields("_mark")), F.lit("null")))),
+        F.lit(0))
+    other = F.get(
+        F.transform(F.array(F.from_json(boxed, "array<string>", _PLAIN_JSON)), lambda v: F.when(
+            (F.size(v) == 2) & (F.get(v, F.lit(1)) == F.concat(F.lit('{"_mark":'), mark.cast("string"), F.lit("}"))), F.lit("null"))),
+        F.lit(0))
+    is_record = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+    by_members = F.try_parse_json(F.when(is_record, value).otherwise(other))
+    return F.when(too_large(text), by_members).otherwise(strict_json(text))
+
+
 def with_json(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add the parsed ``text`` as a column. Same as ``strict_json``, but each
     step is its own projection, so a long text is stripped, hashed and parsed

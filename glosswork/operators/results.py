@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.frames import compute_once
-from glosswork.functions.json_values import child, is_json_null, is_object, strict_json, string_only, too_large, with_json
+from glosswork.functions.json_values import child, is_json_null, is_object, record_json, string_only, too_large, with_json
 from glosswork.functions.paths import relative_inside, resolve
 from glosswork.functions.text import js_strip
 from glosswork.options import MODES
 
+RECORD = ("input_pdf", "mono_pdf", "dual_pdf")
 DUAL_LABEL, MONO_LABEL = "[双语]", "[中文]"
 
 
@@ -38,8 +39,8 @@ def salvage_results(logs: DataFrame) -> DataFrame:
     Output that is one JSON value is checked as it is. Otherwise its lines are
     searched from the end for the last complete object that keeps the contract.
     Adds ``input_pdf, mono_pdf, dual_pdf``, ``recovered`` (found amid noise) and
-    ``problem`` (``parse``, ``too_large`` where the output is over what can be parsed
-    and no line holds a record, or the broken rule). All of it is row-local.
+    ``problem`` (``parse`` or the broken rule). Outputs and lines may have any length a
+    string has. All of it is row-local.
     """
     whole = js_strip(F.col("stdout"))
     lines = F.filter(
@@ -47,22 +48,25 @@ def salvage_results(logs: DataFrame) -> DataFrame:
         lambda s: s.startswith("{") & s.endswith("}"),
     )
     candidates = F.filter(
-        F.transform(lines, strict_json), lambda v: v.isNotNull() & contract_error(v).isNull()
+        F.transform(lines, lambda s: record_json(s, RECORD)), lambda v: v.isNotNull() & contract_error(v).isNull()
     )
+    stripped = logs.withColumn("_whole", whole)
+    large = too_large(F.col("_whole"))
+    parsed = with_json(stripped, F.when(~large, F.col("_whole")), "_parsed")
     found = (
-        with_json(logs.withColumn("_whole", whole), F.col("_whole"), "_strict")
+        compute_once(parsed, {"_strict": F.when(large, record_json(F.col("_whole"), RECORD)).otherwise(F.col("_parsed"))})
         # Only outputs that are no JSON value pay for the line search.
         .withColumn("_last", F.when(F.col("_strict").isNull(), F.try_element_at(candidates, F.lit(-1))))
     )
     problem = F.when(F.col("_strict").isNotNull(), contract_error(F.col("_strict"))).when(
-        F.col("_last").isNull(), F.when(too_large(F.col("stdout")), "too_large").otherwise("parse")
+        F.col("_last").isNull(), "parse"
     )
     done = compute_once(found, {"problem": problem}).withColumn(
         "_record", F.when(F.col("problem").isNull(), F.coalesce("_strict", "_last"))
     )
     return done.select(
         *logs.columns,
-        *[string_only(child(F.col("_record"), f"$.{n}")).alias(n) for n in ("input_pdf", "mono_pdf", "dual_pdf")],
+        *[string_only(child(F.col("_record"), f"$.{n}")).alias(n) for n in RECORD],
         (F.col("_strict").isNull() & F.col("_last").isNotNull()).alias("recovered"),
         "problem",
     )

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glosswork.functions import json_values
 from glosswork.operators.events import job_outcome, progress
 from glosswork.operators.library import best_attachment, collect_targets
 from glosswork.operators.reports import error_text, failure_counts, failure_report, first_failures, run_summary
@@ -93,12 +94,43 @@ LOGS = [
 ]
 
 
-def test_salvage_matrix(spark):
+@pytest.mark.parametrize("limit", [json_values.VARIANT_BYTES, -1, 60])
+def test_salvage_matrix(spark, monkeypatch, limit):
+    """Outputs over the limit of one parsed value give what they give below it."""
+    monkeypatch.setattr(json_values, "VARIANT_BYTES", limit)
     frame = spark.createDataFrame([(n, log[0]) for n, log in enumerate(LOGS)], "job_id int, stdout string")
     got = {r.job_id: (r.problem, r.dual_pdf, r.recovered) for r in salvage_results(frame).collect()}
     assert got == {n: log[1:] for n, log in enumerate(LOGS)}
 
 
+def test_values_over_the_limit_are_read_whole_or_not_at_all(spark, monkeypatch):
+    texts = ['{"a":"x","b":null,"z":[1,{"a":5}]}', '{"a":5,"b":{"k":1}}', "[1,2]", '"s"', "12", '{"a":1} x', '{"a":1},{"a":2}', '{"a":1}], [3',
+             "{", '{"a":tru}', '{"a":"\\u00e9\\n"}', '{"a":01}', "{'a':1}", '{"a":1,}', '{"z":NaN}', "", "[1], [2", '[1],{"_mark":1}', "[NaN]", "{}"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = lambda v: frame.select(json_values.kind(v).alias("kind"), v.cast("string").alias("value")).collect()
+    small = shown(json_values.strict_json(F.col("t")))
+    monkeypatch.setattr(json_values, "VARIANT_BYTES", -1)
+    large = shown(json_values.record_json(F.col("t"), ["a", "b"]))
+    for text, whole, members in zip(texts, small, large, strict=True):
+        if whole.kind is None:
+            assert members.kind is None, text
+        elif text.startswith("{"):
+            assert json.loads(members.value) == {k: v for k, v in json.loads(text).items() if k in "ab"}
+        else:
+            assert members.kind == "VOID", text
+
+
+def test_logs_over_the_limit(spark):
+    size = f"CAST(id + {json_values.VARIANT_BYTES} AS int)"  # not a constant, which plans would spell out
+    frame = spark.range(4).selectExpr("CAST(id AS int) AS job_id", f"""CASE id
+        WHEN 0 THEN concat('{GOOD[:-1]}, "log": "', repeat('x', {size}), '"}}')
+        WHEN 1 THEN concat(repeat('noise and more\n', CAST({size} / 15 + 1 AS int)), '{GOOD}', '\nend')
+        WHEN 2 THEN concat('start\n', '{GOOD[:-1]}, "log": "', repeat('x', {size}), '"}}')
+        ELSE concat('{GOOD[:-1]}, "log": "', repeat('x', {size}), '"') END AS stdout""")
+    got = {r.job_id: (r.problem, r.dual_pdf, r.recovered) for r in salvage_results(frame).drop("stdout").collect()}
+    assert got == {0: (None, "d", False), 1: (None, "d", True), 2: (None, "d", True), 3: ("parse", None, False)}
+
+
 def test_manifest_and_records(spark, rows, tmp_path):
     results = spark.createDataFrame(
         [(1, "é", "i", "m.pdf", "/v/d.pdf"), (2, "t", "i", "../../x", None), (3, "t", "i", None, ""), (4, "t", "i", "gone.pdf", "/vv/d")],
