@@ -360,6 +360,21 @@ def _stream_session(spark, state_partitions=STATE_PARTITIONS):
     return own
 
 
+def _step_session(spark):
+    """For the micro-batcher: its steps keep no state, so they have as many partitions as
+    the caller's shuffles, which grow with the data."""
+    return _stream_session(spark, max(STATE_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _two_arrivals(requests, path):
+    """Write ``req_id, body`` as files of two arrivals; returns how many files a trigger takes
+    so that there are two triggers. Each task writes its own rows: files are as many
+    as the table has parts, and no task reads a fixed share of it."""
+    requests.withColumn("arrival", F.pmod(F.hash("req_id"), F.lit(2))).write.partitionBy("arrival").parquet(path)
+    files = requests.sparkSession.read.schema("req_id bigint, body string, arrival int").parquet(path).inputFiles()
+    return max(1, -(-len(files) // 2))
+
+
 def _drained(spark, name, stream, partition_by=(), window_ms=None):
     """Run the stream over all that is there and read what the sink recorded.
 
@@ -425,7 +440,7 @@ def stream_translate(spark, sf):
 def stream_hot_shard(spark, sf):
     """All jobs in one queue."""
     options = RunOptions(workers=1, max_batch=fx.MAX_BATCH)
-    own, path = _stream_session(spark), scratch_path(spark, "stream_hot_shard")
+    own, path = _step_session(spark), scratch_path(spark, "stream_hot_shard")
     jobs = streaming_calls.request_jobs(fx.document_requests(fx.table_stream(own, sf, "documents")), options)
     batcher = microbatch.MicroBatcher(own, f"{path}/steps", options.max_batch, options.window_ms)
     running = jobs.writeStream.foreachBatch(batcher).option("checkpointLocation", f"{path}/checkpoint")
@@ -438,11 +453,11 @@ def stream_hot_shard(spark, sf):
 @query
 def stream_replay(spark, sf):
     """Every trigger comes three times, the last time to a backend that knows nothing."""
-    own, path = _stream_session(spark), scratch_path(spark, "stream_replay")
+    own, path = _step_session(spark), scratch_path(spark, "stream_replay")
     options = RunOptions(workers=fx.WORKERS, ledger=f"{path}/ledger")
     requests_path = f"{path}/requests"
-    fx.document_requests(fx.table(spark, sf, "documents")).repartition(2, "req_id").write.parquet(requests_path)
-    live = own.readStream.schema("req_id bigint, body string").option("maxFilesPerTrigger", 1).parquet(requests_path)
+    files = _two_arrivals(fx.document_requests(fx.table(spark, sf, "documents")), requests_path)
+    live = own.readStream.schema("req_id bigint, body string, arrival int").option("maxFilesPerTrigger", files).parquet(requests_path)
 
     def batcher(translator):
         answer = microbatch.translator_of(translator, options)

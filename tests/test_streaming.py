@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from glosswork import RunOptions
+from glosswork.catalog import queries
 from glosswork.catalog.queries import QUERIES
 from glosswork.operators.events import job_outcome
 from glosswork.operators.inference import OfflineTranslator
@@ -170,3 +171,18 @@ def test_jobs_of_a_trigger_are_batched_in_queue_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {n: [str(4 * n + k) for k in range(4)] for n in range(1500)}
+
+
+def test_replayed_requests_arrive_twice_in_files_of_a_part_of_the_table(spark, tmp_path, monkeypatch):
+    spark.range(600).repartition(6).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"),
+    ).write.parquet(str(tmp_path / "tables/documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    answers = QUERIES["stream_replay"](spark, str(tmp_path / "tables")).collect()
+    run = tmp_path / "stream_replay"
+    files = [spark.read.parquet(str(f)).count() for f in (run / "requests").rglob("*.parquet")]
+    assert sum(files) == 600 and max(files) <= 100
+    assert sorted(f.name for f in (run / "checkpoint/offsets").iterdir() if f.name[0] != ".") == ["0", "1"]
+    # Of twelve kinds of request, four are valid; one of them is for the broken model.
+    assert len(answers) == len({a.job_id for a in answers}) == 200
+    assert sum(a.error is not None for a in answers) == 50
