@@ -15,7 +15,7 @@ from glosswork.operators import batching, events, library, replies, reports, res
 from glosswork.operators.inference import OfflineTranslator, infer
 from glosswork.options import RunOptions
 from glosswork.plans.corpus import translate_corpus
-from glosswork.session import configure, scratch_path
+from glosswork.session import configure, scratch_path, written
 from glosswork.sources import files, memory, requests
 from glosswork.sources.ledger import CallLedger
 from glosswork.streaming import calls as streaming_calls
@@ -169,7 +169,7 @@ def batch_infer(spark, sf):
 @query
 def call_ledger(spark, sf):
     """A run that fails for one model, then one that may not call at all: recorded replies stay."""
-    batches, ledger = fx.batches(spark, sf), CallLedger(scratch_path(spark, "call-ledger"))
+    batches, ledger = written(fx.batches(spark, sf), "batches"), CallLedger(scratch_path(spark, "call-ledger"))
     first = infer(batches, OfflineTranslator(broken_models=["Model-Y"]), timeout_s=240, ledger=ledger)
     first.write.format("noop").mode("overwrite").save()
     again = infer(batches, _no_calls, timeout_s=240, ledger=ledger)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.operators.batching import BATCH_KEY
-from glosswork.sources.ledger import CallLedger
+from glosswork.sources.ledger import CallLedger, place
 
 TASKS_PER_CORE = 4
 
@@ -50,31 +50,58 @@ class OfflineTranslator:
         return json.dumps({"translations": rows}, ensure_ascii=False, separators=(",", ":"))
 
 
-def call_within(translator: Translator, payload: str, model: str | None, timeout_s: float | None) -> str:
-    """The reply, or TimeoutError after ``timeout_s`` seconds.
+class TimedCalls:
+    """Calls one after the other; each returns the reply, or raises TimeoutError after
+    ``timeout_s`` seconds.
 
-    The call runs in a thread of its own, which is left behind if it is late: Python
-    cannot end a thread. It cannot hold up the task or its worker's end; a translator
-    that starts programs or opens connections should bound those itself as well.
+    They run in a thread of their own, which serves until a call is late. It is left behind
+    then, as Python cannot end a thread, and the next call starts another. It cannot hold up the
+    task or its worker's end; a translator that starts programs or opens connections should
+    bound those itself as well. ``close`` lets the thread end.
     """
-    if timeout_s is None:
-        return translator(payload, model)
-    answer: queue.SimpleQueue = queue.SimpleQueue()
 
-    def work() -> None:
+    def __init__(self, translator: Translator, timeout_s: float | None) -> None:
+        self.translator, self.timeout_s = translator, timeout_s
+        self.asked: queue.SimpleQueue | None = None
+        self.answers: queue.SimpleQueue | None = None
+
+    def __call__(self, payload: str, model: str | None) -> str:
+        if self.timeout_s is None:
+            return self.translator(payload, model)
+        if self.asked is None:
+            self.asked, self.answers = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=_serve, args=(self.translator, self.asked, self.answers), daemon=True).start()
+        self.asked.put((payload, model))
+        try:
+            raw, problem = self.answers.get(timeout=self.timeout_s)
+        except queue.Empty:
+            self.close()
+            raise TimeoutError(f"timed out after {self.timeout_s:g} s") from None
+        if problem is not None:
+            raise problem
+        return raw
+
+    def close(self) -> None:
+        if self.asked is not None:
+            self.asked.put(None)
+            self.asked = None
+
+
+def _serve(translator: Translator, asked: queue.SimpleQueue, answers: queue.SimpleQueue) -> None:
+    while (call := asked.get()) is not None:
         try:
-            answer.put((translator(payload, model), None))
+            answers.put((translator(*call), None))
         except BaseException as problem:  # handed to the caller, whatever it is
-            answer.put((None, problem))
+            answers.put((None, problem))
 
-    threading.Thread(target=work, daemon=True).start()
+
+def call_within(translator: Translator, payload: str, model: str | None, timeout_s: float | None) -> str:
+    """One call of ``TimedCalls``."""
+    calls = TimedCalls(translator, timeout_s)
     try:
-        raw, problem = answer.get(timeout=timeout_s)
-    except queue.Empty:
-        raise TimeoutError(f"timed out after {timeout_s:g} s") from None
-    if problem is not None:
-        raise problem
-    return raw
+        return calls(payload, model)
+    finally:
+        calls.close()
 
 
 def infer(batches: DataFrame, translator: Translator, parallelism: int | None = None,
@@ -88,10 +115,18 @@ def infer(batches: DataFrame, translator: Translator, parallelism: int | None =
 
     A call that raises or takes longer than ``timeout_s`` fails its batch and nothing
     else. With a ``ledger`` each reply is recorded as soon as it is there, and a call
-    whose reply is recorded is not made.
+    whose reply is recorded is not made; a task then has the calls of a stretch of the
+    ledger's places, in their order.
     """
     tasks = parallelism or TASKS_PER_CORE * batches.sparkSession.sparkContext.defaultParallelism
-    batches = batches.repartition(tasks, F.xxhash64("job_ids"))
+    if ledger is None:
+        batches = batches.repartition(tasks, F.xxhash64("job_ids"))
+    else:
+        placed = batches.withColumn("_place", place(F.col("payload")))
+        stretch = F.shiftright(F.col("_place") * F.lit(tasks), 32).cast("int")
+        dealt = placed.repartitionById(tasks, stretch)
+        # Streams cannot be sorted; the few calls that a trigger gives a task go as they come.
+        batches = (dealt if batches.isStreaming else dealt.sortWithinPartitions("_place")).drop("_place")
     kept = [*BATCH_KEY, "job_ids"]
     schema = T.StructType(
         [f for f in batches.schema if f.name in kept]
@@ -99,26 +134,30 @@ def infer(batches: DataFrame, translator: Translator, parallelism: int | None =
     )
     kept = [f.name for f in schema][:-2]
 
-    def reply(payload: str, model: str | None) -> str:
-        known = ledger.get(payload, model) if ledger else None
+    def reply(calls, records, payload: str, model: str | None) -> str:
+        known = records.get(payload, model) if records else None
         if known is None:
-            known = call_within(translator, payload, model, timeout_s)
-            if ledger:
-                ledger.put(payload, model, known)
+            known = calls(payload, model)
+            if records:
+                records.put(payload, model, known)
         return known
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            raws: list[str | None] = []
-            errors: list[str | None] = []
-            for payload, model in zip(frame["payload"], frame["effective_model"]):
-                try:
-                    raws.append(reply(payload, model if isinstance(model, str) else None))
-                    errors.append(None)
-                except Exception as problem:  # one bad call fails its batch, not the job
-                    raws.append(None)
-                    errors.append(f"batch translation failed: {problem}")
-            yield frame[kept].assign(raw=pd.Series(raws, index=frame.index, dtype=object),
-                                     error=pd.Series(errors, index=frame.index, dtype=object))
+        calls, records = TimedCalls(translator, timeout_s), ledger.open() if ledger else None
+        try:
+            for frame in frames:
+                raws: list[str | None] = []
+                errors: list[str | None] = []
+                for payload, model in zip(frame["payload"], frame["effective_model"]):
+                    try:
+                        raws.append(reply(calls, records, payload, model if isinstance(model, str) else None))
+                        errors.append(None)
+                    except Exception as problem:  # one bad call fails its batch, not the job
+                        raws.append(None)
+                        errors.append(f"batch translation failed: {problem}")
+                yield frame[kept].assign(raw=pd.Series(raws, index=frame.index, dtype=object),
+                                         error=pd.Series(errors, index=frame.index, dtype=object))
+        finally:
+            calls.close()
 
     return batches.mapInPandas(call, schema)

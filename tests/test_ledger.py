@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 import time
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from glosswork import RunOptions
 from glosswork.operators.inference import OfflineTranslator, infer
 from glosswork.plans.corpus import translate_corpus
-from glosswork.sources.ledger import CallLedger
+from glosswork.sources.ledger import CallLedger, SingleRecords, ledger_of
+from glosswork.streaming.calls import request_jobs
 
 
 class Counting:
@@ -97,3 +99,65 @@ def test_a_corpus_run_takes_up_its_ledger(spark, tmp_path):
     again = translate_corpus(spark, docs, OfflineTranslator(broken_models=[None]), options)
     assert first.audited.where("error IS NOT NULL").count() == again.audited.where("error IS NOT NULL").count() == 0
     assert sorted(map(tuple, first.segments.collect()), key=repr) == sorted(map(tuple, again.segments.collect()), key=repr)
+
+
+def test_many_calls_share_a_few_files_and_threads(spark, batches, tmp_path):
+    """Records of the same folder are one log a task, and a task's calls one thread."""
+    many = batches.withColumn("batch_no", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn(
+        "payload", F.concat(F.lit('[{"id":"'), "batch_no", F.lit('","messages":[{"role":"user","content":"'), F.col("job_ids")[0], F.lit('"}]}]')))
+    ledger = CallLedger(f"file://{tmp_path}/ledger")
+
+    def threaded(payload, model):
+        return json.dumps([threading.get_ident(), os.getpid(), payload])
+
+    first = infer(many, threaded, parallelism=2, timeout_s=30, ledger=ledger)
+    got = first.collect()
+    assert len(got) == 20_000 and len({tuple(json.loads(r.raw)[:2]) for r in got}) <= 2
+    # 4096 folders and the one where the two tasks meet.
+    assert sum(len(files) for _, _, files in os.walk(tmp_path / "ledger")) <= 4097
+    again = infer(many, OfflineTranslator(broken_models=[None]), parallelism=3, timeout_s=30, ledger=ledger).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_full_folders_go_deeper_and_cut_records_count_as_absent(tmp_path, monkeypatch):
+    monkeypatch.setattr("glosswork.sources.ledger.FOLDER_BYTES", 300)
+    monkeypatch.setattr("glosswork.sources.ledger._place", lambda payload: "abcdef0" + payload[0])
+    ledger = CallLedger(str(tmp_path))
+    one, other = ledger.open(), ledger.open()
+    for n in range(40):
+        (one if n % 3 else other).put(f"{n}", None, f"reply\n{n}")
+        assert one.get(f"{n}", None) == other.get(f"{n}", None) == f"reply\n{n}"
+    assert one.get("40", None) is None
+    logs = sorted(tmp_path.rglob("*.log"))
+    assert max(len(f.relative_to(tmp_path).parts) for f in logs) == 8
+    assert all(ledger.open().get(f"{n}", None) == f"reply\n{n}" for n in range(40))
+    for log in logs:
+        log.write_bytes(log.read_bytes()[:-3])
+    left = [n for n in range(40) if ledger.open().get(f"{n}", None)]
+    assert len(left) == 40 - len(logs)
+    again = ledger.open()
+    for n in range(40):
+        again.put(f"{n}", None, "anew")
+    assert all(ledger.open().get(f"{n}", None) == "anew" or n in left for n in range(40))
+
+
+def test_records_of_one_file_each_are_found(tmp_path):
+    ledger = CallLedger(str(tmp_path))
+    SingleRecords(ledger).put("p", "m", "before")
+    assert ledger.get("p", "m") == "before" and ledger.get("p", None) is None
+    ledger.put("p", None, "now")
+    assert ledger.get("p", None) == "now" and ledger.get("p", "m") == "before"
+
+
+def test_a_stream_takes_up_its_ledger(spark, tmp_path):
+    body = '{"model":"","messages":[{"role":"user","content":"text %d"}]}'
+    spark.createDataFrame([(i, body % i) for i in range(8)], "req_id bigint, body string").coalesce(1).write.json(str(tmp_path / "in"))
+    options = RunOptions(ledger=str(tmp_path / "ledger"), window_ms=0)
+    live = spark.readStream.schema("req_id bigint, body string").json(str(tmp_path / "in"))
+    for name, translator in (("a", OfflineTranslator()), ("b", OfflineTranslator(broken_models=[None]))):
+        calls = request_jobs(live, options).select(
+            "shard", F.col("queue_pos").alias("batch_no"), "effective_model", F.array("job_id").alias("job_ids"),
+            F.concat(F.lit('[{"id":"'), "job_id", F.lit('","messages":'), "messages", F.lit("}]")).alias("payload"))
+        out = infer(calls, translator, timeout_s=30, ledger=ledger_of(options)).writeStream.format("memory").queryName(name)
+        out.trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(name).where("raw LIKE '%[zh] text%'").count() == 8
